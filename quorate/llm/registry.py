@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from . import chat, language, multi_index, packing, quality, simhash, urls
+from . import chat, decontaminate, language, lines, multi_index, ngram_model, packing, quality, simhash, urls
 
 QUERIES = {
     "op1_language_id": language.op1,
+    "op2_decontamination": decontaminate.op2,
     "op3_simhash_near_dedup": simhash.op3,
     "op4_quality_classifier": quality.op4,
     "op5_packing": packing.op5,
     "op6_url_filters": urls.op6,
+    "op7_lm_scoring": ngram_model.op7,
     "op8_chat_formatting": chat.op8,
     "op9_approximate_neighbours": multi_index.op9,
+    "op10_line_dedup": lines.op10,
 }
 
 ORACLES: dict[str, str] = {}
