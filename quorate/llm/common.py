@@ -182,3 +182,18 @@ class Growing:
             self.data = np.concatenate([self.data[: self.size], np.empty(max(need, 2 * len(self.data)) - self.size, dtype=self.data.dtype)])
         self.data[self.size : need] = more
         self.size = need
+
+
+def free_name(df: DataFrame, wish: str) -> str:
+    """A column name that ``df`` doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while wish.lower() in taken:
+        wish += "_"
+    return wish
+
+
+def by_id(docs: DataFrame, id_col: str, ids: DataFrame, how: str) -> DataFrame:
+    """Semi or anti join of ``docs`` with the one column of ``ids``, whatever the names on either side."""
+    key = free_name(docs, "__id")
+    ids = ids.toDF(key)
+    return docs.join(ids, docs[id_col].cast("long") == ids[key], how)

@@ -115,8 +115,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
 def without_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``docs`` without the documents that hold a benchmark item."""
     found = leaks(docs, benchmark, id_col, text_col, **options)
-    leaking = common.materialise(found.select(F.col("doc_id").alias("__id")).distinct(), "leaking")
-    return docs.join(leaking, F.col(id_col).cast("long") == F.col("__id"), "left_anti")
+    leaking = common.materialise(found.select("doc_id").distinct(), "leaking")
+    return common.by_id(docs, id_col, leaking, "left_anti")
 
 
 def op2(spark, sf_dir: str) -> DataFrame:

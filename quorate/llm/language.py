@@ -33,6 +33,8 @@ SAMPLE_ROWS = 3000
 LANGUAGES = 64
 BITS = 16
 EFFECTIVE = 150
+#: Trigrams that a text needs to count for its host and its declaration.
+TELLING = 10
 UNKNOWN = "und"
 _TABLE = ngrams.byte_map(letters_only=True)
 
@@ -99,7 +101,7 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", de
     domain = F.when(F.instr("host", ".") > 0, F.substring_index("host", ".", -2))
     seen = common.materialise(scored.withColumns({"guess": best, "suffix": suffix, "domain": domain}), "likelihoods")
 
-    per_class = [F.count_if(F.col("guess") == i).cast("double").alias(f"n{i}") for i in range(size)]
+    per_class = [F.count_if((F.col("guess") == i) & (F.col("n_grams") >= TELLING)).cast("double").alias(f"n{i}") for i in range(size)]
     counts = F.array(*(F.col(f"n{i}") for i in range(size)))
     everywhere = seen.agg(*per_class).first()
     total = sum(everywhere) or 0.0
@@ -136,8 +138,8 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", de
 def keep_identified(docs: DataFrame, **options) -> DataFrame:
     """``docs`` without the rows whose id has no accepted row; rows without an id stay."""
     found = identify(docs, **options).where("doc_id is not null").groupBy("doc_id").agg(F.max("accepted").alias("ok"))
-    rejected = common.materialise(found.where(~F.col("ok")).select(F.col("doc_id").alias("__id")), "rejected")
-    return docs.join(rejected, F.col(options.get("id_col", "doc_id")).cast("long") == F.col("__id"), "left_anti")
+    rejected = common.materialise(found.where(~F.col("ok")).select("doc_id"), "rejected")
+    return common.by_id(docs, options.get("id_col", "doc_id"), rejected, "left_anti")
 
 
 def op1(spark, sf_dir: str) -> DataFrame:

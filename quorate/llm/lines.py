@@ -281,13 +281,15 @@ def line_matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` with the removed lines taken out of the text; a document left without text is dropped."""
     gone = line_matches(docs, id_col, text_col, threshold).where("removed").select("doc_id", "copy", "line_no").distinct()
-    gone = common.materialise(gone.groupBy("doc_id", "copy").agg(F.collect_set("line_no").alias("__gone")).withColumnsRenamed({"doc_id": "__id", "copy": "__copy"}), "removed-lines")
-    text = F.col(text_col)
-    joined = docs.join(gone, (F.col(id_col).cast("long") == F.col("__id")) & (F.xxhash64(F.coalesce(text, F.lit(""))) == F.col("__copy")), "left")
-    numbered = F.filter(F.split(text, "\n", -1), lambda line, i: ~F.array_contains("__gone", i))
-    kept = F.when(F.col("__gone").isNull(), text).otherwise(F.array_join(numbered, "\n"))
-    out = joined.withColumn("__kept", kept).where(F.col("__gone").isNull() | (F.trim("__kept") != ""))
-    return out.withColumn(text_col, F.col("__kept")).select(*docs.columns)
+    gone = gone.groupBy("doc_id", "copy").agg(F.collect_set("line_no").alias("lines"))
+    names = [common.free_name(docs, n) for n in ("__id", "__copy", "__gone")]
+    gone = common.materialise(gone.toDF(*names), "removed-lines")
+    text, removed = docs[text_col], gone[names[2]]
+    joined = docs.join(gone, (docs[id_col].cast("long") == gone[names[0]]) & (F.xxhash64(F.coalesce(text, F.lit(""))) == gone[names[1]]), "left")
+    numbered = F.filter(F.split(text, "\n", -1), lambda line, i: ~F.array_contains(removed, i))
+    kept = F.when(removed.isNull(), text).otherwise(F.array_join(numbered, "\n"))
+    out = joined.where(removed.isNull() | (F.trim(kept) != ""))
+    return out.select(*(kept.alias(c) if c == text_col else docs[c] for c in docs.columns))
 
 
 def op10(spark, sf_dir: str) -> DataFrame:

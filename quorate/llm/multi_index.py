@@ -6,8 +6,8 @@ vector is indexed.  For a query the pairs are visited in order of summed distanc
 until the visited cells hold ``budget`` vectors; these are reranked by exact distance in double
 precision.
 
-Scale: cells are cut into blocks of bounded size, and queries that visit a cell too, so that no
-task sees a hot cell whole.  Of equal vectors only the ``k + 1`` with the smallest ids can be in a
+Scale: the cells of one first centroid lie together and are cut into blocks of bounded size, and
+so are the queries that visit them, so that no task sees a hot cell whole.  Of equal vectors only the ``k + 1`` with the smallest ids can be in a
 result (ties go to the smaller id), so the others don't enter the index; nothing else is left out.
 
 Defined results: vectors that are null, all zero, of another length than the commonest, or that
@@ -31,6 +31,8 @@ from . import common
 
 #: Vectors that the codebooks are fitted on, at most.
 SAMPLE = 20_000
+#: Centroids of each half, at most.
+CODEBOOK = 128
 BLOCK = 4096
 
 
@@ -84,7 +86,7 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
 
-def search(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", share: float = 0.12, least: int = 3000, codebook: int | None = None) -> DataFrame:
+def search(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", share: float = 0.45, least: int = 3000, codebook: int | None = None) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's ``k`` nearest other rows by Euclidean distance.
 
     ``share`` of all entries, ``least`` at least, are reranked for each query.
@@ -102,7 +104,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "v
     sample = entries.where(F.pmod(F.xxhash64("vec_id"), F.lit(1_000_000)) < int(rate * 1_000_000)).select("vector").limit(SAMPLE).toPandas()
     x = np.array(sample["vector"].tolist()) if len(sample) else np.array([entries.first()["vector"]])
     half = x.shape[1] // 2
-    size = codebook or int(max(8, min(256, round(2 * n**0.25))))
+    size = codebook or int(max(8, min(CODEBOOK, round(n**0.5))))
     books = spark.sparkContext.broadcast((kmeans(x[:, :half], size), kmeans(x[:, half:], size)))
     wide = len(books.value[1])
     budget = int(max(least, share * n))
@@ -128,19 +130,29 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "v
                 continue
             m = _matrix(batch.column("vector"))
             d1, d2 = _squared(m[:, :half], c1), _squared(m[:, half:], c2)
-            cells = [visit(d1[i], d2[i], held.value, budget) for i in range(len(m))]
-            yield pa.record_batch([batch.column("vec_id"), batch.column("vector"), pa.array(cells, pa.list_(pa.int32()))], names=["query_id", "vector", "cells"])
+            at, first, seconds = [], [], []
+            for k in range(len(m)):
+                cells = np.array(visit(d1[k], d2[k], held.value, budget), dtype=np.int64)
+                for i in np.unique(cells // wide):
+                    at.append(k)
+                    first.append(int(i))
+                    seconds.append((cells[cells // wide == i] % wide).tolist())
+            take = pa.array(at, pa.int64())
+            yield pa.record_batch([batch.column("vec_id").take(take), batch.column("vector").take(take), pa.array(first, pa.int32()), pa.array(seconds, pa.list_(pa.int32()))], names=["query_id", "vector", "first", "seconds"])
 
     asked = usable(queries, id_col, vector_col).where(F.size("vector") == x.shape[1])
-    routed = common.materialise(asked.mapInArrow(route, "query_id long, vector array<double>, cells array<int>"), "routes")
-    visits = {r["cell"]: r["n"] for r in routed.select(F.explode("cells").alias("cell")).groupBy("cell").agg(F.count("*").alias("n")).collect()}
-    plan = pd.DataFrame({"cell": np.flatnonzero(sizes).astype(np.int32)})
-    plan["eb"] = [-(-int(sizes[c]) // BLOCK) for c in plan["cell"]]
-    plan["qb"] = [max(1, -(-visits.get(c, 0) // BLOCK)) for c in plan["cell"]]
-    blocks = F.broadcast(spark.createDataFrame(plan, "cell int, eb int, qb int"))  # one row per pair of centroids
-
-    own = index.join(blocks, "cell").withColumn("e", F.pmod(F.xxhash64("vec_id"), F.col("eb")).cast("int")).withColumn("q", F.explode(F.sequence(F.lit(0), F.col("qb") - 1))).select("cell", "e", "q", "vec_id", "vector")
-    asks = routed.select("query_id", "vector", F.explode("cells").alias("cell")).join(blocks, "cell").withColumn("q", F.pmod(F.xxhash64("query_id"), F.col("qb")).cast("int")).withColumn("e", F.explode(F.sequence(F.lit(0), F.col("eb") - 1))).select("cell", "e", "q", "query_id", "vector")
+    routed = common.materialise(asked.mapInArrow(route, "query_id long, vector array<double>, first int, seconds array<int>"), "routes")
+    visits = {r["first"]: r["n"] for r in routed.groupBy("first").agg(F.count("*").alias("n")).collect()}
+    per_row = sizes.reshape(-1, wide).sum(1)
+    plan = pd.DataFrame({"first": np.flatnonzero(per_row).astype(np.int32)})
+    plan["eb"] = [-(-int(per_row[i]) // BLOCK) for i in plan["first"]]
+    plan["qb"] = [max(1, -(-visits.get(i, 0) // BLOCK)) for i in plan["first"]]
+    blocks = F.broadcast(spark.createDataFrame(plan, "first int, eb int, qb int"))  # one row per centroid
+
+    own = index.withColumns({"first": (F.col("cell") / wide).cast("int"), "second": F.col("cell") % wide}).join(blocks, "first")
+    own = own.withColumn("e", F.pmod(F.xxhash64("vec_id"), F.col("eb")).cast("int")).withColumn("q", F.explode(F.sequence(F.lit(0), F.col("qb") - 1))).select("first", "e", "q", "vec_id", "vector", "second")
+    asks = routed.join(blocks, "first").withColumn("q", F.pmod(F.xxhash64("query_id"), F.col("qb")).cast("int"))
+    asks = asks.withColumn("e", F.explode(F.sequence(F.lit(0), F.col("eb") - 1))).select("first", "e", "q", "query_id", "vector", "seconds")
 
     def rerank(left: pa.Table, right: pa.Table) -> pa.Table:
         names, types = ["query_id", "vec_id", "score"], [pa.int64(), pa.int64(), pa.float64()]
@@ -148,10 +160,13 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "v
             return pa.table([pa.array([], t) for t in types], names=names)
         q, e = _matrix(left.column("vector").combine_chunks()), _matrix(right.column("vector").combine_chunks())
         qid, eid = left.column("query_id").to_numpy(), right.column("vec_id").to_numpy()
-        out = []
+        visited = np.zeros((len(q), wide), dtype=bool)
+        for i, js in enumerate(left.column("seconds").to_pylist()):
+            visited[i, js] = True
+        second, out = right.column("second").to_numpy(), []
         for at in range(0, len(q), 512):
             d, own = _squared(q[at : at + 512], e), qid[at : at + 512]
-            d[own[:, None] == eid[None, :]] = np.inf
+            d[~visited[at : at + 512][:, second] | (own[:, None] == eid[None, :])] = np.inf
             if len(e) > k:
                 # room for rounding: what may tie with the k-th stays and is measured exactly
                 d[d > np.partition(d, k - 1, axis=1)[:, k - 1 : k] * (1 + 1e-9) + 1e-9] = np.inf
@@ -165,7 +180,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "v
             out.append((own[i[top]], eid[j[top]], score[top]))
         return pa.table([pa.array(np.concatenate(c), t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
 
-    keys = ["cell", "e", "q"]
+    keys = ["first", "e", "q"]
     found = asks.groupBy(*keys).cogroup(own.groupBy(*keys)).applyInArrow(lambda left, right: rerank(left, right), "query_id long, vec_id long, score double")
     best = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

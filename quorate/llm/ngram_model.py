@@ -82,6 +82,8 @@ def _unvarint(data: bytes) -> np.ndarray:
 
 def _merge(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     key, count = np.concatenate(keys), np.concatenate(counts)
+    if not len(key):
+        return key, count
     order = np.argsort(key, kind="stable")
     key, count = key[order], count[order]
     first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
@@ -193,8 +195,9 @@ def count_words(train: DataFrame, shards: int) -> DataFrame:
         for batch in batches:
             for lo, hi in common.pieces(batch, "text", PIECE):
                 codes, words, _ = _tokens(batch.column("text").slice(lo, hi - lo))
-                keys.append(_hashes(words))
-                counts.append(np.bincount(codes, minlength=len(words)))
+                n = np.bincount(codes, minlength=len(words))
+                keys.append(_hashes(words)[n > 0])
+                counts.append(n[n > 0])
                 held += len(words)
                 if held > 3_000_000:
                     key, n = _merge(keys, counts)

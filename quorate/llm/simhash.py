@@ -271,11 +271,8 @@ def survivors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
     """
     found = common.materialise(near_duplicates(docs, id_col, text_col, width, radius).groupBy("doc_id").agg(F.min("component_id").alias("component_id"), F.count("*").alias("n")), "groups")
     kept = found.where("doc_id = component_id")
-    once = kept.where("n = 1").select(F.col("doc_id").alias("__id"))
-    more = kept.where("n > 1").select(F.col("doc_id").alias("__id"))
-    key = F.col(id_col).cast("long")
-    single = docs.join(once, key == F.col("__id"), "left_semi")
-    repeated = docs.join(more, key == F.col("__id"), "left_semi").dropDuplicates([id_col])
+    single = common.by_id(docs, id_col, kept.where("n = 1").select("doc_id"), "left_semi")
+    repeated = common.by_id(docs, id_col, kept.where("n > 1").select("doc_id"), "left_semi").dropDuplicates([id_col])
     return single.unionByName(repeated).unionByName(docs.where(F.col(id_col).isNull()))
 
 
