@@ -195,5 +195,10 @@ def free_name(df: DataFrame, wish: str) -> str:
 def by_id(docs: DataFrame, id_col: str, ids: DataFrame, how: str) -> DataFrame:
     """Semi or anti join of ``docs`` with the one column of ``ids``, whatever the names on either side."""
     key = free_name(docs, "__id")
-    ids = ids.toDF(key)
-    return docs.join(ids, docs[id_col].cast("long") == ids[key], how)
+    renamed = ids.withColumnRenamed(ids.columns[0], key)
+    return docs.join(renamed, docs[id_col].cast("long") == renamed[key], how)
+
+
+def small_side(df: DataFrame, rows: int = 1_000_000) -> DataFrame:
+    """Marks a written table of narrow rows for broadcast if it has at most ``rows``; else the join is left to the optimizer."""
+    return F.broadcast(df) if df.count() <= rows else df

@@ -8,7 +8,9 @@ number; a line is removed when an earlier line matches it.
 Method.  Words are ordered by rarity: a fixed-size sketch counts all words of the corpus, and any
 total order is valid, so its collisions cost time and never results.  A line is entered under the
 words of its prefix; two matching lines share one there.  Lines that meet are filtered by length
-and by the position of the shared word, and the survivors are verified on their words.  A word
+and by the position of the shared word, and by a bitmap that holds the parity of the words of each
+hash bit (two sets differ in at least as many words as their bitmaps in bits); the survivors are
+verified on their words.  A word
 that is frequent in the whole corpus is entered together with a second word of the prefix made one
 word longer (two matching lines share two words there), so that common words don't gather long
 lists.  Equal sets are one class from the start (64-bit signature), and only classes are joined.
@@ -35,7 +37,9 @@ MIN_WORDS = 5
 THRESHOLD = 0.8
 SKETCH_BITS = 21
 #: Words that occur more often in the corpus are entered in pairs.
-FREQUENT = 2000
+FREQUENT = 300
+#: Line length in words that fits the packed entries; longer lines pass their filters and are verified.
+LONGEST = 65_535
 
 
 def _hashes(words: list[bytes]) -> np.ndarray:
@@ -110,8 +114,10 @@ class LineReader:
         # a set's signature is the sum of its words' mixed hashes, modulo 2**64
         sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_mix(hashes[word]), dtype=np.uint64)])
         signature = sums[starts[kept] + n[kept]] - sums[starts[kept]]
+        flips = np.concatenate([np.zeros(1, np.uint64), np.bitwise_xor.accumulate(np.uint64(1) << (hashes[word] & np.uint64(63)))])
+        parity = flips[starts[kept] + n[kept]] ^ flips[starts[kept]]
         row = np.searchsorted(offsets, kept, side="right") - 1
-        return {"lines": lines, "kept": kept, "row": row, "number": kept - offsets[row], "n": n[kept], "signature": _mix(signature), "starts": starts[kept], "hash": hashes[word], "often": often[word]}
+        return {"lines": lines, "kept": kept, "row": row, "number": kept - offsets[row], "n": n[kept], "signature": _mix(signature), "parity": parity, "starts": starts[kept], "hash": hashes[word], "often": often[word]}
 
     def keys(self, read: dict, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(key, position of its first word, number of keys per line) of the chosen lines."""
@@ -131,16 +137,17 @@ class LineReader:
         key = np.r_[key, _mix(read["hash"][first[one]] ^ _mix(read["hash"][second]))]
         out_owner, out_position = np.r_[out_owner, own[one]], np.r_[out_position, pos[one]]
         order = np.argsort(out_owner, kind="stable")
-        return key[order], out_position[order], np.bincount(out_owner, minlength=len(chosen))
+        # half a hash is enough: keys that meet by chance only make more pairs to reject
+        return (key[order] >> np.uint64(32)).astype(np.uint32), out_position[order], np.bincount(out_owner, minlength=len(chosen))
 
 
 def line_table(docs: DataFrame, counts: np.ndarray, threshold: float = THRESHOLD, frequent: int = FREQUENT) -> DataFrame:
-    """(doc_id, copy, line_no, signature, n, line, keys, positions) from (doc_id, copy, text).
+    """(doc_id, copy, line_no, signature, n, parity, line, keys, positions) from (doc_id, copy, text).
 
     The last three are null where the task has seen the same set just before.
     """
     sketch = docs.sparkSession.sparkContext.broadcast(counts)  # fixed size
-    schema = "doc_id long, copy long, line_no int, signature long, n int, line string, keys array<long>, positions array<short>"
+    schema = "doc_id long, copy long, line_no int, signature long, n int, parity long, line string, keys array<int>, positions array<int>"
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader, seen = LineReader(sketch.value, threshold, frequent), set()
@@ -166,24 +173,28 @@ def line_table(docs: DataFrame, counts: np.ndarray, threshold: float = THRESHOLD
                 take = pa.array(got["row"] + lo)
                 line = pc.if_else(mask, pa.scalar(None, pa.string()), got["lines"].take(pa.array(got["kept"])).cast(pa.string()))
                 columns = [
-                    batch.column("doc_id").take(take), batch.column("copy").take(take), pa.array(got["number"], pa.int32()), pa.array(got["signature"].view(np.int64)), pa.array(got["n"], pa.int32()), line,
-                    pa.ListArray.from_arrays(offsets, pa.array(key.view(np.int64))), pa.ListArray.from_arrays(offsets, pa.array(position.astype(np.int16))),
+                    batch.column("doc_id").take(take), batch.column("copy").take(take), pa.array(got["number"], pa.int32()), pa.array(got["signature"].view(np.int64)), pa.array(got["n"], pa.int32()), pa.array(got["parity"].view(np.int64)), line,
+                    pa.ListArray.from_arrays(offsets, pa.array(key.view(np.int32))), pa.ListArray.from_arrays(offsets, pa.array(position.astype(np.int32))),
                 ]
-                yield pa.record_batch(columns, names=["doc_id", "copy", "line_no", "signature", "n", "line", "keys", "positions"])
+                yield pa.record_batch(columns, names=["doc_id", "copy", "line_no", "signature", "n", "parity", "line", "keys", "positions"])
 
     return docs.mapInArrow(read, schema)
 
 
 def candidates(table: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(a, b) with a < b: signatures that meet under a key and pass the length and position filters."""
-    entries = table.where("line is not null").select("signature", "n", F.explode(F.arrays_zip("keys", "positions")).alias("e"))
-    entries = entries.select(F.col("e.keys").alias("key"), "n", "signature", F.col("e.positions").alias("position"))
+    entries = table.where("line is not null").select("signature", "n", "parity", F.explode(F.arrays_zip("keys", "positions")).alias("e"))
+    # key, length and position in one number, whose order is that of the three
+    n, position = F.least(F.col("n"), F.lit(LONGEST)).cast("long"), F.when(F.col("n") < LONGEST, F.col("e.positions")).otherwise(0).cast("long")
+    packed = F.shiftleft(F.col("e.keys").cast("long"), 32).bitwiseOR(F.shiftleft(n, 16)).bitwiseOR(position)
+    entries = entries.select(F.col("e.keys").alias("key"), packed.alias("entry"), "signature", "parity")
     tasks = int(table.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    entries = entries.repartition(tasks, "key").sortWithinPartitions("key", "n", "signature")
+    entries = entries.repartition(tasks, "key").sortWithinPartitions("entry", "signature").select("entry", "signature", "parity")
 
-    def meet(key, n, signature, position):
-        fresh = np.r_[True, (key[1:] != key[:-1]) | (signature[1:] != signature[:-1])]
-        key, n, signature, position = key[fresh], n[fresh].astype(np.int64), signature[fresh], position[fresh].astype(np.int64)
+    def meet(entry, signature, parity):
+        fresh = np.r_[True, (entry[1:] != entry[:-1]) | (signature[1:] != signature[:-1])]
+        entry, signature, parity = entry[fresh], signature[fresh], parity[fresh].view(np.uint64)
+        key, n, position = entry >> 32, (entry >> 16) & 0xFFFF, entry & 0xFFFF
         ends = np.r_[np.flatnonzero(key[1:] != key[:-1]) + 1, len(key)]
         last = np.repeat(ends, np.diff(np.r_[0, ends]))
         live, step = np.flatnonzero(last - np.arange(len(key)) > 1), 1
@@ -191,8 +202,10 @@ def candidates(table: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
             other = live + step
             ok = n[live] >= np.ceil(threshold * n[other] - 1e-9)
             live, other = live[ok], other[ok]  # sorted by length: what is too long now stays so
-            near = np.minimum(n[live] - position[live], n[other] - position[other]) >= overlap_needed(n[live], n[other], threshold)
-            near &= signature[live] != signature[other]
+            need = overlap_needed(n[live], n[other], threshold)
+            near = np.minimum(n[live] - position[live], n[other] - position[other]) >= need
+            differ = np.bitwise_count(parity[live] ^ parity[other])
+            near &= (signature[live] != signature[other]) & ((differ <= n[live] + n[other] - 2 * need) | (n[other] == LONGEST))
             if near.any():
                 a, b = signature[live[near]], signature[other[near]]
                 yield np.minimum(a, b), np.maximum(a, b)
@@ -214,11 +227,11 @@ def candidates(table: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
                 yield _pairs(found)
 
         for batch in batches:
-            held.append([batch.column(c).to_numpy() for c in ("key", "n", "signature", "position")])
+            held.append([batch.column(c).to_numpy() for c in ("entry", "signature", "parity")])
             size += batch.num_rows
             if size >= 1 << 18:
                 columns = [np.concatenate(c) for c in zip(*held, strict=True)]
-                cut = int(np.flatnonzero(columns[0] != columns[0][-1]).max(initial=-1)) + 1
+                cut = int(np.flatnonzero(columns[0] >> 32 != columns[0][-1] >> 32).max(initial=-1)) + 1
                 if cut:
                     yield from emit([c[:cut] for c in columns])
                 held, size = [[c[cut:] for c in columns]], size - cut
@@ -242,7 +255,7 @@ def jaccard(a: bytes, b: bytes) -> float:
 def links(table: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(a, b): classes whose lines match, verified on their words."""
     met = common.materialise(candidates(table, threshold), "candidates")
-    wanted = met.select(F.explode(F.array("a", "b")).alias("s")).distinct()
+    wanted = common.small_side(common.materialise(met.select(F.explode(F.array("a", "b")).alias("s")).distinct(), "wanted"))
     texts = table.where("line is not null").select("signature", "line").join(wanted, F.col("signature") == F.col("s"), "left_semi").dropDuplicates(["signature"])
     texts = common.materialise(texts, "lines")
     one, two = (texts.select(F.col("signature").alias(f"s{k}"), F.col("line").alias(k)) for k in ("x", "y"))
@@ -283,7 +296,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     gone = line_matches(docs, id_col, text_col, threshold).where("removed").select("doc_id", "copy", "line_no").distinct()
     gone = gone.groupBy("doc_id", "copy").agg(F.collect_set("line_no").alias("lines"))
     names = [common.free_name(docs, n) for n in ("__id", "__copy", "__gone")]
-    gone = common.materialise(gone.toDF(*names), "removed-lines")
+    gone = common.small_side(common.materialise(gone.toDF(*names), "removed-lines"), 200_000)
     text, removed = docs[text_col], gone[names[2]]
     joined = docs.join(gone, (docs[id_col].cast("long") == gone[names[0]]) & (F.xxhash64(F.coalesce(text, F.lit(""))) == gone[names[1]]), "left")
     numbered = F.filter(F.split(text, "\n", -1), lambda line, i: ~F.array_contains(removed, i))

@@ -269,11 +269,15 @@ def survivors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
     All columns stay.  Of rows that repeat the surviving id one stays; rows without an id stay, as
     no group decision can name them.
     """
-    found = common.materialise(near_duplicates(docs, id_col, text_col, width, radius).groupBy("doc_id").agg(F.min("component_id").alias("component_id"), F.count("*").alias("n")), "groups")
-    kept = found.where("doc_id = component_id")
-    single = common.by_id(docs, id_col, kept.where("n = 1").select("doc_id"), "left_semi")
-    repeated = common.by_id(docs, id_col, kept.where("n > 1").select("doc_id"), "left_semi").dropDuplicates([id_col])
-    return single.unionByName(repeated).unionByName(docs.where(F.col(id_col).isNull()))
+    found = near_duplicates(docs, id_col, text_col, width, radius).where("doc_id is not null")
+    found = common.materialise(found.groupBy("doc_id").agg(F.min("component_id").alias("component_id"), F.count("*").alias("n")), "groups")
+    gone = common.small_side(common.materialise(found.where("doc_id <> component_id or n > 1").select("doc_id"), "gone"))
+    kept = common.by_id(docs, id_col, gone, "left_anti")
+    # ids that stay but are on several rows: taken out above, and brought back once
+    repeated = common.materialise(found.where("doc_id = component_id and n > 1").select("doc_id"), "repeated")
+    if repeated.isEmpty():
+        return kept
+    return kept.unionByName(common.by_id(docs, id_col, repeated, "left_semi").dropDuplicates([id_col]))
 
 
 def op3(spark, sf_dir: str) -> DataFrame:
