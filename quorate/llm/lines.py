@@ -15,6 +15,11 @@ that is frequent in the whole corpus is entered together with a second word of t
 word longer (two matching lines share two words there), so that common words don't gather long
 lists.  Equal sets are one class from the start (64-bit signature), and only classes are joined.
 
+Near copies come in groups whose matches grow with the square of the group.  Where more than
+``DENSE`` lines meet under a key, their matches are verified and counted on the spot, in blocks,
+and one row per line and key leaves the task.  A pair is counted once: as a listed pair if it meets
+under any key that isn't dense, else under the smallest key under which it meets.
+
 Defined results: null and empty texts have no lines to compare; rows without an id take no part
 and keep their text; rows that repeat an id are told apart by their text, and fully repeated rows
 share each decision; an empty table gives an empty result; other columns don't matter.
@@ -38,6 +43,10 @@ THRESHOLD = 0.8
 SKETCH_BITS = 21
 #: Words that occur more often in the corpus are entered in pairs.
 FREQUENT = 300
+#: A key under which more lines meet is dense: their matches are counted where they meet, not listed.
+DENSE = 64
+#: Lines of a dense key that one task compares with as many others.
+BLOCK = 2048
 #: Line length in words that fits the packed entries; longer lines pass their filters and are verified.
 LONGEST = 65_535
 
@@ -181,8 +190,10 @@ def line_table(docs: DataFrame, counts: np.ndarray, threshold: float = THRESHOLD
     return docs.mapInArrow(read, schema)
 
 
-def candidates(table: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(a, b) with a < b: signatures that meet under a key and pass the length and position filters."""
+def candidates(table: DataFrame, threshold: float = THRESHOLD, dense: int = DENSE) -> tuple[DataFrame, DataFrame]:
+    """(pairs, meetings): pairs (a, b) of signatures that pass the filters under a key that isn't dense,
+    and meetings (key, signature, size) under dense keys.
+    """
     entries = table.where("line is not null").select("signature", "n", "parity", F.explode(F.arrays_zip("keys", "positions")).alias("e"))
     # key, length and position in one number, whose order is that of the three
     n, position = F.least(F.col("n"), F.lit(LONGEST)).cast("long"), F.when(F.col("n") < LONGEST, F.col("e.positions")).otherwise(0).cast("long")
@@ -196,8 +207,11 @@ def candidates(table: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         entry, signature, parity = entry[fresh], signature[fresh], parity[fresh].view(np.uint64)
         key, n, position = entry >> 32, (entry >> 16) & 0xFFFF, entry & 0xFFFF
         ends = np.r_[np.flatnonzero(key[1:] != key[:-1]) + 1, len(key)]
-        last = np.repeat(ends, np.diff(np.r_[0, ends]))
-        live, step = np.flatnonzero(last - np.arange(len(key)) > 1), 1
+        sizes = np.diff(np.r_[0, ends])
+        last, crowd = np.repeat(ends, sizes), np.repeat(sizes, sizes)
+        if (many := crowd > dense).any():
+            yield _rows(key[many], signature[many], np.zeros(many.sum(), np.int64), crowd[many])
+        live, step = np.flatnonzero((last - np.arange(len(key)) > 1) & ~many), 1
         while len(live):
             other = live + step
             ok = n[live] >= np.ceil(threshold * n[other] - 1e-9)
@@ -208,7 +222,7 @@ def candidates(table: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
             near &= (signature[live] != signature[other]) & ((differ <= n[live] + n[other] - 2 * need) | (n[other] == LONGEST))
             if near.any():
                 a, b = signature[live[near]], signature[other[near]]
-                yield np.minimum(a, b), np.maximum(a, b)
+                yield _rows(np.zeros(len(a), np.int64), np.minimum(a, b), np.maximum(a, b), np.zeros(len(a), np.int64))
             step += 1
             live = live[live + step < last[live]]
 
@@ -216,15 +230,15 @@ def candidates(table: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         held, size = [], 0
 
         def emit(columns):
-            found, rows = [], 0
-            for a, b in meet(*columns):
-                found.append(np.stack([a, b], 1))
-                rows += len(a)
-                if rows > 1 << 20:
-                    yield _pairs(found)
-                    found, rows = [], 0
+            found, size = [], 0
+            for part in meet(*columns):
+                found.append(part)
+                size += len(part)
+                if size > 1 << 20:
+                    yield _distinct(found)
+                    found, size = [], 0
             if found:
-                yield _pairs(found)
+                yield _distinct(found)
 
         for batch in batches:
             held.append([batch.column(c).to_numpy() for c in ("entry", "signature", "parity")])
@@ -238,12 +252,17 @@ def candidates(table: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         if size:
             yield from emit([np.concatenate(c) for c in zip(*held, strict=True)])
 
-    return entries.mapInArrow(join, "a long, b long").distinct()
+    met = common.materialise(entries.mapInArrow(join, "key long, a long, b long, size long"), "met")
+    return met.where("size = 0").select("a", "b").distinct(), met.where("size > 0").select("key", F.col("a").alias("signature"), "size").distinct()
+
 
+def _rows(*columns: np.ndarray) -> np.ndarray:
+    return np.stack(columns, 1)
 
-def _pairs(found: list[np.ndarray]) -> pa.RecordBatch:
-    pairs = np.unique(np.concatenate(found), axis=0)
-    return pa.record_batch([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], names=["a", "b"])
+
+def _distinct(found: list[np.ndarray]) -> pa.RecordBatch:
+    rows = np.unique(np.concatenate(found), axis=0)
+    return pa.record_batch([pa.array(np.ascontiguousarray(rows[:, k])) for k in range(4)], names=["key", "a", "b", "size"])
 
 
 def jaccard(a: bytes, b: bytes) -> float:
@@ -252,14 +271,12 @@ def jaccard(a: bytes, b: bytes) -> float:
     return both / (len(x) + len(y) - both)
 
 
-def links(table: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(a, b): classes whose lines match, verified on their words."""
-    met = common.materialise(candidates(table, threshold), "candidates")
-    wanted = common.small_side(common.materialise(met.select(F.explode(F.array("a", "b")).alias("s")).distinct(), "wanted"))
-    texts = table.where("line is not null").select("signature", "line").join(wanted, F.col("signature") == F.col("s"), "left_semi").dropDuplicates(["signature"])
-    texts = common.materialise(texts, "lines")
+def listed_links(pairs: DataFrame, table: DataFrame, firsts: DataFrame, threshold: float) -> DataFrame:
+    """(signature, links, other) from listed pairs, verified on their words."""
+    met = common.materialise(pairs, "candidates")
+    texts = common.materialise(_once(table, met.select(F.explode(F.array("a", "b")).alias("s")), "signature", "line"), "lines")
     one, two = (texts.select(F.col("signature").alias(f"s{k}"), F.col("line").alias(k)) for k in ("x", "y"))
-    pairs = met.join(one, F.col("a") == F.col("sx")).join(two, F.col("b") == F.col("sy")).select("a", "b", "x", "y")
+    joined = met.join(one, F.col("a") == F.col("sx")).join(two, F.col("b") == F.col("sy")).select("a", "b", "x", "y")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -267,7 +284,71 @@ def links(table: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
             ok = np.fromiter((jaccard(p, q) >= threshold - 1e-12 for p, q in zip(x, y, strict=True)), dtype=bool, count=len(x))
             yield batch.select(["a", "b"]).filter(pa.array(ok))
 
-    return pairs.mapInArrow(verify, "a long, b long")
+    found = joined.mapInArrow(verify, "a long, b long")
+    both = found.select(F.explode(F.array(F.struct(F.col("a").alias("s"), F.col("b").alias("o")), F.struct(F.col("b").alias("s"), F.col("a").alias("o")))).alias("l")).select("l.s", "l.o")
+    return both.join(firsts, F.col("o") == F.col("signature")).groupBy("s").agg(F.count("*").alias("links"), F.min("first").alias("other")).withColumnRenamed("s", "signature")
+
+
+def _once(table: DataFrame, wanted: DataFrame, *columns: str) -> DataFrame:
+    """Those columns of one row of each wanted signature."""
+    wanted = common.small_side(common.materialise(wanted.toDF("s").distinct(), "wanted"))
+    return table.where("line is not null").select(*columns).join(wanted, F.col("signature") == F.col("s"), "left_semi").dropDuplicates(["signature"])
+
+
+def counted_links(meetings: DataFrame, table: DataFrame, firsts: DataFrame, threshold: float) -> DataFrame:
+    """(signature, links, other) from meetings under dense keys, counted in blocks of each key."""
+    meetings = common.materialise(meetings, "meetings")
+    known = _once(table, meetings.select("signature"), "signature", "n", "parity", "line", "keys", "positions").join(firsts, "signature")
+    own = meetings.groupBy("signature").agg(F.collect_set("key").alias("dense"))
+    known = known.join(own, "signature").select("signature", "n", "parity", "line", "keys", "positions", "dense", "first.*")
+    blocks = F.greatest(F.lit(1), F.ceil(F.col("size") / BLOCK)).cast("int")
+    dealt = meetings.join(known, "signature").withColumn("block", F.pmod(F.xxhash64("signature"), blocks).cast("int"))
+    dealt = dealt.withColumn("with", F.explode(F.sequence(F.lit(0), blocks - 1))).withColumns({"i": F.least("block", "with"), "j": F.greatest("block", "with")})
+    schema = "signature long, links long, doc_id long, line_no int, copy long"
+
+    def compare(key: tuple, rows: pa.Table) -> pa.Table:
+        here, i, j = (k.as_py() for k in key)
+        rows = rows.sort_by("n")
+        n, parity = np.minimum(rows.column("n").to_numpy().astype(np.int64), LONGEST), rows.column("parity").to_numpy().view(np.uint64)
+        block, words = rows.column("block").to_numpy(), [set(t.lower().split()) for t in common.text_bytes(rows.column("line").combine_chunks()).to_pylist()]
+        places, dense = [], [set(d) for d in rows.column("dense").to_pylist()]
+        for size, keys, positions in zip(n.tolist(), rows.column("keys").to_pylist(), rows.column("positions").to_pylist(), strict=True):
+            place: dict[int, int] = {}
+            for k, p in zip(keys, positions, strict=True):
+                place[k] = min(place.get(k, LONGEST), p if size < LONGEST else 0)
+            places.append(place)
+        left = n - np.fromiter((p[here] for p in places), dtype=np.int64, count=len(places))
+        order = list(zip(*(rows.column(c).to_pylist() for c in ("doc_id", "line_no", "copy")), strict=True))
+        links, other = np.zeros(len(n), dtype=np.int64), [None] * len(n)
+        live, step = np.arange(len(n) - 1), 1
+        while len(live):
+            at = live + step
+            ok = n[live] >= np.ceil(threshold * n[at] - 1e-9)
+            live, at = live[ok], at[ok]
+            need = overlap_needed(n[live], n[at], threshold)
+            near = np.minimum(left[live], left[at]) >= need
+            near &= (np.bitwise_count(parity[live] ^ parity[at]) <= n[live] + n[at] - 2 * need) | (n[at] == LONGEST)
+            if i != j:
+                near &= block[live] != block[at]
+            for x, y, least in zip(live[near].tolist(), at[near].tolist(), need[near].tolist(), strict=True):
+                p, q, nx, ny = places[x], places[y], n[x], n[y]
+                met = [k for k in p.keys() & q.keys() if min(nx - p[k], ny - q[k]) >= least]
+                if min(met) != here and all(k in dense[x] for k in met) or any(k not in dense[x] for k in met):
+                    continue  # listed elsewhere, or counted under a smaller key
+                both = len(words[x] & words[y])
+                if both / (len(words[x]) + len(words[y]) - both) >= threshold - 1e-12:
+                    for a, b in ((x, y), (y, x)):
+                        links[a] += 1
+                        if other[a] is None or order[b] < other[a]:
+                            other[a] = order[b]
+            step += 1
+            live = live[live + step < len(n)]
+        some = np.flatnonzero(links)
+        columns = [rows.column("signature").to_numpy()[some], links[some], *([other[k][c] for k in some] for c in range(3))]
+        return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()), strict=True)], names=["signature", "links", "doc_id", "line_no", "copy"])
+
+    counted = dealt.groupBy("key", "i", "j").applyInArrow(lambda key, rows: compare(key, rows), schema)
+    return counted.select("signature", "links", F.struct("doc_id", "line_no", "copy").alias("other"))
 
 
 def line_matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -281,9 +362,9 @@ def line_matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     table = common.materialise(line_table(rows.select("doc_id", "copy", "text"), counts, threshold), "line-sets")
     place = F.struct("doc_id", "line_no", "copy")
     firsts = common.materialise(table.groupBy("signature").agg(F.min(place).alias("first")), "first-lines")
-    found = links(table, threshold)
-    both = found.select(F.explode(F.array(F.struct(F.col("a").alias("s"), F.col("b").alias("o")), F.struct(F.col("b").alias("s"), F.col("a").alias("o")))).alias("l")).select("l.s", "l.o")
-    partner = both.join(firsts, F.col("o") == F.col("signature")).groupBy("s").agg(F.count("*").alias("links"), F.min("first").alias("other"))
+    pairs, meetings = candidates(table, threshold)
+    linked = listed_links(pairs, table, firsts, threshold).unionByName(counted_links(meetings, table, firsts, threshold))
+    partner = linked.groupBy(F.col("signature").alias("s")).agg(F.sum("links").alias("links"), F.min("other").alias("other"))
     known = firsts.join(partner, F.col("signature") == F.col("s"), "left").select(F.col("signature").alias("class_id"), F.coalesce("links", F.lit(0)).alias("links"), F.least("first", "other").alias("match"))
     out = table.select("doc_id", "copy", "line_no", "signature", F.col("n").alias("n_words")).join(known, F.col("signature") == F.col("class_id"))
     # repeated rows of one document share their place, so neither is later than the other

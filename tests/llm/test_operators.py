@@ -154,15 +154,16 @@ def test_line_dedup_matches_brute_force(spark):
     rows += [(200, None, None), (201, "", None), (None, rows[0][1], "en"), (202, rows[0][1], "en"), (202, rows[0][1], "en")]
     want = brute_lines([r[:2] for r in rows])
     names = ("doc_id", "line_no", "n_words", "links", "match_doc_id", "match_line_no", "removed")
-    for frequent in (0, 5, 10**9):  # words entered in pairs always, sometimes, never
-        saved = lines.FREQUENT
+    saved = lines.FREQUENT, lines.DENSE, lines.BLOCK
+    # words entered in pairs always, sometimes, never; keys dense always, sometimes, never; blocks of two lines or more
+    for frequent, dense, block in ((0, 1, 2), (5, 3, 2), (10**9, 2, 3), (5, 10**9, 2048)):
         try:
             table = docs(spark, rows)
-            lines.line_table.__defaults__ = (lines.THRESHOLD, frequent)
+            lines.line_table.__defaults__, lines.candidates.__defaults__, lines.BLOCK = (lines.THRESHOLD, frequent), (lines.THRESHOLD, dense), block
             got = sorted(tuple(r[n] for n in names) for r in lines.line_matches(table).collect())
         finally:
-            lines.line_table.__defaults__ = (lines.THRESHOLD, saved)
-        assert got == want
+            lines.line_table.__defaults__, lines.candidates.__defaults__, lines.BLOCK = (lines.THRESHOLD, saved[0]), (lines.THRESHOLD, saved[1]), saved[2]
+        assert got == want, (frequent, dense)
     gone = {(r[0], r[1]) for r in want if r[-1]}
     kept = {(r.doc_id, r.text) for r in lines.without_repeats(docs(spark, rows)).collect()}
     for i, t, _ in rows:
