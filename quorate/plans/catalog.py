@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import rounded
-from ..operators import agreement, align, api, cohesion, graph, integrity, latent, lifecycle, linkage, predict, stats, text, timeseries
+from ..operators import agreement, align, api, cohesion, graph, integrity, latent, lifecycle, linkage, predict, profiles, stats, text, timeseries
 from ..streaming import windows
 from . import adapter
 from .adapter import with_views
@@ -427,3 +427,47 @@ SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 6 hours AS stop, count(*) A
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Members by party unity, most loyal first."""
     return QUERIES["unity_maverick"](spark, sf_dir).orderBy(F.desc("unity"), "voter")
+
+# ---------------------------------------------------------------- profiles and model checks
+
+UNIFIED = UNITY + """,
+b AS (SELECT voter, avg(CASE WHEN choice = other THEN 1 ELSE 0 END) AS bpi FROM own GROUP BY voter),
+wide AS (SELECT m.*, unity, maverick, bpi FROM members m LEFT JOIN united USING (voter) LEFT JOIN b USING (voter))"""
+
+
+def _wide(t: Tables) -> DataFrame:
+    return profiles.unified(t.members, cohesion.unity(t.votes, t.members).select("voter", "unity", "maverick"), cohesion.bipartisanship(t.votes, t.members).select("voter", "bpi"))
+
+
+register("unified_members", on(_wide, "unity", "maverick", "bpi"), with_views(*VM, more=UNIFIED) + "SELECT voter, full_name, wide.party, chamber, district, round(unity, 6) AS unity, round(maverick, 6) AS maverick, round(bpi, 6) AS bpi FROM wide")
+register("scorecard", on(lambda t: profiles.scorecard(_wide(t), ["unity", "bpi"]), "value", "percentile"), with_views(*VM, more=UNIFIED) + """
+, l AS (SELECT voter, chamber, 'unity' AS measure, unity AS value FROM wide WHERE unity IS NOT NULL UNION ALL SELECT voter, chamber, 'bpi', bpi FROM wide WHERE bpi IS NOT NULL)
+SELECT voter, chamber, measure, round(value, 6) AS value, round(row_number() OVER (PARTITION BY chamber, measure ORDER BY round(value, 9), voter) / CAST(count(*) OVER (PARTITION BY chamber, measure) AS DOUBLE), 6) AS percentile FROM l""")
+register("extreme_members", on(lambda t: profiles.extremes(_wide(t), "unity"), "unity"), with_views(*VM, more=UNIFIED) + """
+, r AS (SELECT chamber, voter, unity, row_number() OVER (PARTITION BY chamber ORDER BY round(unity, 9) DESC, voter) AS t, row_number() OVER (PARTITION BY chamber ORDER BY round(unity, 9), voter) AS l FROM wide WHERE unity IS NOT NULL)
+SELECT chamber, voter, round(unity, 6) AS unity, CASE WHEN t <= 3 THEN 'top' ELSE 'bottom' END AS "end" FROM r WHERE t <= 3 OR l <= 3""")
+register("notable_defections", on(lambda t: profiles.notable_defections(t.votes, t.members), "weight"), with_views(*VM, more=SIDES) + """
+, d AS (SELECT *, CAST(row_number() OVER (PARTITION BY voter ORDER BY round(weight, 9) DESC, item) AS INTEGER) AS place FROM own WHERE choice <> own) SELECT voter, place, item, choice, round(weight, 6) AS weight FROM d WHERE place <= 3""")
+register("running_defections", on(lambda t: profiles.running_defections(t.votes, t.members, t.items)), with_views("items", *VM, more=SIDES) + """
+, d AS (SELECT voter, day, count(*) FILTER (WHERE choice <> own) AS x, count(*) AS n FROM own JOIN items USING (item) GROUP BY 1, 2)
+SELECT voter, day, CAST(sum(x) OVER w AS BIGINT) AS so_far, CAST(sum(n) OVER w AS BIGINT) AS "of" FROM d WINDOW w AS (PARTITION BY voter ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""")
+register("voting_record", on(lambda t: profiles.record(t.votes, t.members), "contested_rate", "other_rate"), with_views(*VM, more=COO) + """
+, s AS (SELECT item, least(avg(y), 1 - avg(y)) >= 0.3 AS contested FROM coo GROUP BY item)
+SELECT voter, party, round(avg(y) FILTER (WHERE contested), 6) AS contested_rate, round(avg(y) FILTER (WHERE NOT contested), 6) AS other_rate, count(*) AS n FROM coo JOIN s USING (item) JOIN members USING (voter) GROUP BY 1, 2""")
+register("motion_rates", on(lambda t: profiles.motion_rates(t.votes, t.items, t.members, "brand#1"), "with_word", "without"), with_views("items", *VM, more=CAST) + """
+, r AS (SELECT party, lower(motion) LIKE '%brand#1%' AS hit, CASE WHEN choice = 'Yea' THEN 1 ELSE 0 END AS y FROM cast_votes JOIN items USING (item) JOIN members USING (voter))
+SELECT party, round(avg(y) FILTER (WHERE hit), 6) AS with_word, round(avg(y) FILTER (WHERE NOT hit), 6) AS without, count(*) FILTER (WHERE hit) AS n FROM r GROUP BY party""")
+register("party_blocks", on(lambda t: profiles.party_blocks(_pairs(t), t.members), "agreement", "kappa"), with_views(*VM, more=PAIRS) + """
+SELECT least(x.party, z.party) AS one, greatest(x.party, z.party) AS other, count(*) AS pairs, round(avg(agreement), 6) AS agreement, round(avg(kappa), 6) AS kappa FROM pairs JOIN members x ON x.voter = a JOIN members z ON z.voter = b GROUP BY 1, 2""")
+register("trajectories", on(lambda t: profiles.trajectories(t.sessions), "net", "total", "largest"), with_views("sessions") + """
+, s AS (SELECT person, score - lag(score) OVER (PARTITION BY person ORDER BY session) AS step FROM sessions) SELECT person, count(*) AS sessions, round(sum(step), 6) AS net, round(sum(abs(step)), 6) AS total, round(max(abs(step)), 6) AS largest FROM s GROUP BY person""")
+register("service_gaps", on(lambda t: profiles.gaps(t.sessions)), with_views("sessions") + """
+, s AS (SELECT person, session, lag(session) OVER (PARTITION BY person ORDER BY session) AS before FROM sessions) SELECT person, before AS "left", session AS back, CAST(session - before - 1 AS INTEGER) AS missed FROM s WHERE session - before > 1""")
+register("sponsor_lists", on(lambda t: profiles.lists(t.items.select("item", F.concat_ws("; ", "motion", "chamber", F.lit(""), "bill").alias("sponsors")), "item", "sponsors")), with_views("items") + "SELECT item, CAST(p AS INTEGER) AS place, e AS entry FROM (SELECT item, unnest([0, 1, 3]) AS p, unnest([motion, chamber, bill]) AS e FROM items)")
+register("residual_correlations", on(lambda t: profiles.residual_correlations(_scored(t).where("item % 40 = 0")), "q3"), with_views(*VM, more=FEATURES) + """
+, e AS (SELECT voter, item, y - p AS e FROM scored WHERE item % 40 = 0), c AS (SELECT x.item AS a, z.item AS b, count(*) AS n, avg(x.e * z.e) - avg(x.e) * avg(z.e) AS cov, avg(x.e * x.e) - avg(x.e) * avg(x.e) AS va, avg(z.e * z.e) - avg(z.e) * avg(z.e) AS vb FROM e x JOIN e z ON x.voter = z.voter AND x.item < z.item GROUP BY 1, 2)
+SELECT a, b, n, round(cov / sqrt(va * vb), 6) AS q3, abs(cov / sqrt(va * vb)) > 0.2 AS flag FROM c WHERE n >= 3 AND va > 1e-12 AND vb > 1e-12""")
+register("log_likelihood", on(lambda t: profiles.log_likelihood(_scored(t)), "log_likelihood", "gmp", "apre"), with_views(*VM, more=FEATURES) + """
+, l AS (SELECT party, y, y * ln(greatest(1e-9, least(1 - 1e-9, p))) + (1 - y) * ln(1 - greatest(1e-9, least(1 - 1e-9, p))) AS ll, CASE WHEN (p >= 0.5) <> (y = 1) THEN 1 ELSE 0 END AS wrong FROM scored)
+SELECT party, round(sum(ll), 6) AS log_likelihood, round(exp(avg(ll)), 6) AS gmp, CAST(sum(wrong) AS BIGINT) AS errors, CAST(least(sum(y), sum(1 - y)) AS BIGINT) AS baseline_errors, round(1 - sum(wrong) / CAST(least(sum(y), sum(1 - y)) AS DOUBLE), 6) AS apre FROM l GROUP BY party""")
+register("calibration", on(lambda t: profiles.calibration(_scored(t)), "predicted", "observed"), with_views(*VM, more=FEATURES) + "SELECT CAST(least(floor(round(p, 9) * 10), 9) AS INTEGER) AS bin, count(*) AS n, round(avg(p), 6) AS predicted, round(avg(y), 6) AS observed FROM scored GROUP BY 1")
