@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import rounded
-from ..operators import agreement, align, api, cohesion, graph, integrity, latent, lifecycle, linkage, predict, profiles, stats, text, timeseries
+from ..operators import agreement, align, api, cohesion, graph, integrity, latent, lifecycle, linkage, predict, profiles, stats, text, timeseries, topics
 from ..streaming import windows
 from . import adapter
 from .adapter import with_views
@@ -471,3 +471,33 @@ register("log_likelihood", on(lambda t: profiles.log_likelihood(_scored(t)), "lo
 , l AS (SELECT party, y, y * ln(greatest(1e-9, least(1 - 1e-9, p))) + (1 - y) * ln(1 - greatest(1e-9, least(1 - 1e-9, p))) AS ll, CASE WHEN (p >= 0.5) <> (y = 1) THEN 1 ELSE 0 END AS wrong FROM scored)
 SELECT party, round(sum(ll), 6) AS log_likelihood, round(exp(avg(ll)), 6) AS gmp, CAST(sum(wrong) AS BIGINT) AS errors, CAST(least(sum(y), sum(1 - y)) AS BIGINT) AS baseline_errors, round(1 - sum(wrong) / CAST(least(sum(y), sum(1 - y)) AS DOUBLE), 6) AS apre FROM l GROUP BY party""")
 register("calibration", on(lambda t: profiles.calibration(_scored(t)), "predicted", "observed"), with_views(*VM, more=FEATURES) + "SELECT CAST(least(floor(round(p, 9) * 10), 9) AS INTEGER) AS bin, count(*) AS n, round(avg(p), 6) AS predicted, round(avg(y), 6) AS observed FROM scored GROUP BY 1")
+
+# ---------------------------------------------------------------- topics
+
+TOPICS = "topics AS (SELECT p_partkey AS item, p_type AS topic FROM part)"
+RATES = COO + ", " + TOPICS + """,
+rates AS (SELECT voter, topic, avg(y) AS rate, count(*) AS n FROM coo JOIN topics USING (item) GROUP BY 1, 2 HAVING count(*) >= 5)"""
+
+
+def _topics(t: Tables) -> DataFrame:
+    return t.part.select(F.col("p_partkey").alias("item"), F.col("p_type").alias("topic"))
+
+
+def _rates(t: Tables) -> DataFrame:
+    return topics.rates(agreement.encode(t.votes), _topics(t))
+
+
+register("eligible_topics", on(lambda t: topics.eligible(_topics(t), t.votes)), with_views("votes", more=TOPICS) + """
+SELECT topic, count(DISTINCT t.item) AS items, count(DISTINCT v.item) AS with_votes FROM topics t LEFT JOIN (SELECT DISTINCT item FROM votes) v ON v.item = t.item GROUP BY topic HAVING count(DISTINCT v.item) >= 10""")
+register("topic_cohesion", on(lambda t: topics.cohesion_by_topic(_riced(t), _topics(t)), "rice", "split"), with_views(*VM, more=RICED + ", " + TOPICS) + "SELECT topic, party, round(avg(rice), 6) AS rice, count(*) AS items, round(1 - avg(rice), 6) AS split FROM riced JOIN topics USING (item) WHERE rice IS NOT NULL GROUP BY 1, 2")
+register("topic_passage", on(lambda t: topics.passage(t.votes, _topics(t)), "passed"), with_views("votes", more=TOPICS) + """
+, t AS (SELECT item, count(*) FILTER (WHERE choice = 'Yea') AS yea, count(*) FILTER (WHERE choice = 'Nay') AS nay FROM votes GROUP BY item) SELECT topic, count(*) AS items, round(avg(CASE WHEN yea > nay THEN 1 ELSE 0 END), 6) AS passed FROM t JOIN topics USING (item) WHERE yea + nay > 0 GROUP BY topic""")
+register("topic_rates", on(_rates, "rate"), with_views("votes", more=RATES) + "SELECT voter, topic, round(rate, 6) AS rate, n FROM rates")
+register("topic_correlations", on(lambda t: topics.topic_correlations(_rates(t)), "r"), with_views("votes", more=RATES) + "SELECT x.topic AS one, z.topic AS two, count(*) AS n, round(CASE WHEN count(*) >= 3 THEN corr(x.rate, z.rate) END, 6) AS r FROM rates x JOIN rates z ON x.voter = z.voter AND x.topic < z.topic GROUP BY 1, 2")
+register("topic_outliers", on(lambda t: topics.topic_outliers(_rates(t), agreement.encode(t.votes)), "gap"), with_views("votes", more=RATES) + """
+, o AS (SELECT voter, avg(y) AS overall FROM coo GROUP BY voter), g AS (SELECT topic, voter, (rate - avg(rate) OVER w) / nullif(stddev_pop(rate) OVER w, 0) - (overall - avg(overall) OVER w) / nullif(stddev_pop(overall) OVER w, 0) AS gap FROM rates JOIN o USING (voter) WINDOW w AS (PARTITION BY topic)),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY topic ORDER BY round(abs(gap), 9) DESC, voter) AS INTEGER) AS place FROM g WHERE gap IS NOT NULL) SELECT topic, place, voter, round(gap, 6) AS gap FROM r WHERE place <= 10""")
+register("vote_vectors", on(lambda t: topics.vote_vectors(t.votes, t.embeddings.select(F.col("vec_id").alias("item"), F.col("embedding").alias("vector"))), "value"), with_views("votes") + """
+, r AS (SELECT voter, CASE WHEN choice = 'Yea' THEN 1.0 ELSE -1.0 END AS s, embedding, count(*) OVER (PARTITION BY voter) AS n FROM votes JOIN embeddings ON vec_id = item WHERE choice IN ('Yea', 'Nay')),
+e AS (SELECT voter, s, unnest(range(0, len(embedding))) AS place, CAST(unnest(embedding) AS DOUBLE) AS v FROM r WHERE n >= 20) SELECT voter, CAST(place AS INTEGER) AS place, round(avg(CAST(s AS DOUBLE) * v), 6) AS value FROM e GROUP BY 1, 2""")
+register("windowed_positions", on(lambda t: topics.windowed_positions(agreement.encode(t.votes), t.members, t.items), "score"))
