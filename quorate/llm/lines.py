@@ -311,13 +311,22 @@ def counted_links(meetings: DataFrame, table: DataFrame, firsts: DataFrame, thre
         rows = rows.sort_by("n")
         n, parity = np.minimum(rows.column("n").to_numpy().astype(np.int64), LONGEST), rows.column("parity").to_numpy().view(np.uint64)
         block, words = rows.column("block").to_numpy(), [set(t.lower().split()) for t in common.text_bytes(rows.column("line").combine_chunks()).to_pylist()]
-        places, dense = [], [set(d) for d in rows.column("dense").to_pylist()]
-        for size, keys, positions in zip(n.tolist(), rows.column("keys").to_pylist(), rows.column("positions").to_pylist(), strict=True):
-            place: dict[int, int] = {}
-            for k, p in zip(keys, positions, strict=True):
-                place[k] = min(place.get(k, LONGEST), p if size < LONGEST else 0)
-            places.append(place)
-        left = n - np.fromiter((p[here] for p in places), dtype=np.int64, count=len(places))
+        # what is left of a line from a key's word on, for each key that two lines of this group share
+        per_line = rows.column("keys").combine_chunks()
+        owner = np.repeat(np.arange(len(n)), pc.list_value_length(per_line).to_numpy())
+        keys = per_line.flatten().to_numpy().astype(np.int64)
+        rest = n[owner] - np.where(n[owner] < LONGEST, rows.column("positions").combine_chunks().flatten().to_numpy(), 0)
+        known, column, held = np.unique(keys, return_inverse=True, return_counts=True)
+        left = np.zeros(len(n), dtype=np.int64)
+        np.maximum.at(left, owner[keys == here], rest[keys == here])
+        # a pair that also meets under one of these is listed elsewhere or counted there
+        dense = np.unique(rows.column("dense").combine_chunks().flatten().to_numpy())
+        prior = (held > 1) & (known != here) & (~np.isin(known, dense) | (known < here))
+        place = np.cumsum(prior) - 1
+        before = np.full((len(n), max(1, int(prior.sum()))), -1, dtype=np.int32)
+        there = prior[column]
+        np.maximum.at(before, (owner[there], place[column[there]]), rest[there])
+        chunk = max(1, (4 << 20) // before.shape[1])
         order = list(zip(*(rows.column(c).to_pylist() for c in ("doc_id", "line_no", "copy")), strict=True))
         links, other = np.zeros(len(n), dtype=np.int64), [None] * len(n)
         live, step = np.arange(len(n) - 1), 1
@@ -330,11 +339,12 @@ def counted_links(meetings: DataFrame, table: DataFrame, firsts: DataFrame, thre
             near &= (np.bitwise_count(parity[live] ^ parity[at]) <= n[live] + n[at] - 2 * need) | (n[at] == LONGEST)
             if i != j:
                 near &= block[live] != block[at]
-            for x, y, least in zip(live[near].tolist(), at[near].tolist(), need[near].tolist(), strict=True):
-                p, q, nx, ny = places[x], places[y], n[x], n[y]
-                met = [k for k in p.keys() & q.keys() if min(nx - p[k], ny - q[k]) >= least]
-                if min(met) != here and all(k in dense[x] for k in met) or any(k not in dense[x] for k in met):
-                    continue  # listed elsewhere, or counted under a smaller key
+            first, second, least = live[near], at[near], need[near]
+            for c in range(0, len(first), chunk):
+                p, q, r = (v[c : c + chunk] for v in (first, second, least))
+                fresh = ~(np.minimum(before[p], before[q]) >= r[:, None]).any(axis=1)
+                first[c : c + chunk][~fresh] = -1
+            for x, y in zip(first[first >= 0].tolist(), second[first >= 0].tolist(), strict=True):
                 both = len(words[x] & words[y])
                 if both / (len(words[x]) + len(words[y]) - both) >= threshold - 1e-12:
                     for a, b in ((x, y), (y, x)):
