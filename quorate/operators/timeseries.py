@@ -87,7 +87,7 @@ def change_points(series: DataFrame, penalty: float | None = None) -> DataFrame:
         rows = rows.sort_values("place")
         x = rows["value"].to_numpy(dtype=float)
         if len(x) < 10:
-            return pd.DataFrame({"party": [], "place": []})
+            return pd.DataFrame({"party": pd.Series(dtype=object), "place": pd.Series(dtype="int64")})
         ends = pelt(x, penalty if penalty is not None else 2 * np.log(len(x)) * max(float(np.var(np.diff(x))) / 2, 1e-9))
         places = rows["place"].to_numpy()[[e for e in ends[:-1]]]
         return pd.DataFrame({"party": rows["party"].iloc[0], "place": places})

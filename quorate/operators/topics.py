@@ -71,7 +71,7 @@ def windowed_positions(coo: DataFrame, members: DataFrame, items: DataFrame, wid
         counts = part.groupby("voter")["y"].transform("size")
         part = part[counts >= min(least, part["item"].nunique() // 2)]
         if part["voter"].nunique() < 5:
-            return pd.DataFrame({"chamber": [], "window": [], "voter": [], "score": []})
+            return pd.DataFrame({"chamber": pd.Series(dtype=object), "window": pd.Series(dtype="int64"), "voter": pd.Series(dtype=object), "score": pd.Series(dtype=float)})
         m = part.pivot_table(index="voter", columns="item", values="y")
         x = m.to_numpy(float)
         x = np.where(np.isnan(x), np.nanmean(x, axis=1, keepdims=True), x)

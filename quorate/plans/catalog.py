@@ -500,4 +500,4 @@ r AS (SELECT *, CAST(row_number() OVER (PARTITION BY topic ORDER BY round(abs(ga
 register("vote_vectors", on(lambda t: topics.vote_vectors(t.votes, t.embeddings.select(F.col("vec_id").alias("item"), F.col("embedding").alias("vector"))), "value"), with_views("votes") + """
 , r AS (SELECT voter, CASE WHEN choice = 'Yea' THEN 1.0 ELSE -1.0 END AS s, embedding, count(*) OVER (PARTITION BY voter) AS n FROM votes JOIN embeddings ON vec_id = item WHERE choice IN ('Yea', 'Nay')),
 e AS (SELECT voter, s, unnest(range(0, len(embedding))) AS place, CAST(unnest(embedding) AS DOUBLE) AS v FROM r WHERE n >= 20) SELECT voter, CAST(place AS INTEGER) AS place, round(avg(CAST(s AS DOUBLE) * v), 6) AS value FROM e GROUP BY 1, 2""")
-register("windowed_positions", on(lambda t: topics.windowed_positions(agreement.encode(t.votes), t.members, t.items), "score"))
+register("windowed_positions", on(lambda t: topics.windowed_positions(agreement.encode(t.votes), t.members, t.items, least=8), "score"))
