@@ -42,9 +42,10 @@ MIN_WORDS = 5
 THRESHOLD = 0.8
 SKETCH_BITS = 21
 #: Words that occur more often in the corpus are entered in pairs.
-FREQUENT = 300
+FREQUENT = 1000
 #: A key under which more lines meet is dense: their matches are counted where they meet, not listed.
-DENSE = 64
+#: Above FREQUENT, so that chance meetings under one word are listed and rejected.
+DENSE = 1050
 #: Lines of a dense key that one task compares with as many others.
 BLOCK = 2048
 #: Line length in words that fits the packed entries; longer lines pass their filters and are verified.
