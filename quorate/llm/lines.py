@@ -17,8 +17,9 @@ lists.  Equal sets are one class from the start (64-bit signature), and only cla
 
 Near copies come in groups whose matches grow with the square of the group.  Where more than
 ``DENSE`` lines meet under a key, their matches are verified and counted on the spot, in blocks,
-and one row per line and key leaves the task.  A pair is counted once: as a listed pair if it meets
-under any key that isn't dense, else under the smallest key under which it meets.
+and one row per line and key leaves the task.  A pair that is known to share an earlier word is left to
+the earlier key; what is still met twice counts once: as a listed pair if a key of it isn't dense,
+else under the smallest of its keys.
 
 Defined results: null and empty texts have no lines to compare; rows without an id take no part
 and keep their text; rows that repeat an id are told apart by their text, and fully repeated rows
@@ -129,8 +130,12 @@ class LineReader:
         row = np.searchsorted(offsets, kept, side="right") - 1
         return {"lines": lines, "kept": kept, "row": row, "number": kept - offsets[row], "n": n[kept], "signature": _mix(signature), "parity": parity, "starts": starts[kept], "hash": hashes[word], "often": often[word]}
 
-    def keys(self, read: dict, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(key, position of its first word, number of keys per line) of the chosen lines."""
+    def keys(self, read: dict, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(key, position of its first word, marks of the words before it, number of keys per line) of the chosen lines.
+
+        The marks are two minima of 32-bit hashes of the words before the key's last word, without
+        its first.  Two lines with an equal mark share such a word, so they meet under an earlier key.
+        """
         n, starts = read["n"][chosen], read["starts"][chosen]
         length = prefix_length(n, self.threshold)
         at = common.gather_ranges(starts, length)
@@ -139,6 +144,11 @@ class LineReader:
         common_word = read["often"][at] > self.frequent
         key, out_owner = read["hash"][at[~common_word]], owner[~common_word]
         out_position = position[~common_word]
+        mixed = _mix(read["hash"] + np.uint64(1))
+        halves = [(mixed >> np.uint64(32)).astype(np.int64), (mixed & np.uint64(0xFFFFFFFF)).astype(np.int64)]
+        # minima over the words before each position of a line
+        before = [_running_minimum(np.where(position == 0, _NONE, h[np.maximum(at - 1, 0)]), owner) for h in halves]
+        marks = [b[~common_word] for b in before]
         # pairs of a frequent word with each later word of the prefix that is one word longer
         first, own, pos = at[common_word], owner[common_word], position[common_word]
         rest = np.minimum(length[own] + 1, n[own]) - pos - 1
@@ -146,18 +156,41 @@ class LineReader:
         one = np.repeat(np.arange(len(first)), rest)
         key = np.r_[key, _mix(read["hash"][first[one]] ^ _mix(read["hash"][second]))]
         out_owner, out_position = np.r_[out_owner, own[one]], np.r_[out_position, pos[one]]
+        opens = second == first[one] + 1
+        for k, h in enumerate(halves):
+            between = np.where(opens, before[k][common_word][one], h[second - 1]) if len(second) else np.zeros(0, np.int64)
+            marks[k] = np.r_[marks[k], _running_minimum(between, one)]
+        mark = (marks[0].astype(np.uint64) << np.uint64(32)) | marks[1].astype(np.uint64)
         order = np.argsort(out_owner, kind="stable")
         # half a hash is enough: keys that meet by chance only make more pairs to reject
-        return (key[order] >> np.uint64(32)).astype(np.uint32), out_position[order], np.bincount(out_owner, minlength=len(chosen))
+        return (key[order] >> np.uint64(32)).astype(np.uint32), out_position[order], mark[order], np.bincount(out_owner, minlength=len(chosen))
+
+
+#: Mark of no words; hashes stay below it.
+_NONE = 0xFFFFFFFF
+
+
+def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether neither half of two marks says that an earlier word is shared."""
+    none, half = np.uint64(_NONE), np.uint64(32)
+    return ((a >> half != b >> half) | (a >> half == none)) & ((a & none != b & none) | (a & none == none))
+
+
+def _running_minimum(values: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """Minimum so far within each group of rising numbers; values lie below 2**32."""
+    if not len(values):
+        return values.astype(np.int64)
+    fall = (int(group[-1]) - group.astype(np.int64)) << 32
+    return np.minimum.accumulate(fall + values) - fall
 
 
 def line_table(docs: DataFrame, counts: np.ndarray, threshold: float = THRESHOLD, frequent: int = FREQUENT) -> DataFrame:
-    """(doc_id, copy, line_no, signature, n, parity, line, keys, positions) from (doc_id, copy, text).
+    """(doc_id, copy, line_no, signature, n, parity, line, keys, positions, marks) from (doc_id, copy, text).
 
-    The last three are null where the task has seen the same set just before.
+    The last four are null where the task has seen the same set just before.
     """
     sketch = docs.sparkSession.sparkContext.broadcast(counts)  # fixed size
-    schema = "doc_id long, copy long, line_no int, signature long, n int, parity long, line string, keys array<int>, positions array<int>"
+    schema = "doc_id long, copy long, line_no int, signature long, n int, parity long, line string, keys array<int>, positions array<int>, marks array<long>"
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader, seen = LineReader(sketch.value, threshold, frequent), set()
@@ -175,7 +208,7 @@ def line_table(docs: DataFrame, counts: np.ndarray, threshold: float = THRESHOLD
                 if len(seen) > 500_000:
                     seen.clear()  # only saves repeats; the join below removes the others
                 chosen = np.flatnonzero(new)
-                key, position, per_line = reader.keys(got, chosen)
+                key, position, mark, per_line = reader.keys(got, chosen)
                 sizes = np.zeros(len(marks), dtype=np.int64)
                 sizes[chosen] = per_line
                 mask = pa.array(~new)
@@ -184,9 +217,9 @@ def line_table(docs: DataFrame, counts: np.ndarray, threshold: float = THRESHOLD
                 line = pc.if_else(mask, pa.scalar(None, pa.string()), got["lines"].take(pa.array(got["kept"])).cast(pa.string()))
                 columns = [
                     batch.column("doc_id").take(take), batch.column("copy").take(take), pa.array(got["number"], pa.int32()), pa.array(got["signature"].view(np.int64)), pa.array(got["n"], pa.int32()), pa.array(got["parity"].view(np.int64)), line,
-                    pa.ListArray.from_arrays(offsets, pa.array(key.view(np.int32))), pa.ListArray.from_arrays(offsets, pa.array(position.astype(np.int32))),
+                    pa.ListArray.from_arrays(offsets, pa.array(key.view(np.int32))), pa.ListArray.from_arrays(offsets, pa.array(position.astype(np.int32))), pa.ListArray.from_arrays(offsets, pa.array(mark.view(np.int64))),
                 ]
-                yield pa.record_batch(columns, names=["doc_id", "copy", "line_no", "signature", "n", "parity", "line", "keys", "positions"])
+                yield pa.record_batch(columns, names=["doc_id", "copy", "line_no", "signature", "n", "parity", "line", "keys", "positions", "marks"])
 
     return docs.mapInArrow(read, schema)
 
@@ -195,17 +228,17 @@ def candidates(table: DataFrame, threshold: float = THRESHOLD, dense: int = DENS
     """(pairs, meetings): pairs (a, b) of signatures that pass the filters under a key that isn't dense,
     and meetings (key, signature, size) under dense keys.
     """
-    entries = table.where("line is not null").select("signature", "n", "parity", F.explode(F.arrays_zip("keys", "positions")).alias("e"))
+    entries = table.where("line is not null").select("signature", "n", "parity", F.explode(F.arrays_zip("keys", "positions", "marks")).alias("e"))
     # key, length and position in one number, whose order is that of the three
     n, position = F.least(F.col("n"), F.lit(LONGEST)).cast("long"), F.when(F.col("n") < LONGEST, F.col("e.positions")).otherwise(0).cast("long")
     packed = F.shiftleft(F.col("e.keys").cast("long"), 32).bitwiseOR(F.shiftleft(n, 16)).bitwiseOR(position)
-    entries = entries.select(F.col("e.keys").alias("key"), packed.alias("entry"), "signature", "parity")
+    entries = entries.select(F.col("e.keys").alias("key"), packed.alias("entry"), "signature", "parity", F.col("e.marks").alias("mark"))
     tasks = int(table.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    entries = entries.repartition(tasks, "key").sortWithinPartitions("entry", "signature").select("entry", "signature", "parity")
+    entries = entries.repartition(tasks, "key").sortWithinPartitions("entry", "signature").select("entry", "signature", "parity", "mark")
 
-    def meet(entry, signature, parity):
+    def meet(entry, signature, parity, mark):
         fresh = np.r_[True, (entry[1:] != entry[:-1]) | (signature[1:] != signature[:-1])]
-        entry, signature, parity = entry[fresh], signature[fresh], parity[fresh].view(np.uint64)
+        entry, signature, parity, mark = entry[fresh], signature[fresh], parity[fresh].view(np.uint64), mark[fresh].view(np.uint64)
         key, n, position = entry >> 32, (entry >> 16) & 0xFFFF, entry & 0xFFFF
         ends = np.r_[np.flatnonzero(key[1:] != key[:-1]) + 1, len(key)]
         sizes = np.diff(np.r_[0, ends])
@@ -221,6 +254,8 @@ def candidates(table: DataFrame, threshold: float = THRESHOLD, dense: int = DENS
             near = np.minimum(n[live] - position[live], n[other] - position[other]) >= need
             differ = np.bitwise_count(parity[live] ^ parity[other])
             near &= (signature[live] != signature[other]) & ((differ <= n[live] + n[other] - 2 * need) | (n[other] == LONGEST))
+            # what shares an earlier word has met before
+            near &= _apart(mark[live], mark[other])
             if near.any():
                 a, b = signature[live[near]], signature[other[near]]
                 yield _rows(np.zeros(len(a), np.int64), np.minimum(a, b), np.maximum(a, b), np.zeros(len(a), np.int64))
@@ -242,7 +277,7 @@ def candidates(table: DataFrame, threshold: float = THRESHOLD, dense: int = DENS
                 yield _distinct(found)
 
         for batch in batches:
-            held.append([batch.column(c).to_numpy() for c in ("entry", "signature", "parity")])
+            held.append([batch.column(c).to_numpy() for c in ("entry", "signature", "parity", "mark")])
             size += batch.num_rows
             if size >= 1 << 18:
                 columns = [np.concatenate(c) for c in zip(*held, strict=True)]
@@ -281,9 +316,11 @@ def listed_links(pairs: DataFrame, table: DataFrame, firsts: DataFrame, threshol
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, y = (common.text_bytes(batch.column(c)).to_pylist() for c in ("x", "y"))
-            ok = np.fromiter((jaccard(p, q) >= threshold - 1e-12 for p, q in zip(x, y, strict=True)), dtype=bool, count=len(x))
-            yield batch.select(["a", "b"]).filter(pa.array(ok))
+            for lo, hi in common.pieces(batch, "x"):
+                part = batch.slice(lo, hi - lo)
+                x, y = (common.text_bytes(part.column(c)).to_pylist() for c in ("x", "y"))
+                ok = np.fromiter((jaccard(p, q) >= threshold - 1e-12 for p, q in zip(x, y, strict=True)), dtype=bool, count=len(x))
+                yield part.select(["a", "b"]).filter(pa.array(ok))
 
     found = joined.mapInArrow(verify, "a long, b long")
     both = found.select(F.explode(F.array(F.struct(F.col("a").alias("s"), F.col("b").alias("o")), F.struct(F.col("b").alias("s"), F.col("a").alias("o")))).alias("l")).select("l.s", "l.o")
@@ -299,9 +336,9 @@ def _once(table: DataFrame, wanted: DataFrame, *columns: str) -> DataFrame:
 def counted_links(meetings: DataFrame, table: DataFrame, firsts: DataFrame, threshold: float) -> DataFrame:
     """(signature, links, other) from meetings under dense keys, counted in blocks of each key."""
     meetings = common.materialise(meetings, "meetings")
-    known = _once(table, meetings.select("signature"), "signature", "n", "parity", "line", "keys", "positions").join(firsts, "signature")
+    known = _once(table, meetings.select("signature"), "signature", "n", "parity", "line", "keys", "positions", "marks").join(firsts, "signature")
     own = meetings.groupBy("signature").agg(F.collect_set("key").alias("dense"))
-    known = known.join(own, "signature").select("signature", "n", "parity", "line", "keys", "positions", "dense", "first.*")
+    known = known.join(own, "signature").select("signature", "n", "parity", "line", "keys", "positions", "marks", "dense", "first.*")
     blocks = F.greatest(F.lit(1), F.ceil(F.col("size") / BLOCK)).cast("int")
     dealt = meetings.join(known, "signature").withColumn("block", F.pmod(F.xxhash64("signature"), blocks).cast("int"))
     dealt = dealt.withColumn("with", F.explode(F.sequence(F.lit(0), blocks - 1))).withColumns({"i": F.least("block", "with"), "j": F.greatest("block", "with")})
@@ -320,6 +357,9 @@ def counted_links(meetings: DataFrame, table: DataFrame, firsts: DataFrame, thre
         known, column, held = np.unique(keys, return_inverse=True, return_counts=True)
         left = np.zeros(len(n), dtype=np.int64)
         np.maximum.at(left, owner[keys == here], rest[keys == here])
+        mark = rows.column("marks").combine_chunks().flatten().to_numpy().view(np.uint64)
+        mine = np.zeros(len(n), dtype=np.uint64)
+        mine[owner[keys == here]] = mark[keys == here]
         # a pair that also meets under one of these is listed elsewhere or counted there
         dense = np.unique(rows.column("dense").combine_chunks().flatten().to_numpy())
         prior = (held > 1) & (known != here) & (~np.isin(known, dense) | (known < here))
@@ -327,6 +367,8 @@ def counted_links(meetings: DataFrame, table: DataFrame, firsts: DataFrame, thre
         before = np.full((len(n), max(1, int(prior.sum()))), -1, dtype=np.int32)
         there = prior[column]
         np.maximum.at(before, (owner[there], place[column[there]]), rest[there])
+        marked = np.zeros(before.shape, dtype=np.uint64)
+        marked[owner[there], place[column[there]]] = mark[there]
         chunk = max(1, (4 << 20) // before.shape[1])
         order = list(zip(*(rows.column(c).to_pylist() for c in ("doc_id", "line_no", "copy")), strict=True))
         links, other = np.zeros(len(n), dtype=np.int64), [None] * len(n)
@@ -338,12 +380,13 @@ def counted_links(meetings: DataFrame, table: DataFrame, firsts: DataFrame, thre
             need = overlap_needed(n[live], n[at], threshold)
             near = np.minimum(left[live], left[at]) >= need
             near &= (np.bitwise_count(parity[live] ^ parity[at]) <= n[live] + n[at] - 2 * need) | (n[at] == LONGEST)
+            near &= _apart(mine[live], mine[at])
             if i != j:
                 near &= block[live] != block[at]
             first, second, least = live[near], at[near], need[near]
             for c in range(0, len(first), chunk):
                 p, q, r = (v[c : c + chunk] for v in (first, second, least))
-                fresh = ~(np.minimum(before[p], before[q]) >= r[:, None]).any(axis=1)
+                fresh = ~((np.minimum(before[p], before[q]) >= r[:, None]) & _apart(marked[p], marked[q])).any(axis=1)
                 first[c : c + chunk][~fresh] = -1
             for x, y in zip(first[first >= 0].tolist(), second[first >= 0].tolist(), strict=True):
                 both = len(words[x] & words[y])
