@@ -32,7 +32,7 @@ from . import common
 END_ID = 2
 WINDOW = 4096
 #: Words whose ids a Python worker keeps; beyond it the memory is emptied and refilled.
-CACHE_WORDS = 1_300_000
+CACHE_WORDS = 600_000
 
 
 def vocabulary_path(name: str = "word_bpe_49k.json") -> str:
