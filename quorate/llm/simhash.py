@@ -264,12 +264,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def survivors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, radius: int = 3) -> DataFrame:
-    """``docs`` with one document of each near-duplicate group: the one of the smallest id.
+    """``docs`` with one document of each near-duplicate group, see ``keep_first``."""
+    return keep_first(docs, near_duplicates(docs, id_col, text_col, width, radius), id_col)
+
+
+def keep_first(docs: DataFrame, groups: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """``docs`` with one document of each group (doc_id, component_id): the one of the smallest id.
 
     All columns stay.  Of rows that repeat the surviving id one stays; rows without an id stay, as
     no group decision can name them.
     """
-    found = near_duplicates(docs, id_col, text_col, width, radius).where("doc_id is not null")
+    found = groups.where("doc_id is not null")
     found = common.materialise(found.groupBy("doc_id").agg(F.min("component_id").alias("component_id"), F.count("*").alias("n")), "groups")
     gone = common.small_side(common.materialise(found.where("doc_id <> component_id or n > 1").select("doc_id"), "gone"))
     kept = common.by_id(docs, id_col, gone, "left_anti")
