@@ -1,8 +1,8 @@
 """Line dedup: exact set-similarity join of the lines of all documents.
 
-A line is the set of its words (A-Z lower-cased, cut at ASCII white space); lines of fewer than
-``MIN_WORDS`` different words are never compared or removed.  Two lines match when the Jaccard
-similarity of their sets is at least ``threshold``.  Lines are ordered by document id, then line
+A line is the set of its words (A-Z lower-cased, cut at ASCII white space); lines
+without words are never compared or removed.  Two lines match when the Jaccard similarity of their
+sets is at least ``threshold``.  Lines are ordered by document id, then line
 number; a line is removed when an earlier line matches it.
 
 Method.  Words are ordered by rarity: a fixed-size sketch counts all words of the corpus, and any
@@ -13,7 +13,8 @@ hash bit (two sets differ in at least as many words as their bitmaps in bits); t
 verified on their words.  A word
 that is frequent in the whole corpus is entered together with a second word of the prefix made one
 word longer (two matching lines share two words there), so that common words don't gather long
-lists.  Equal sets are one class from the start (64-bit signature), and only classes are joined.
+lists.  Equal sets are one class from the start (64-bit signature), and only classes are joined;
+sets so short that one more word is below the threshold match equal sets only and aren't entered.
 
 Near copies come in groups whose matches grow with the square of the group.  Where more than
 ``DENSE`` lines meet under a key, their matches are verified and counted on the spot, in blocks,
@@ -39,7 +40,8 @@ from pyspark.sql import functions as F
 
 from . import common
 
-MIN_WORDS = 5
+#: Different words of a line that is compared: any line that has words.
+MIN_WORDS = 1
 THRESHOLD = 0.8
 SKETCH_BITS = 21
 #: Words that occur more often in the corpus are entered in pairs.
@@ -207,7 +209,7 @@ def line_table(docs: DataFrame, counts: np.ndarray, threshold: float = THRESHOLD
                         seen.add(s)
                 if len(seen) > 500_000:
                     seen.clear()  # only saves repeats; the join below removes the others
-                chosen = np.flatnonzero(new)
+                chosen = np.flatnonzero(new & (got["n"] >= threshold * (got["n"] + 1) - 1e-9))
                 key, position, mark, per_line = reader.keys(got, chosen)
                 sizes = np.zeros(len(marks), dtype=np.int64)
                 sizes[chosen] = per_line
