@@ -1,9 +1,8 @@
 """Language-model scoring with an Elias-Fano n-gram trie.
 
 Training counts every token of the training texts (words between ASCII white space, A-Z
-lower-cased, then one end per text) and all pairs of neighbouring tokens; pairs seen once are
-pruned, as usual in such models.  Probabilities interpolate pairs by absolute discounting with the
-smoothed unigrams and sum to one for every context.
+lower-cased, then one end per text) and all pairs of neighbouring tokens, those seen once too.
+Probabilities interpolate pairs by absolute discounting with the smoothed unigrams and sum to one for every context.
 
 The trie is cut into shards by word hash.  A shard holds its words as a monotone sequence of
 hashes, their counts and back-off weights, monotone pointers into the next level, and there the
@@ -12,9 +11,9 @@ relative to its context), with quantised log probabilities.  A pair is found by
 relative to its context.  Shards are files in shared storage which tasks map into memory, so the
 model may be larger than any executor's memory and nothing but their names is broadcast.
 
-Scale: counts are combined in every task and travel as packed blocks.  Pair counts are merged and
-pruned by (shard, slice of the second word), so that a context that holds a large share of all
-pairs is split; only what survives is gathered to build a shard.
+Scale: counts are combined in every task and travel as packed blocks.  Pair counts are first merged
+by (shard, slice of the second word), so that a context that holds a large share of all pairs is
+split; one row per slice is gathered to build a shard.
 
 Defined results: a null text is empty and has the end token only; null ids hash as empty text and
 repeated rows each get a row and count each; without training rows all counts are 0; an empty
@@ -37,7 +36,7 @@ from .elias_fano import Sequence, read_arrays, write_arrays
 
 END = b"\n"  # no word holds white space
 DISCOUNT = 0.75
-LEAST = 2  # pairs seen less often are pruned
+LEAST = 1  # pairs seen less often are pruned: none, all that were seen count
 SLICES = 8
 PIECE = 16 << 20
 #: Log probabilities are kept as multiples of this step below zero.
