@@ -6,9 +6,10 @@ locates the new turn's span, and an output that doesn't begin with the one befor
 template rewrites history.  The text's place inside its span is found by rendering the turn once
 more with a marker for its text.
 
-Memory and time are bounded for conversations of any length: beyond ``window`` turns the prefix
-that is rendered is the first turn and the last ``window`` - 1, so a template that rewrites what
-lies further back isn't noticed there.  Rows are sorted within partitions and streamed; no
+Every prefix is rendered whole, so time grows with the square of a conversation's turns and memory
+with its length.  A template declared ``stateless`` (an attribute that is true: what it writes for a
+turn depends on that turn alone) can't tell a window from the whole, so beyond ``window`` turns only
+the first turn and the last ``window`` - 1 are rendered for it.  Rows are sorted within partitions and streamed; no
 conversation is gathered as a group.
 
 Defined results: a null text is empty, a null role the empty role; turns that tie are ordered by
@@ -52,6 +53,9 @@ def marked_turns(turns: list[Turn]) -> str:
     return "".join(f"{OPEN}{escape(role)}\n{escape(text)}{CLOSE}" for role, text in turns)
 
 
+marked_turns.stateless = True
+
+
 def read_back(span: str) -> Turn:
     """The turn that ``marked_turns`` wrote as this span."""
     role, _, text = span[len(OPEN) : -len(CLOSE)].partition("\n")
@@ -62,14 +66,14 @@ class Renderer:
     """Feeds one conversation's turns to a template and locates each turn's span."""
 
     def __init__(self, template: Callable[[list[Turn]], str], window: int = 32):
-        self.template, self.window = template, window
+        self.template, self.window = template, window if getattr(template, "stateless", False) else None
         self.turns: list[Turn] = []
         self.before = template([])
         self.at = len(self.before)
 
     def add(self, role: str, text: str) -> tuple[str, int, int, int, bool]:
         """(span, its start, the text's start and end inside the span, whether history was rewritten)."""
-        if len(self.turns) >= self.window:
+        if self.window and len(self.turns) >= self.window:
             self.turns = [self.turns[0], *self.turns[2:]]
             self.before = self.template(self.turns)
         out = self.template([*self.turns, (role, text)])
