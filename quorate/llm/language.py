@@ -1,7 +1,8 @@
 """Language identification by Bayesian evidence fusion.
 
 Text likelihoods come from hashed byte trigrams, one multinomial per language, fitted on a bounded
-sample of declared rows (``SAMPLE_ROWS`` a language).  They are fused with the declared (markup)
+sample of declared rows (``SAMPLE_ROWS`` a language).  Every language that is declared has a model,
+regions folded together; the models' size grows with their number.  They are fused with the declared (markup)
 language and with host priors that are smoothed hierarchically: all rows, address suffix,
 registered domain, host.  The declaration table and the priors are grouped aggregations over all
 rows.  Neighbouring trigrams depend on one another, so a text counts as ``EFFECTIVE`` trigrams at
@@ -29,8 +30,6 @@ from . import common, ngrams
 
 #: Rows per declared language that the trigram model is fitted on, about.
 SAMPLE_ROWS = 3000
-#: Languages that the model holds at most: those declared most often.
-LANGUAGES = 64
 BITS = 16
 EFFECTIVE = 150
 #: Trigrams that a text needs to count for its host and its declaration.
@@ -39,10 +38,15 @@ UNKNOWN = "und"
 _TABLE = ngrams.byte_map(letters_only=True)
 
 
+def base_language(declared: Column) -> Column:
+    """A declaration without its region or script: "pt-BR" and "PT_pt" are "pt"."""
+    return F.lower(F.trim(F.substring_index(F.translate(declared, "_", "-"), "-", 1)))
+
+
 def fit(docs: DataFrame, text_col: str, declared_col: str, key_col: str) -> tuple[list[str], np.ndarray]:
     """(languages, log probability of each bucket for each language, the last row for ``und``)."""
-    rows = docs.select(F.col(key_col).alias("k"), F.col(text_col).alias("text"), F.lower(F.col(declared_col)).alias("lang")).where("lang is not null and lang <> '' and text is not null")
-    found = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    rows = docs.select(F.col(key_col).alias("k"), F.col(text_col).alias("text"), base_language(F.col(declared_col)).alias("lang")).where("lang is not null and lang <> '' and text is not null")
+    found = rows.groupBy("lang").count().collect()
     names = sorted(r["lang"] for r in found)
     if not names:
         return [UNKNOWN], np.full((1, 1 << BITS), -BITS * np.log(2), dtype=np.float32)
@@ -62,7 +66,7 @@ def fit(docs: DataFrame, text_col: str, declared_col: str, key_col: str) -> tupl
         yield pa.record_batch([pa.array(lang.astype(np.int32)), pa.array(bucket.astype(np.int32)), pa.array(sums[lang, bucket])], names=["lang", "bucket", "n"])
 
     counts = np.zeros((len(names), 1 << BITS))
-    # at most LANGUAGES * 2**BITS small rows reach the driver
+    # at most 2**BITS small rows a language reach the driver
     table = sample.mapInArrow(count, "lang int, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     counts[table["lang"], table["bucket"]] = table["n"]
     smooth = 0.05
@@ -78,7 +82,7 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", de
     host = F.translate(F.coalesce(F.regexp_extract(address, "^[^/?#:]*", 0), F.col("__h")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     rows = rows.withColumn("host", host).drop("__u", "__h")
     names, logs = fit(rows, "text", "declared", "doc_id")
-    book = spark.sparkContext.broadcast(logs)  # LANGUAGES + 1 rows of 2**BITS numbers at most
+    book = spark.sparkContext.broadcast(logs)  # 2**BITS numbers a language
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.ascontiguousarray(book.value)
