@@ -7,11 +7,13 @@ executors, so a lost executor costs only its running tasks.
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import os
 import tempfile
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -68,6 +70,28 @@ def discard(df: DataFrame) -> None:
         jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jvm_path, True)
 
 
+def release() -> None:
+    """Give memory that Arrow and the C library hold for later back to the system, as Python workers outlive their task."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def tidy(task: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """An Arrow task that gives its memory back when it ends."""
+
+    @functools.wraps(task)
+    def run(batches: Iterator) -> Iterator:
+        try:
+            yield from task(batches)
+        finally:
+            release()
+
+    return run
+
+
 def text_bytes(column: pa.Array) -> pa.Array:
     """A text column as binary without decoding; nulls become empty."""
     if column.null_count:
@@ -192,13 +216,23 @@ def free_name(df: DataFrame, wish: str) -> str:
     return wish
 
 
-def by_id(docs: DataFrame, id_col: str, ids: DataFrame, how: str) -> DataFrame:
-    """Semi or anti join of ``docs`` with the one column of ``ids``, whatever the names on either side."""
-    key = free_name(docs, "__id")
-    renamed = ids.withColumnRenamed(ids.columns[0], key)
-    return docs.join(renamed, docs[id_col].cast("long") == renamed[key], how)
+def copy_of(text):
+    """What tells texts apart that share an id: a hash of the text, null counting as empty."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
+def by_copy(docs: DataFrame, id_col: str, text_col: str, found: DataFrame, how: str) -> DataFrame:
+    """Semi or anti join of ``docs`` with (doc_id, copy) of a written table, whatever the names on either side."""
+    names = [free_name(docs, n) for n in ("__id", "__copy")]
+    renamed = small_side(found.select("doc_id", "copy")).toDF(*names)
+    return docs.join(renamed, (docs[id_col].cast("long") == renamed[names[0]]) & (copy_of(docs[text_col]) == renamed[names[1]]), how)
+
+
+def written_bytes(df: DataFrame) -> int:
+    """Size of a written table by the optimizer's account of its files."""
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
 
 
 def small_side(df: DataFrame, rows: int = 1_000_000) -> DataFrame:
-    """Marks a written table of narrow rows for broadcast if it has at most ``rows``; else the join is left to the optimizer."""
-    return F.broadcast(df) if df.count() <= rows else df
+    """Marks a written table for broadcast if it has at most ``rows`` rows and 32 bytes a row; else the join is left to the optimizer."""
+    return F.broadcast(df) if written_bytes(df) <= 32 * rows and df.count() <= rows else df

@@ -74,28 +74,25 @@ def block_probes(df: DataFrame) -> DataFrame:
     return df.withColumn("__k", F.explode(F.concat(*entries))).withColumns({"block": F.col("__k.block"), "value": F.col("__k.value")}).drop("__k")
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """(doc_id, item_id, similarity, start, distance): the best window of each document and item that match.
-
-    ``start`` counts words from 0, ``distance`` the differing bits of the fingerprints.
-    """
+def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """(doc_id, copy, item_id, similarity, start, distance): every window and item that match; copy is a hash of the document's text."""
     items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).alias("text")).where("item_id is not null and text is not null").distinct()
     items = with_shingles(items, "text").where("size(shingles) > 0").select("item_id", F.xxhash64("text").alias("item_copy"), F.size("shingles").alias("n"), "shingles")
     items = common.materialise(items, "items")
     places = common.materialise(items.select("n", F.posexplode("shingles").alias("place", "shingle")).distinct(), "item-shingles")
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null and text is not null")
-    each = with_shingles(rows, "text").select("doc_id", F.size("shingles").alias("held"), F.posexplode("shingles").alias("at", "shingle"))
-    hits = each.join(places, "shingle").select("doc_id", "held", "n", (F.col("at") - F.col("place")).alias("start"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), common.copy_of(F.col(text_col)).alias("copy"), F.col(text_col).alias("text")).where("doc_id is not null and text is not null")
+    each = with_shingles(rows, "text").select("doc_id", "copy", F.size("shingles").alias("held"), F.posexplode("shingles").alias("at", "shingle"))
+    hits = each.join(places, "shingle").select("doc_id", "copy", "held", "n", (F.col("at") - F.col("place")).alias("start"))
     # windows end with the document
     start = F.greatest(F.lit(0), F.least(F.col("start"), F.col("held") - F.col("n")))
-    windows = common.materialise(hits.select("doc_id", "n", start.alias("start")).distinct(), "windows")
+    windows = common.materialise(hits.select("doc_id", "copy", "n", start.alias("start")).distinct(), "windows")
 
-    touched = common.materialise(windows.select(F.col("doc_id").alias("hit")).distinct(), "touched")
-    near = rows.join(touched, F.col("doc_id") == F.col("hit"), "left_semi").distinct()
-    near = with_shingles(near, "text").select(F.col("doc_id").alias("d"), F.xxhash64("text").alias("copy"), "shingles")
-    cut = windows.join(near, F.col("doc_id") == F.col("d")).select("doc_id", "copy", "n", "start", F.expr("slice(shingles, start + 1, n)").alias("part"))
+    touched = common.materialise(windows.select("doc_id", "copy").distinct(), "touched")
+    near = rows.join(touched, ["doc_id", "copy"], "left_semi").distinct()
+    near = with_shingles(near, "text").select("doc_id", "copy", "shingles")
     keys = ["doc_id", "copy", "n", "start"]
+    cut = windows.join(near, ["doc_id", "copy"]).select(*keys, F.expr("slice(shingles, start + 1, n)").alias("part"))
     weighted = common.materialise(cut.select(*keys, F.explode("part").alias("shingle")).groupBy(*keys, "shingle").agg(F.count("*").alias("weight")), "window-shingles")
     item_weighted = common.materialise(items.select("item_id", "item_copy", "n", F.explode("shingles").alias("shingle")).groupBy("item_id", "item_copy", "n", "shingle").agg(F.count("*").alias("weight")), "item-weights")
 
@@ -108,15 +105,22 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     shared = pairs.join(weighted, keys).join(item_weighted.select("item_id", "item_copy", "shingle", F.col("weight").alias("item_weight")), ["item_id", "item_copy", "shingle"])
     common_weight = shared.groupBy(*keys, "item_id", "item_copy", "total", "item_total", "distance").agg(F.sum(F.least("weight", "item_weight")).alias("both"))
     scored = common_weight.withColumn("similarity", F.col("both") / (F.col("total") + F.col("item_total") - F.col("both"))).where(F.col("similarity") >= threshold)
+    return scored.select("doc_id", "copy", "item_id", "similarity", "start", "distance")
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
+    """(doc_id, item_id, similarity, start, distance): the best window of each document and item that match; options as of ``matches``.
+
+    ``start`` counts words from 0, ``distance`` the differing bits of the fingerprints.
+    """
     best = F.max(F.struct("similarity", (-F.col("start")).alias("s"), (-F.col("distance")).alias("d")))
-    return scored.groupBy("doc_id", "item_id").agg(best.alias("m")).select("doc_id", "item_id", "m.similarity", (-F.col("m.s")).alias("start"), (-F.col("m.d")).alias("distance"))
+    return matches(docs, benchmark, **options).groupBy("doc_id", "item_id").agg(best.alias("m")).select("doc_id", "item_id", "m.similarity", (-F.col("m.s")).alias("start"), (-F.col("m.d")).alias("distance"))
 
 
-def without_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """``docs`` without the documents that hold a benchmark item."""
-    found = leaks(docs, benchmark, id_col, text_col, **options)
-    leaking = common.materialise(found.select("doc_id").distinct(), "leaking")
-    return common.by_id(docs, id_col, leaking, "left_anti")
+def without_leaks(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
+    """``docs`` without the texts that hold a benchmark item; options as of ``matches``."""
+    leaking = common.materialise(matches(docs, benchmark, **options).select("doc_id", "copy").distinct(), "leaking")
+    return common.by_copy(docs, options.get("id_col", "doc_id"), options.get("text_col", "text"), leaking, "left_anti")
 
 
 def op2(spark, sf_dir: str) -> DataFrame:

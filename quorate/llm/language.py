@@ -54,6 +54,7 @@ def fit(docs: DataFrame, text_col: str, declared_col: str, key_col: str) -> tupl
     rate = F.coalesce(F.create_map(*(x for k, v in rates.items() for x in (F.lit(k), F.lit(v))))[F.col("lang")], F.lit(0.0))
     sample = rows.where(F.pmod(F.xxhash64("k"), F.lit(1_000_000)) < rate * 1_000_000).select("text", "lang")
 
+    @common.tidy
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros((len(names), 1 << BITS), dtype=np.int64)
         place = {n: i for i, n in enumerate(names)}
@@ -75,7 +76,7 @@ def fit(docs: DataFrame, text_col: str, declared_col: str, key_col: str) -> tupl
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", declared_col: str | None = "lang", host_col: str | None = "source", url_col: str | None = None, threshold: float = 0.5, strength: float = 20.0) -> DataFrame:
-    """One row per document: doc_id, language, confidence, accepted, text_language, n_grams."""
+    """One row per document: doc_id, language, confidence, accepted, text_language, n_grams, copy (a hash of the text)."""
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), (F.lower(F.col(declared_col)) if declared_col else F.lit(None).cast("string")).alias("declared"), (F.col(url_col) if url_col else F.lit(None).cast("string")).alias("__u"), (F.col(host_col) if host_col else F.lit(None).cast("string")).alias("__h"))
     address = F.when(F.instr("__u", "://") > 0, F.expr("substring(__u, instr(__u, '://') + 3)"))
@@ -84,6 +85,7 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", de
     names, logs = fit(rows, "text", "declared", "doc_id")
     book = spark.sparkContext.broadcast(logs)  # 2**BITS numbers a language
 
+    @common.tidy
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.ascontiguousarray(book.value)
         for batch in batches:
@@ -96,9 +98,9 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", de
             mean = out / np.maximum(n, 1)[:, None]
             like = mean * np.minimum(n, EFFECTIVE)[:, None]
             flat = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1) * len(table), pa.int32()), pa.array(like.ravel()))
-            yield pa.record_batch([batch.column("doc_id"), batch.column("declared"), batch.column("host"), pa.array(n), flat], names=["doc_id", "declared", "host", "n_grams", "like"])
+            yield pa.record_batch([batch.column("doc_id"), batch.column("copy"), batch.column("declared"), batch.column("host"), pa.array(n), flat], names=["doc_id", "copy", "declared", "host", "n_grams", "like"])
 
-    scored = rows.mapInArrow(score, "doc_id long, declared string, host string, n_grams long, like array<double>")
+    scored = rows.withColumn("copy", common.copy_of(F.col("text"))).mapInArrow(score, "doc_id long, copy long, declared string, host string, n_grams long, like array<double>")
     size = len(names)
     best = F.when(F.col("n_grams") > 0, F.expr("array_position(like, array_max(like)) - 1").cast("int")).otherwise(size - 1)
     suffix = F.when(F.instr("host", ".") > 0, F.substring_index("host", ".", -1))
@@ -135,15 +137,15 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", de
     labels = F.array(*(F.lit(n) for n in names))
     pick = lambda place: F.element_at(labels, place.cast("int"))
     language = F.when(F.col("n_grams") > 0, pick(F.expr("array_position(log, top)"))).otherwise(F.lit(UNKNOWN))
-    out = fused.select("doc_id", language.alias("language"), (1 / weight).alias("confidence"), pick(F.col("guess") + 1).alias("text_language"), "n_grams")
-    return out.withColumn("accepted", (F.col("language") != UNKNOWN) & (F.col("confidence") >= threshold)).select("doc_id", "language", "confidence", "accepted", "text_language", "n_grams")
+    out = fused.select("doc_id", "copy", language.alias("language"), (1 / weight).alias("confidence"), pick(F.col("guess") + 1).alias("text_language"), "n_grams")
+    return out.withColumn("accepted", (F.col("language") != UNKNOWN) & (F.col("confidence") >= threshold)).select("doc_id", "language", "confidence", "accepted", "text_language", "n_grams", "copy")
 
 
 def keep_identified(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` without the rows whose id has no accepted row; rows without an id stay."""
-    found = identify(docs, **options).where("doc_id is not null").groupBy("doc_id").agg(F.max("accepted").alias("ok"))
-    rejected = common.materialise(found.where(~F.col("ok")).select("doc_id"), "rejected")
-    return common.by_id(docs, options.get("id_col", "doc_id"), rejected, "left_anti")
+    """``docs`` without the rows whose id and text have no accepted row; rows without an id stay."""
+    found = identify(docs, **options).where("doc_id is not null").groupBy("doc_id", "copy").agg(F.max("accepted").alias("ok"))
+    rejected = common.materialise(found.where(~F.col("ok")).select("doc_id", "copy"), "rejected")
+    return common.by_copy(docs, options.get("id_col", "doc_id"), options.get("text_col", "text"), rejected, "left_anti")
 
 
 def op1(spark, sf_dir: str) -> DataFrame:

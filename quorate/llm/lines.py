@@ -5,26 +5,20 @@ without words are never compared or removed.  Two lines match when the Jaccard s
 sets is at least ``threshold``.  Lines are ordered by document id, then line
 number; a line is removed when an earlier line matches it.
 
-Method.  Words are ordered by rarity: a fixed-size sketch counts all words of the corpus, and any
-total order is valid, so its collisions cost time and never results.  A line is entered under the
-words of its prefix; two matching lines share one there.  Lines that meet are filtered by length
-and by the position of the shared word, and by a bitmap that holds the parity of the words of each
-hash bit (two sets differ in at least as many words as their bitmaps in bits); the survivors are
-verified on their words.  A word
+Method.  Words are ordered by rarity, which a fixed-size sketch of all words of the corpus gives.
+A line is entered under the words of its prefix; two matching lines share one there.  A word
 that is frequent in the whole corpus is entered together with a second word of the prefix made one
 word longer (two matching lines share two words there), so that common words don't gather long
-lists.  Equal sets are one class from the start (64-bit signature), and only classes are joined;
-sets so short that one more word is below the threshold match equal sets only and aren't entered.
-
-Near copies come in groups whose matches grow with the square of the group.  Where more than
-``DENSE`` lines meet under a key, their matches are verified and counted on the spot, in blocks,
-and one row per line and key leaves the task.  A pair that is known to share an earlier word is left to
-the earlier key; what is still met twice counts once: as a listed pair if a key of it isn't dense,
-else under the smallest of its keys.
+lists.  Lines that meet are filtered by length, by the position of the shared word and by a
+bitmap, as ``setjoin`` says; what passes joins one component, and inside of a component all lines are
+verified on their words and their matches counted where they meet, so no pair leaves a
+task.  Equal sets are one class from the start, and only classes are joined; sets so short that one
+more word is below the threshold match equal sets only and aren't entered.
 
 Defined results: null and empty texts have no lines to compare; rows without an id take no part
 and keep their text; rows that repeat an id are told apart by their text, and fully repeated rows
-share each decision; an empty table gives an empty result; other columns don't matter.
+share each decision; an empty table gives an empty result; other columns don't matter.  Lines match
+by 64-bit word hashes; see ``setjoin`` for the chance that two sets pass for one.
 """
 
 from __future__ import annotations
@@ -32,413 +26,293 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import common
+from . import common, setjoin
 
-#: Different words of a line that is compared: any line that has words.
-MIN_WORDS = 1
 THRESHOLD = 0.8
-SKETCH_BITS = 21
 #: Words that occur more often in the corpus are entered in pairs.
 FREQUENT = 1000
-#: A key under which more lines meet is dense: their matches are counted where they meet, not listed.
-#: Above FREQUENT, so that chance meetings under one word are listed and rejected.
-DENSE = 1050
-#: Lines of a dense key that one task compares with as many others.
-BLOCK = 2048
-#: Line length in words that fits the packed entries; longer lines pass their filters and are verified.
-LONGEST = 65_535
-
-
-def _hashes(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), dtype=np.uint64, count=len(words))
-
-
-def _mix(x: np.ndarray) -> np.ndarray:
-    """A 64-bit finaliser, so that sums and pairs of hashes spread."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-def word_counts(docs: DataFrame, text_col: str) -> np.ndarray:
-    """Occurrences of words by hash bucket over all documents: a fixed 2**SKETCH_BITS numbers."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros(1 << SKETCH_BITS, dtype=np.int64)
-        for batch in batches:
-            for lo, hi in common.pieces(batch, "text", 8 << 20):
-                codes, words, _ = common.split_words(batch.column("text").slice(lo, hi - lo))
-                if len(words):
-                    np.add.at(sums, (_hashes(words) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), np.bincount(codes, minlength=len(words)))
-        at = np.flatnonzero(sums)
-        yield pa.record_batch([pa.array(at.astype(np.int32)), pa.array(sums[at])], names=["bucket", "n"])
-
-    rows = docs.select(F.col(text_col).alias("text")).mapInArrow(count, "bucket int, n long")
-    table = rows.groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(1 << SKETCH_BITS, dtype=np.int64)
-    out[table.column("bucket").to_numpy()] = table.column("n").to_numpy()
-    return out
-
-
-def overlap_needed(a, b, threshold: float = THRESHOLD):
-    """Common words that sets of ``a`` and ``b`` words need for the threshold."""
-    return np.ceil(threshold / (1 + threshold) * (a + b) - 1e-9).astype(np.int64)
-
-
-def prefix_length(n, threshold: float = THRESHOLD):
-    return n - np.ceil(threshold * n - 1e-9).astype(np.int64) + 1
-
-
-class LineReader:
-    """Lines of a text column as word sets in order of rarity, with their signatures and entry keys."""
-
-    def __init__(self, counts: np.ndarray, threshold: float, frequent: int):
-        self.counts, self.threshold, self.frequent = counts, threshold, frequent
-
-    def read(self, column: pa.Array) -> dict:
-        column = column.fill_null("") if column.null_count else column
-        lists = pc.split_pattern(column, "\n")
-        offsets = lists.offsets.to_numpy().astype(np.int64)
-        offsets = offsets - offsets[0]
-        lines = lists.flatten()
-        codes, words, bounds = common.split_words(lines)
-        hashes = _hashes(words)
-        often = self.counts[(hashes >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
-        order = np.lexsort((hashes, often))
-        place = np.empty(len(words), dtype=np.int64)
-        place[order] = np.arange(len(words))
-        line = np.repeat(np.arange(len(lines)), np.diff(bounds))
-        if b"" in words:
-            real = codes != words.index(b"")
-            codes, line = codes[real], line[real]
-        both = np.sort(line * max(1, len(words)) + place[codes])  # rarest word first within each line
-        both = both[np.r_[True, both[1:] != both[:-1]]] if len(both) else both
-        line, word = np.divmod(both, max(1, len(words)))
-        hashes, often = hashes[order], often[order]
-        n = np.bincount(line, minlength=len(lines))
-        starts = np.cumsum(n) - n
-        kept = np.flatnonzero(n >= MIN_WORDS)
-        # a set's signature is the sum of its words' mixed hashes, modulo 2**64
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_mix(hashes[word]), dtype=np.uint64)])
-        signature = sums[starts[kept] + n[kept]] - sums[starts[kept]]
-        flips = np.concatenate([np.zeros(1, np.uint64), np.bitwise_xor.accumulate(np.uint64(1) << (hashes[word] & np.uint64(63)))])
-        parity = flips[starts[kept] + n[kept]] ^ flips[starts[kept]]
-        row = np.searchsorted(offsets, kept, side="right") - 1
-        return {"lines": lines, "kept": kept, "row": row, "number": kept - offsets[row], "n": n[kept], "signature": _mix(signature), "parity": parity, "starts": starts[kept], "hash": hashes[word], "often": often[word]}
-
-    def keys(self, read: dict, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(key, position of its first word, marks of the words before it, number of keys per line) of the chosen lines.
-
-        The marks are two minima of 32-bit hashes of the words before the key's last word, without
-        its first.  Two lines with an equal mark share such a word, so they meet under an earlier key.
-        """
-        n, starts = read["n"][chosen], read["starts"][chosen]
-        length = prefix_length(n, self.threshold)
-        at = common.gather_ranges(starts, length)
-        owner = np.repeat(np.arange(len(chosen)), length)
-        position = at - starts[owner]
-        common_word = read["often"][at] > self.frequent
-        key, out_owner = read["hash"][at[~common_word]], owner[~common_word]
-        out_position = position[~common_word]
-        mixed = _mix(read["hash"] + np.uint64(1))
-        halves = [(mixed >> np.uint64(32)).astype(np.int64), (mixed & np.uint64(0xFFFFFFFF)).astype(np.int64)]
-        # minima over the words before each position of a line
-        before = [_running_minimum(np.where(position == 0, _NONE, h[np.maximum(at - 1, 0)]), owner) for h in halves]
-        marks = [b[~common_word] for b in before]
-        # pairs of a frequent word with each later word of the prefix that is one word longer
-        first, own, pos = at[common_word], owner[common_word], position[common_word]
-        rest = np.minimum(length[own] + 1, n[own]) - pos - 1
-        second = common.gather_ranges(first + 1, rest)
-        one = np.repeat(np.arange(len(first)), rest)
-        key = np.r_[key, _mix(read["hash"][first[one]] ^ _mix(read["hash"][second]))]
-        out_owner, out_position = np.r_[out_owner, own[one]], np.r_[out_position, pos[one]]
-        opens = second == first[one] + 1
-        for k, h in enumerate(halves):
-            between = np.where(opens, before[k][common_word][one], h[second - 1]) if len(second) else np.zeros(0, np.int64)
-            marks[k] = np.r_[marks[k], _running_minimum(between, one)]
-        mark = (marks[0].astype(np.uint64) << np.uint64(32)) | marks[1].astype(np.uint64)
-        order = np.argsort(out_owner, kind="stable")
-        # half a hash is enough: keys that meet by chance only make more pairs to reject
-        return (key[order] >> np.uint64(32)).astype(np.uint32), out_position[order], mark[order], np.bincount(out_owner, minlength=len(chosen))
-
-
-#: Mark of no words; hashes stay below it.
-_NONE = 0xFFFFFFFF
-
-
-def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Whether neither half of two marks says that an earlier word is shared."""
-    none, half = np.uint64(_NONE), np.uint64(32)
-    return ((a >> half != b >> half) | (a >> half == none)) & ((a & none != b & none) | (a & none == none))
-
-
-def _running_minimum(values: np.ndarray, group: np.ndarray) -> np.ndarray:
-    """Minimum so far within each group of rising numbers; values lie below 2**32."""
-    if not len(values):
-        return values.astype(np.int64)
-    fall = (int(group[-1]) - group.astype(np.int64)) << 32
-    return np.minimum.accumulate(fall + values) - fall
+#: Groups of at most so many lines are verified pair by pair, larger ones as one product of matrices.
+FEW = 6
+#: Words of a group that one product takes at a time.
+COLUMNS = 1024
+#: Text that a task verifies at a time.
+PIECE = 2 << 20
+#: Components of more lines are linked again with bitmaps of WIDE longs: 64 bits say little of long lines.
+LARGE = 128
+WIDE = 8
+CLASS = ["signature", "n", "parity"]
+
+
+def read_lines(column: pa.Array, scale: np.ndarray, width: int = 1) -> dict:
+    """The lines of a text column that have words, as word sets in order of rarity."""
+    raw, offsets = setjoin.raw_text(column)
+    starts, hashes = setjoin.words(raw, offsets)
+    breaks = np.flatnonzero(raw == 10)
+    per_row = np.bincount(np.searchsorted(offsets, breaks, side="right") - 1, minlength=len(column)) + 1
+    first = np.cumsum(per_row) - per_row
+    opens = np.empty(int(per_row.sum()), dtype=np.int64)
+    inner = np.ones(len(opens), dtype=bool)
+    inner[first] = False
+    opens[first], opens[inner] = offsets[:-1], breaks + 1
+    per_line = np.diff(np.searchsorted(starts, np.r_[opens, len(raw)]))
+    line = np.repeat(np.arange(len(opens)), per_line)
+    line, word, rank = setjoin.distinct_sorted(line, hashes, setjoin.rank_of(hashes, scale))
+    n = np.bincount(line, minlength=len(opens))
+    kept, ends = np.flatnonzero(n), np.cumsum(n)
+    signature, parity = setjoin.describe(word, ends[kept], n[kept], width)
+    row = np.searchsorted(first, kept, side="right") - 1
+    return {"kept": kept, "row": row, "number": kept - first[row], "n": n[kept], "starts": (ends - n)[kept], "signature": signature.view(np.int64), "parity": parity, "word": word, "rank": rank}
+
+
+def _common_from(frequent: int) -> int:
+    return int(setjoin.ranks(np.array([frequent]))[0]) if frequent > 0 else -1
 
 
 def line_table(docs: DataFrame, counts: np.ndarray, threshold: float = THRESHOLD, frequent: int = FREQUENT) -> DataFrame:
-    """(doc_id, copy, line_no, signature, n, parity, line, keys, positions, marks) from (doc_id, copy, text).
+    """(doc_id, copy, line_no, signature, n, parity, line, rare, prefix) from (doc_id, copy, text).
 
-    The last four are null where the task has seen the same set just before.
+    The last two are null where the task has seen the same set just before, and for sets too short
+    to match any other.
     """
-    sketch = docs.sparkSession.sparkContext.broadcast(counts)  # fixed size
-    schema = "doc_id long, copy long, line_no int, signature long, n int, parity long, line string, keys array<int>, positions array<int>, marks array<long>"
+    sketch = docs.sparkSession.sparkContext.broadcast(setjoin.ranks(counts))  # fixed size
+    common_from = _common_from(frequent)
+    schema = "doc_id long, copy long, line_no int, signature long, n int, parity long, line string, rare int, prefix array<int>"
 
+    @common.tidy
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader, seen = LineReader(sketch.value, threshold, frequent), set()
+        scale, seen = sketch.value, set()
         for batch in batches:
-            for lo, hi in common.pieces(batch, "text"):
-                got = reader.read(batch.column("text").slice(lo, hi - lo))
+            for lo, hi in common.pieces(batch, "text", PIECE):
+                column = batch.column("text").slice(lo, hi - lo)
+                got = read_lines(column, scale)
                 if not len(got["kept"]):
                     continue
-                marks = got["signature"].tolist()
-                new = np.zeros(len(marks), dtype=bool)
-                for i, s in enumerate(marks):
-                    if s not in seen:
-                        new[i] = True
-                        seen.add(s)
-                if len(seen) > 500_000:
-                    seen.clear()  # only saves repeats; the join below removes the others
-                chosen = np.flatnonzero(new & (got["n"] >= threshold * (got["n"] + 1) - 1e-9))
-                key, position, mark, per_line = reader.keys(got, chosen)
-                sizes = np.zeros(len(marks), dtype=np.int64)
-                sizes[chosen] = per_line
-                mask = pa.array(~new)
-                offsets = pa.array(np.r_[0, np.cumsum(sizes)], pa.int32())
-                take = pa.array(got["row"] + lo)
-                line = pc.if_else(mask, pa.scalar(None, pa.string()), got["lines"].take(pa.array(got["kept"])).cast(pa.string()))
+                known, at = np.unique(got["signature"], return_index=True)
+                new = np.zeros(len(got["n"]), dtype=bool)
+                new[at] = [s not in seen for s in known.tolist()]
+                seen.update(known.tolist())
+                if len(seen) > 200_000:
+                    seen.clear()  # only saves repeats; they are taken out where they meet
+                n = got["n"]
+                new &= n >= threshold * (n + 1) - 1e-9
+                chosen = np.flatnonzero(new)
+                prefix, rare = setjoin.prefixes(got["word"], got["rank"], got["starts"][chosen], n[chosen], threshold, common_from)
+                place = np.cumsum(new) - 1
+                take, mine = pa.array(got["row"] + lo), pa.array(place, mask=~new)
+                lines = pc.split_pattern(column.fill_null(""), "\n").flatten().take(pa.array(got["kept"]))
                 columns = [
-                    batch.column("doc_id").take(take), batch.column("copy").take(take), pa.array(got["number"], pa.int32()), pa.array(got["signature"].view(np.int64)), pa.array(got["n"], pa.int32()), pa.array(got["parity"].view(np.int64)), line,
-                    pa.ListArray.from_arrays(offsets, pa.array(key.view(np.int32))), pa.ListArray.from_arrays(offsets, pa.array(position.astype(np.int32))), pa.ListArray.from_arrays(offsets, pa.array(mark.view(np.int64))),
+                    batch.column("doc_id").take(take), batch.column("copy").take(take), pa.array(got["number"], pa.int32()), pa.array(got["signature"]), pa.array(n, pa.int32()), pa.array(got["parity"][:, 0].view(np.int64)), lines.cast(pa.string()),
+                    pa.array(rare, pa.int32()).take(mine), prefix.take(mine),
                 ]
-                yield pa.record_batch(columns, names=["doc_id", "copy", "line_no", "signature", "n", "parity", "line", "keys", "positions", "marks"])
+                yield pa.record_batch(columns, names=["doc_id", "copy", "line_no", "signature", "n", "parity", "line", "rare", "prefix"])
 
     return docs.mapInArrow(read, schema)
 
 
-def candidates(table: DataFrame, threshold: float = THRESHOLD, dense: int = DENSE) -> tuple[DataFrame, DataFrame]:
-    """(pairs, meetings): pairs (a, b) of signatures that pass the filters under a key that isn't dense,
-    and meetings (key, signature, size) under dense keys.
+def _alike(shared: np.ndarray, a: np.ndarray, b: np.ndarray, threshold: float) -> np.ndarray:
+    return shared / (a + b - shared) >= threshold - 1e-12
+
+
+def _few(row: np.ndarray, word: np.ndarray, n: np.ndarray, size: np.ndarray, first: np.ndarray, block: np.ndarray, apart: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Matching pairs (x, y) of rows of small groups, x < y; a group's rows lie one after another."""
+    index = np.arange(len(n))
+    after = np.where(size <= FEW, first + size - index - 1, 0)
+    x = np.repeat(index, after)
+    y = common.gather_ranges(index + 1, after)
+    ok = (np.minimum(n[x], n[y]) >= threshold * np.maximum(n[x], n[y]) - 1e-9) & (~apart[x] | (block[x] != block[y]))
+    x, y = x[ok], y[ok]
+    starts = np.cumsum(n) - n
+    pair = np.r_[np.repeat(np.arange(len(x)), n[x]), np.repeat(np.arange(len(x)), n[y])]
+    at = np.r_[common.gather_ranges(starts[x], n[x]), common.gather_ranges(starts[y], n[y])]
+    both = np.sort(pair * (int(word.max(initial=0)) + 1) + word[at])
+    shared = np.bincount(both[1:][both[1:] == both[:-1]] // (int(word.max(initial=0)) + 1), minlength=len(x))
+    ok = _alike(shared, n[x], n[y], threshold)
+    return x[ok], y[ok]
+
+
+def _many(row: np.ndarray, word: np.ndarray, left: np.ndarray, right: np.ndarray, n: np.ndarray, threshold: float) -> np.ndarray:
+    """Whether each left row of a group matches each right one, by products of their membership matrices."""
+    known, column, held = np.unique(word, return_inverse=True, return_counts=True)
+    often = held > 1  # a word of one line is shared by none
+    place = np.cumsum(often) - 1
+    row, column = row[often[column]], place[column[often[column]]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    side = [np.full(len(n), -1), np.full(len(n), -1)]
+    side[0][left], side[1][right] = np.arange(len(left)), np.arange(len(right))
+    shared = np.zeros((len(left), len(right)), dtype=np.float32)
+    for lo in range(0, int(often.sum()), COLUMNS):
+        a, b = np.searchsorted(column, [lo, lo + COLUMNS])
+        r, c = row[a:b], column[a:b] - lo
+        sets = []
+        for s, size in zip(side, (len(left), len(right)), strict=True):
+            matrix, own = np.zeros((size, COLUMNS), dtype=np.float32), s[r] >= 0
+            matrix[s[r[own]], c[own]] = 1
+            sets.append(matrix)
+        shared += sets[0] @ sets[1].T
+    return _alike(shared, n[left][:, None], n[right][None, :], threshold)
+
+
+def count_links(batch: pa.RecordBatch, threshold: float) -> pa.RecordBatch:
+    """(signature, n, parity, links, doc_id, line_no, copy) of the lines of whole groups that match another line there.
+
+    The last three are the earliest of the matching lines.
     """
-    entries = table.where("line is not null").select("signature", "n", "parity", F.explode(F.arrays_zip("keys", "positions", "marks")).alias("e"))
-    # key, length and position in one number, whose order is that of the three
-    n, position = F.least(F.col("n"), F.lit(LONGEST)).cast("long"), F.when(F.col("n") < LONGEST, F.col("e.positions")).otherwise(0).cast("long")
-    packed = F.shiftleft(F.col("e.keys").cast("long"), 32).bitwiseOR(F.shiftleft(n, 16)).bitwiseOR(position)
-    entries = entries.select(F.col("e.keys").alias("key"), packed.alias("entry"), "signature", "parity", F.col("e.marks").alias("mark"))
-    tasks = int(table.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    entries = entries.repartition(tasks, "key").sortWithinPartitions("entry", "signature").select("entry", "signature", "parity", "mark")
-
-    def meet(entry, signature, parity, mark):
-        fresh = np.r_[True, (entry[1:] != entry[:-1]) | (signature[1:] != signature[:-1])]
-        entry, signature, parity, mark = entry[fresh], signature[fresh], parity[fresh].view(np.uint64), mark[fresh].view(np.uint64)
-        key, n, position = entry >> 32, (entry >> 16) & 0xFFFF, entry & 0xFFFF
-        ends = np.r_[np.flatnonzero(key[1:] != key[:-1]) + 1, len(key)]
-        sizes = np.diff(np.r_[0, ends])
-        last, crowd = np.repeat(ends, sizes), np.repeat(sizes, sizes)
-        if (many := crowd > dense).any():
-            yield _rows(key[many], signature[many], np.zeros(many.sum(), np.int64), crowd[many])
-        live, step = np.flatnonzero((last - np.arange(len(key)) > 1) & ~many), 1
-        while len(live):
-            other = live + step
-            ok = n[live] >= np.ceil(threshold * n[other] - 1e-9)
-            live, other = live[ok], other[ok]  # sorted by length: what is too long now stays so
-            need = overlap_needed(n[live], n[other], threshold)
-            near = np.minimum(n[live] - position[live], n[other] - position[other]) >= need
-            differ = np.bitwise_count(parity[live] ^ parity[other])
-            near &= (signature[live] != signature[other]) & ((differ <= n[live] + n[other] - 2 * need) | (n[other] == LONGEST))
-            # what shares an earlier word has met before
-            near &= _apart(mark[live], mark[other])
-            if near.any():
-                a, b = signature[live[near]], signature[other[near]]
-                yield _rows(np.zeros(len(a), np.int64), np.minimum(a, b), np.maximum(a, b), np.zeros(len(a), np.int64))
-            step += 1
-            live = live[live + step < last[live]]
-
-    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
-
-        def emit(columns):
-            found, size = [], 0
-            for part in meet(*columns):
-                found.append(part)
-                size += len(part)
-                if size > 1 << 20:
-                    yield _distinct(found)
-                    found, size = [], 0
-            if found:
-                yield _distinct(found)
-
+    names = ["root", "i", "j", "block", "signature", "n", "parity", "doc_id", "line_no", "copy"]
+    cols = {c: batch.column(c).to_numpy() for c in names}
+    order = np.lexsort([cols[c] for c in ("parity", "n", "signature", "j", "i", "root")])
+    same = np.r_[False, np.all([cols[c][order][1:] == cols[c][order][:-1] for c in ("root", "i", "j", "signature", "n", "parity")], axis=0)]
+    order = order[~same]  # fully repeated rows name one line
+    cols = {c: v[order] for c, v in cols.items()}
+    hashes, bounds = setjoin.text_words(batch.column("line").take(pa.array(order)))
+    row, word, _ = setjoin.distinct_sorted(np.repeat(np.arange(len(order)), np.diff(bounds)), hashes)
+    _, word = np.unique(word, return_inverse=True)
+    n = np.bincount(row, minlength=len(order))
+    opens = np.flatnonzero(np.r_[True, np.any([cols[c][1:] != cols[c][:-1] for c in ("root", "i", "j")], axis=0)])
+    sizes = np.diff(np.r_[opens, len(order)])
+    size, first = np.repeat(sizes, sizes), np.repeat(opens, sizes)
+    by_place = np.lexsort((cols["copy"], cols["line_no"], cols["doc_id"]))
+    when = np.empty(len(order), dtype=np.int64)
+    when[by_place] = np.arange(len(order))
+    links, least = np.zeros(len(order), dtype=np.int64), np.full(len(order), len(order))
+    apart = cols["i"] != cols["j"]
+    x, y = _few(row, word, n, size, first, cols["block"], apart, threshold)
+    for a, b in ((x, y), (y, x)):
+        links += np.bincount(a, minlength=len(order))
+        np.minimum.at(least, a, when[b])
+    starts = np.r_[0, np.cumsum(n)]
+    for g in np.flatnonzero(sizes > FEW):
+        lo, hi = opens[g], opens[g] + sizes[g]
+        part = slice(starts[lo], starts[hi])
+        index = np.arange(hi - lo)
+        if apart[lo]:
+            halves = [np.flatnonzero(cols["block"][lo:hi] == cols[k][lo]) for k in ("i", "j")]
+        else:
+            halves = [index, index]
+        if not len(halves[0]) or not len(halves[1]):
+            continue
+        found = _many(row[part] - lo, word[part], *halves, n[lo:hi], threshold)
+        if not apart[lo]:
+            np.fill_diagonal(found, False)
+        for k, matrix in ((0, found), (1, found.T)):
+            if k and not apart[lo]:
+                break
+            for p in range(0, len(matrix), 512):
+                some = matrix[p : p + 512]
+                at = lo + halves[k][p : p + 512]
+                links[at] += some.sum(axis=1)
+                least[at] = np.minimum(least[at], np.where(some, when[lo + halves[1 - k]][None, :], len(order)).min(axis=1))
+    some = np.flatnonzero(links)
+    other = by_place[least[some]]
+    out = [cols[c][some] for c in CLASS] + [links[some]] + [cols[c][other] for c in ("doc_id", "line_no", "copy")]
+    return pa.record_batch([pa.array(c) for c in out], names=[*CLASS, "links", "doc_id", "line_no", "copy"])
+
+
+def wide_table(rows: DataFrame, counts: np.ndarray, threshold: float, frequent: int) -> DataFrame:
+    """(signature, n, parity, rare, prefix) of single lines, with bitmaps of WIDE longs."""
+    sketch = rows.sparkSession.sparkContext.broadcast(setjoin.ranks(counts))  # fixed size
+    common_from = _common_from(frequent)
+
+    @common.tidy
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            held.append([batch.column(c).to_numpy() for c in ("entry", "signature", "parity", "mark")])
-            size += batch.num_rows
-            if size >= 1 << 18:
-                columns = [np.concatenate(c) for c in zip(*held, strict=True)]
-                cut = int(np.flatnonzero(columns[0] >> 32 != columns[0][-1] >> 32).max(initial=-1)) + 1
-                if cut:
-                    yield from emit([c[:cut] for c in columns])
-                held, size = [[c[cut:] for c in columns]], size - cut
-        if size:
-            yield from emit([np.concatenate(c) for c in zip(*held, strict=True)])
+            for lo, hi in common.pieces(batch, "line", PIECE):
+                got = read_lines(batch.column("line").slice(lo, hi - lo), sketch.value, WIDE)
+                prefix, rare = setjoin.prefixes(got["word"], got["rank"], got["starts"], got["n"], threshold, common_from)
+                yield pa.record_batch([pa.array(got["signature"]), pa.array(got["n"], pa.int32()), setjoin.as_binary(got["parity"]), pa.array(rare, pa.int32()), prefix], names=["signature", "n", "parity", "rare", "prefix"])
 
-    met = common.materialise(entries.mapInArrow(join, "key long, a long, b long, size long"), "met")
-    return met.where("size = 0").select("a", "b").distinct(), met.where("size > 0").select("key", F.col("a").alias("signature"), "size").distinct()
+    return rows.select("line").mapInArrow(read, "signature long, n int, parity binary, rare int, prefix array<int>")
 
 
-def _rows(*columns: np.ndarray) -> np.ndarray:
-    return np.stack(columns, 1)
+def _sized(members: DataFrame) -> DataFrame:
+    """``members`` with the size of their component, written in their place."""
+    sizes = members.groupBy("root").agg(F.count("*").alias("size")).withColumnRenamed("root", "root_")
+    out = common.materialise(members.join(sizes, F.col("root") == F.col("root_")).select("s", "root", "size"), "line-groups")
+    common.discard(members)
+    return out
 
 
-def _distinct(found: list[np.ndarray]) -> pa.RecordBatch:
-    rows = np.unique(np.concatenate(found), axis=0)
-    return pa.record_batch([pa.array(np.ascontiguousarray(rows[:, k])) for k in range(4)], names=["key", "a", "b", "size"])
+def groups(table: DataFrame, counts: np.ndarray, threshold: float, frequent: int) -> DataFrame:
+    """(s, root, size): every signature that may match another one, and its component."""
+    sized = _sized(setjoin.members(setjoin.linked(table, threshold, 1), "line-groups"))
+    large = sized.where(F.col("size") > LARGE).select("s")
+    if large.isEmpty():
+        return sized
+    large = common.materialise(large, "large-groups")
+    rows = table.where("prefix is not null").select("signature", "line").join(common.small_side(large), F.col("signature") == F.col("s"), "left_semi")
+    again = common.materialise(wide_table(rows, counts, threshold, frequent), "wide-sets")
+    finer = _sized(setjoin.members(setjoin.linked(again, threshold, WIDE), "line-groups"))
+    return sized.where(F.col("size") <= LARGE).unionByName(finer)
 
 
-def jaccard(a: bytes, b: bytes) -> float:
-    x, y = set(a.lower().split()), set(b.lower().split())
-    both = len(x & y)
-    return both / (len(x) + len(y) - both)
+def partners(table: DataFrame, firsts: DataFrame, sized: DataFrame, threshold: float) -> DataFrame:
+    """(signature, n, parity, links, other) of the classes that match another one: how many, and the earliest line of those."""
+    tasks = int(table.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    place = ["doc_id", "line_no", "copy"]
+    involved = firsts.join(sized, F.col("signature") == F.col("s")).select("root", "size", *CLASS, *(F.col(f"first.{c}").alias(c) for c in place))
+    texts = table.select("signature", *place, "line").join(common.small_side(sized.select("s")), F.col("signature") == F.col("s"), "left_semi")
+    rows = involved.join(texts, ["signature", *place])
+    dealt = setjoin.in_blocks(rows, "signature", F.greatest(F.lit(1), F.ceil(F.col("size") / setjoin.BLOCK)))
+    dealt = dealt.select("root", "i", "j", "block", *CLASS, *place, "line").repartition(tasks, "root", "i", "j").sortWithinPartitions("root", "i", "j")
+
+    @common.tidy
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in setjoin.grouped(batches, PIECE, "line"):
+            yield count_links(batch, threshold)
 
+    counted = dealt.mapInArrow(count, "signature long, n int, parity long, links long, doc_id long, line_no int, copy long")
+    return counted.groupBy(*CLASS).agg(F.sum("links").alias("links"), F.min(F.struct(*place)).alias("other"))
 
-def listed_links(pairs: DataFrame, table: DataFrame, firsts: DataFrame, threshold: float) -> DataFrame:
-    """(signature, links, other) from listed pairs, verified on their words."""
-    met = common.materialise(pairs, "candidates")
-    texts = common.materialise(_once(table, met.select(F.explode(F.array("a", "b")).alias("s")), "signature", "line"), "lines")
-    one, two = (texts.select(F.col("signature").alias(f"s{k}"), F.col("line").alias(k)) for k in ("x", "y"))
-    joined = met.join(one, F.col("a") == F.col("sx")).join(two, F.col("b") == F.col("sy")).select("a", "b", "x", "y")
 
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo, hi in common.pieces(batch, "x"):
-                part = batch.slice(lo, hi - lo)
-                x, y = (common.text_bytes(part.column(c)).to_pylist() for c in ("x", "y"))
-                ok = np.fromiter((jaccard(p, q) >= threshold - 1e-12 for p, q in zip(x, y, strict=True)), dtype=bool, count=len(x))
-                yield part.select(["a", "b"]).filter(pa.array(ok))
-
-    found = joined.mapInArrow(verify, "a long, b long")
-    both = found.select(F.explode(F.array(F.struct(F.col("a").alias("s"), F.col("b").alias("o")), F.struct(F.col("b").alias("s"), F.col("a").alias("o")))).alias("l")).select("l.s", "l.o")
-    return both.join(firsts, F.col("o") == F.col("signature")).groupBy("s").agg(F.count("*").alias("links"), F.min("first").alias("other")).withColumnRenamed("s", "signature")
-
-
-def _once(table: DataFrame, wanted: DataFrame, *columns: str) -> DataFrame:
-    """Those columns of one row of each wanted signature."""
-    wanted = common.small_side(common.materialise(wanted.toDF("s").distinct(), "wanted"))
-    return table.where("line is not null").select(*columns).join(wanted, F.col("signature") == F.col("s"), "left_semi").dropDuplicates(["signature"])
-
-
-def counted_links(meetings: DataFrame, table: DataFrame, firsts: DataFrame, threshold: float) -> DataFrame:
-    """(signature, links, other) from meetings under dense keys, counted in blocks of each key."""
-    meetings = common.materialise(meetings, "meetings")
-    known = _once(table, meetings.select("signature"), "signature", "n", "parity", "line", "keys", "positions", "marks").join(firsts, "signature")
-    own = meetings.groupBy("signature").agg(F.collect_set("key").alias("dense"))
-    known = known.join(own, "signature").select("signature", "n", "parity", "line", "keys", "positions", "marks", "dense", "first.*")
-    blocks = F.greatest(F.lit(1), F.ceil(F.col("size") / BLOCK)).cast("int")
-    dealt = meetings.join(known, "signature").withColumn("block", F.pmod(F.xxhash64("signature"), blocks).cast("int"))
-    dealt = dealt.withColumn("with", F.explode(F.sequence(F.lit(0), blocks - 1))).withColumns({"i": F.least("block", "with"), "j": F.greatest("block", "with")})
-    schema = "signature long, links long, doc_id long, line_no int, copy long"
-
-    def compare(key: tuple, rows: pa.Table) -> pa.Table:
-        here, i, j = (k.as_py() for k in key)
-        rows = rows.sort_by("n")
-        n, parity = np.minimum(rows.column("n").to_numpy().astype(np.int64), LONGEST), rows.column("parity").to_numpy().view(np.uint64)
-        block, words = rows.column("block").to_numpy(), [set(t.lower().split()) for t in common.text_bytes(rows.column("line").combine_chunks()).to_pylist()]
-        # what is left of a line from a key's word on, for each key that two lines of this group share
-        per_line = rows.column("keys").combine_chunks()
-        owner = np.repeat(np.arange(len(n)), pc.list_value_length(per_line).to_numpy())
-        keys = per_line.flatten().to_numpy().astype(np.int64)
-        rest = n[owner] - np.where(n[owner] < LONGEST, rows.column("positions").combine_chunks().flatten().to_numpy(), 0)
-        known, column, held = np.unique(keys, return_inverse=True, return_counts=True)
-        left = np.zeros(len(n), dtype=np.int64)
-        np.maximum.at(left, owner[keys == here], rest[keys == here])
-        mark = rows.column("marks").combine_chunks().flatten().to_numpy().view(np.uint64)
-        mine = np.zeros(len(n), dtype=np.uint64)
-        mine[owner[keys == here]] = mark[keys == here]
-        # a pair that also meets under one of these is listed elsewhere or counted there
-        dense = np.unique(rows.column("dense").combine_chunks().flatten().to_numpy())
-        prior = (held > 1) & (known != here) & (~np.isin(known, dense) | (known < here))
-        place = np.cumsum(prior) - 1
-        before = np.full((len(n), max(1, int(prior.sum()))), -1, dtype=np.int32)
-        there = prior[column]
-        np.maximum.at(before, (owner[there], place[column[there]]), rest[there])
-        marked = np.zeros(before.shape, dtype=np.uint64)
-        marked[owner[there], place[column[there]]] = mark[there]
-        chunk = max(1, (4 << 20) // before.shape[1])
-        order = list(zip(*(rows.column(c).to_pylist() for c in ("doc_id", "line_no", "copy")), strict=True))
-        links, other = np.zeros(len(n), dtype=np.int64), [None] * len(n)
-        live, step = np.arange(len(n) - 1), 1
-        while len(live):
-            at = live + step
-            ok = n[live] >= np.ceil(threshold * n[at] - 1e-9)
-            live, at = live[ok], at[ok]
-            need = overlap_needed(n[live], n[at], threshold)
-            near = np.minimum(left[live], left[at]) >= need
-            near &= (np.bitwise_count(parity[live] ^ parity[at]) <= n[live] + n[at] - 2 * need) | (n[at] == LONGEST)
-            near &= _apart(mine[live], mine[at])
-            if i != j:
-                near &= block[live] != block[at]
-            first, second, least = live[near], at[near], need[near]
-            for c in range(0, len(first), chunk):
-                p, q, r = (v[c : c + chunk] for v in (first, second, least))
-                fresh = ~((np.minimum(before[p], before[q]) >= r[:, None]) & _apart(marked[p], marked[q])).any(axis=1)
-                first[c : c + chunk][~fresh] = -1
-            for x, y in zip(first[first >= 0].tolist(), second[first >= 0].tolist(), strict=True):
-                both = len(words[x] & words[y])
-                if both / (len(words[x]) + len(words[y]) - both) >= threshold - 1e-12:
-                    for a, b in ((x, y), (y, x)):
-                        links[a] += 1
-                        if other[a] is None or order[b] < other[a]:
-                            other[a] = order[b]
-            step += 1
-            live = live[live + step < len(n)]
-        some = np.flatnonzero(links)
-        columns = [rows.column("signature").to_numpy()[some], links[some], *([other[k][c] for k in some] for c in range(3))]
-        return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()), strict=True)], names=["signature", "links", "doc_id", "line_no", "copy"])
-
-    counted = dealt.groupBy("key", "i", "j").applyInArrow(lambda key, rows: compare(key, rows), schema)
-    return counted.select("signature", "links", F.struct("doc_id", "line_no", "copy").alias("other"))
-
-
-def line_matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+def line_matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, frequent: int = FREQUENT) -> DataFrame:
     """One row per compared line: doc_id, copy, line_no, class_id, n_words, links, match_doc_id, match_line_no, removed.
 
     class_id names the line's word set and links counts the other sets that match it; match_* is
     the earliest line that the line matches, itself included.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).where("doc_id is not null").withColumn("copy", F.xxhash64("text"))
-    counts = word_counts(rows, "text")
-    table = common.materialise(line_table(rows.select("doc_id", "copy", "text"), counts, threshold), "line-sets")
+    counts = setjoin.member_counts(rows, lambda column: setjoin.text_words(column)[0])
+    table = common.materialise(line_table(rows.select("doc_id", "copy", "text"), counts, threshold, frequent), "line-sets")
     place = F.struct("doc_id", "line_no", "copy")
-    firsts = common.materialise(table.groupBy("signature").agg(F.min(place).alias("first")), "first-lines")
-    pairs, meetings = candidates(table, threshold)
-    linked = listed_links(pairs, table, firsts, threshold).unionByName(counted_links(meetings, table, firsts, threshold))
-    partner = linked.groupBy(F.col("signature").alias("s")).agg(F.sum("links").alias("links"), F.min("other").alias("other"))
-    known = firsts.join(partner, F.col("signature") == F.col("s"), "left").select(F.col("signature").alias("class_id"), F.coalesce("links", F.lit(0)).alias("links"), F.least("first", "other").alias("match"))
-    out = table.select("doc_id", "copy", "line_no", "signature", F.col("n").alias("n_words")).join(known, F.col("signature") == F.col("class_id"))
+    firsts = common.materialise(table.groupBy(*CLASS).agg(F.min(place).alias("first")), "first-lines")
+    matched = partners(table, firsts, groups(table, counts, threshold, frequent), threshold)
+    known = firsts.join(matched, CLASS, "left").select(*CLASS, F.coalesce("links", F.lit(0)).alias("links"), F.least("first", "other").alias("match"))
+    known = common.materialise(known, "line-classes")  # so that a hot class can be split where lines join it
+    common.discard(firsts)
+    out = table.select("doc_id", "copy", "line_no", *CLASS).join(known, CLASS)
     # repeated rows of one document share their place, so neither is later than the other
     removed = F.col("match") < F.struct("doc_id", "line_no", "copy")
-    return out.select("doc_id", "copy", "line_no", "class_id", "n_words", "links", F.col("match.doc_id").alias("match_doc_id"), F.col("match.line_no").alias("match_line_no"), removed.alias("removed"))
+    return out.select("doc_id", "copy", "line_no", F.col("signature").alias("class_id"), F.col("n").alias("n_words"), "links", F.col("match.doc_id").alias("match_doc_id"), F.col("match.line_no").alias("match_line_no"), removed.alias("removed"))
+
+
+def _without(texts: pd.Series, gone: pd.Series) -> pd.Series:
+    """Texts without the lines of those numbers, in time linear in the text."""
+    out = [None] * len(texts)
+    for k, (text, numbers) in enumerate(zip(texts, gone, strict=True)):
+        if text is not None and numbers is not None:
+            numbers = set(numbers.tolist())
+            out[k] = "\n".join(x for i, x in enumerate(text.split("\n")) if i not in numbers)
+    return pd.Series(out, dtype=object)
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` with the removed lines taken out of the text; a document left without text is dropped."""
     gone = line_matches(docs, id_col, text_col, threshold).where("removed").select("doc_id", "copy", "line_no").distinct()
-    gone = gone.groupBy("doc_id", "copy").agg(F.collect_set("line_no").alias("lines"))
-    names = [common.free_name(docs, n) for n in ("__id", "__copy", "__gone")]
-    gone = common.small_side(common.materialise(gone.toDF(*names), "removed-lines"), 200_000)
+    gone = gone.groupBy("doc_id", "copy").agg(F.collect_list("line_no").alias("lines"))
+    names = [common.free_name(docs, n) for n in ("__id", "__copy", "__gone", "__kept")]
+    gone = common.small_side(common.materialise(gone.toDF(*names[:3]), "removed-lines"), 200_000)
     text, removed = docs[text_col], gone[names[2]]
     joined = docs.join(gone, (docs[id_col].cast("long") == gone[names[0]]) & (F.xxhash64(F.coalesce(text, F.lit(""))) == gone[names[1]]), "left")
-    numbered = F.filter(F.split(text, "\n", -1), lambda line, i: ~F.array_contains(removed, i))
-    kept = F.when(removed.isNull(), text).otherwise(F.array_join(numbered, "\n"))
-    out = joined.where(removed.isNull() | (F.trim(kept) != ""))
+    cut = F.pandas_udf(_without, "string")(F.when(removed.isNotNull(), text), removed)
+    joined = joined.withColumn(names[3], cut)
+    kept = F.when(removed.isNull(), text).otherwise(F.col(names[3]))
+    out = joined.where(removed.isNull() | (F.trim(F.col(names[3])) != ""))
     return out.select(*(kept.alias(c) if c == text_col else docs[c] for c in docs.columns))
 
 

@@ -139,6 +139,7 @@ def tokenised(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col
     """(doc_id, ids binary, tokens, part, part_start): pass 1.  ids are unsigned integers, as wide
     as the vocabulary needs, the end id included."""
 
+    @common.tidy
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, part, total = _encoder(vocabulary), TaskContext.get().partitionId(), 0
         for batch in batches:
@@ -190,6 +191,7 @@ def pack(docs: DataFrame, vocabulary: str | None = None, id_col: str = "doc_id",
     offsets = common.materialise(offsets, "offsets")  # its size is then known, and the join's side chosen by it
     placed = rows.join(offsets, "part").select("doc_id", "ids", "tokens", (F.col("base") + F.col("part_start")).alias("at"), "total")
 
+    @common.tidy
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"]
         types = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]

@@ -61,18 +61,19 @@ def _bit_counts(hashes: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
-    """(doc_id, fp): fp is the fingerprint's bit pattern in a signed long."""
+    """(doc_id, copy, fp): copy is a hash of the text, fp the fingerprint's bit pattern in a signed long."""
 
+    @common.tidy
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = np.empty(batch.num_rows, dtype=np.uint64)
             for lo, hi in common.pieces(batch, "text"):
                 for i, text in enumerate(common.text_bytes(batch.column("text").slice(lo, hi - lo)).to_pylist(), lo):
                     out[i] = fingerprint(text, width)
-            yield pa.record_batch([batch.column("doc_id"), pa.array(out.view(np.int64))], names=["doc_id", "fp"])
+            yield pa.record_batch([batch.column("doc_id"), batch.column("copy"), pa.array(out.view(np.int64))], names=["doc_id", "copy", "fp"])
 
-    picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return picked.mapInArrow(sign, "doc_id long, fp long")
+    picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), common.copy_of(F.col(text_col)).alias("copy"), F.col(text_col).alias("text"))
+    return picked.mapInArrow(sign, "doc_id long, copy long, fp long")
 
 
 # ---------------------------------------------------------------- trie self-join
@@ -222,14 +223,15 @@ def fingerprint_links(fps: DataFrame, radius: int = 3) -> DataFrame:
     return dealt.mapInArrow(traverse, "a long, b long").distinct()
 
 
-def components(links: DataFrame, rounds: int = 60) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """(node, root): for every node of the undirected links (a, b) the smallest node it reaches.
 
     Large-star then small-star until no link changes; each round is written to shared storage and
-    the round before is removed.  Work per round is linear in the links.
+    the round before is removed.  Work per round is linear in the links, and rounds go on until
+    nothing changes.
     """
     now = common.materialise(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "links")
-    for _ in range(rounds):
+    while True:
         both = now.unionAll(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         # large star: neighbours above a node go to its smallest neighbour (itself included)
         low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
@@ -250,13 +252,18 @@ def _digest(links: DataFrame) -> tuple:
     return tuple(links.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first())
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, radius: int = 3) -> DataFrame:
-    """One row per document: doc_id, fingerprint (16 hex digits), component_id."""
+def _grouped(docs: DataFrame, id_col: str, text_col: str, width: int, radius: int) -> tuple[DataFrame, DataFrame]:
+    """(every row's doc_id and fp, every fp's smallest doc_id and the root of its component)."""
     signed = common.materialise(signatures(docs, id_col, text_col, width), "signatures")
     classes = common.materialise(signed.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "classes")
     mapped = components(fingerprint_links(classes.select("fp"), radius))
     # only linked fingerprints need the smallest id of their whole component
-    rooted = classes.join(mapped, F.col("fp") == F.col("node"), "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
+    return signed, classes.join(mapped, F.col("fp") == F.col("node"), "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, radius: int = 3) -> DataFrame:
+    """One row per document: doc_id, fingerprint (16 hex digits), component_id."""
+    signed, rooted = _grouped(docs, id_col, text_col, width, radius)
     lowest = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
     named = rooted.join(lowest, "root").select(F.col("fp").alias("fp_"), "component_id")
     out = signed.join(named, F.col("fp") == F.col("fp_"))
@@ -265,24 +272,28 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def survivors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, radius: int = 3) -> DataFrame:
     """``docs`` with one document of each near-duplicate group, see ``keep_first``."""
-    return keep_first(docs, near_duplicates(docs, id_col, text_col, width, radius), id_col)
+    signed, rooted = _grouped(docs, id_col, text_col, width, radius)
+    named = rooted.select(F.col("fp").alias("fp_"), F.col("root").alias("component"))
+    return keep_first(docs, signed.join(named, F.col("fp") == F.col("fp_")).select("doc_id", "copy", "component"), id_col, text_col)
 
 
-def keep_first(docs: DataFrame, groups: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """``docs`` with one document of each group (doc_id, component_id): the one of the smallest id.
+def keep_first(docs: DataFrame, groups: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one document of each group (doc_id, copy, component): the one of the smallest id.
 
-    All columns stay.  Of rows that repeat the surviving id one stays; rows without an id stay, as
-    no group decision can name them.
+    All columns stay.  Of texts that share the smallest id the one of the smallest hash stays, and
+    of rows that repeat id and text one; rows without an id stay, as no group decision can name them.
     """
-    found = groups.where("doc_id is not null")
-    found = common.materialise(found.groupBy("doc_id").agg(F.min("component_id").alias("component_id"), F.count("*").alias("n")), "groups")
-    gone = common.small_side(common.materialise(found.where("doc_id <> component_id or n > 1").select("doc_id"), "gone"))
-    kept = common.by_id(docs, id_col, gone, "left_anti")
-    # ids that stay but are on several rows: taken out above, and brought back once
-    repeated = common.materialise(found.where("doc_id = component_id and n > 1").select("doc_id"), "repeated")
+    found = groups.where("doc_id is not null").groupBy("doc_id", "copy", "component").agg(F.count("*").alias("n"))
+    found = common.materialise(found, "groups")
+    best = found.groupBy(F.col("component").alias("c")).agg(F.min(F.struct("doc_id", "copy")).alias("best"))
+    judged = found.join(best, F.col("component") == F.col("c")).select("doc_id", "copy", "n", (F.struct("doc_id", "copy") == F.col("best")).alias("stays"))
+    gone = common.materialise(judged.where("not stays or n > 1"), "gone")
+    kept = common.by_copy(docs, id_col, text_col, gone, "left_anti")
+    # rows that stay but are repeated: taken out above, and brought back once
+    repeated = common.materialise(gone.where("stays"), "repeated")
     if repeated.isEmpty():
         return kept
-    return kept.unionByName(common.by_id(docs, id_col, repeated, "left_semi").dropDuplicates([id_col]))
+    return kept.unionByName(common.by_copy(docs, id_col, text_col, repeated, "left_semi").dropDuplicates([id_col, text_col]))
 
 
 def op3(spark, sf_dir: str) -> DataFrame:

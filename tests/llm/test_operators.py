@@ -14,7 +14,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from quorate.llm import chat, common, decontaminate, language, lines, multi_index, ngram_model, packing, quality, simhash, urls
+from quorate.llm import chat, common, decontaminate, language, lines, multi_index, ngram_model, packing, quality, setjoin, simhash, urls
 from quorate.llm.elias_fano import Sequence, read_arrays, write_arrays
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, __id long, copy string, fp string"
@@ -119,7 +119,7 @@ def brute_lines(rows, threshold=0.8):
             continue
         for k, line in enumerate((t or "").split("\n")):
             s = frozenset(line.encode().lower().split())
-            if len(s) >= lines.MIN_WORDS:
+            if s:
                 table.append((i, k, s))
     sets = list({s for _, _, s in table})
     first = {}
@@ -154,16 +154,12 @@ def test_line_dedup_matches_brute_force(spark):
     rows += [(200, None, None), (201, "", None), (None, rows[0][1], "en"), (202, rows[0][1], "en"), (202, rows[0][1], "en")]
     want = brute_lines([r[:2] for r in rows])
     names = ("doc_id", "line_no", "n_words", "links", "match_doc_id", "match_line_no", "removed")
-    saved = lines.FREQUENT, lines.DENSE, lines.BLOCK
-    # words entered in pairs always, sometimes, never; keys dense always, sometimes, never; blocks of two lines or more
-    for frequent, dense, block in ((0, 1, 2), (5, 3, 2), (10**9, 2, 3), (5, 10**9, 2048)):
-        try:
-            table = docs(spark, rows)
-            lines.line_table.__defaults__, lines.candidates.__defaults__, lines.BLOCK = (lines.THRESHOLD, frequent), (lines.THRESHOLD, dense), block
-            got = sorted(tuple(r[n] for n in names) for r in lines.line_matches(table).collect())
-        finally:
-            lines.line_table.__defaults__, lines.candidates.__defaults__, lines.BLOCK = (lines.THRESHOLD, saved[0]), (lines.THRESHOLD, saved[1]), saved[2]
-        assert got == want, (frequent, dense)
+    saved = setjoin.BLOCK
+    # words entered in pairs always, sometimes, never; blocks of two lines or more
+    for frequent, setjoin.BLOCK in ((0, 2), (5, 3), (10**9, 40), (5, 2048)):
+        got = sorted(tuple(r[n] for n in names) for r in lines.line_matches(docs(spark, rows), frequent=frequent).collect())
+        assert got == want, (frequent, setjoin.BLOCK)
+    setjoin.BLOCK = saved
     gone = {(r[0], r[1]) for r in want if r[-1]}
     kept = {(r.doc_id, r.text) for r in lines.without_repeats(docs(spark, rows)).collect()}
     for i, t, _ in rows:
