@@ -10,10 +10,14 @@ Scale: the cells of one first centroid lie together and are cut into blocks of b
 so are the queries that visit them, so that no task sees a hot cell whole.  Of equal vectors only the ``k + 1`` with the smallest ids can be in a
 result (ties go to the smaller id), so the others don't enter the index; nothing else is left out.
 
+Vectors of any size and offset are compared alike: the index works on scaled, centred copies, the
+preselection inside of a block allows for the rounding of its own scale, and what it keeps is measured
+on the original vectors.
+
 Defined results: vectors that are null, all zero, of another length than the commonest, or that
-hold a null or non-finite component take no part, nor do rows without an id; of rows that repeat
-an id with different vectors each is an entry; an empty table gives an empty result; other columns
-are ignored.
+hold a null or non-finite component take no part, nor do rows without an id; fully repeated rows
+count once; an id that stands on several vectors is one query and one candidate, at the smallest distance
+of any of them; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -36,12 +40,17 @@ CODEBOOK = 128
 BLOCK = 4096
 
 
+def share_of(n: int) -> float:
+    """Share of ``n`` entries that is reranked for a query: falls as neighbours of a growing table come closer."""
+    return min(1.0, 1.2 * n**-0.1)
+
+
 def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """(vec_id, vector array<double>) of the rows that take part."""
+    """(vec_id, vector array<double>) of the rows that take part, without repeats."""
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("vector"))
     rows = rows.where("vec_id is not null and vector is not null and forall(vector, x -> x is not null and not isnan(x) and abs(x) < double('Infinity')) and exists(vector, x -> x <> 0)")
     sizes = rows.groupBy(F.size("vector").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    return rows.where(F.size("vector") == (sizes["n"] if sizes else 0))
+    return rows.where(F.size("vector") == (sizes["n"] if sizes else 0)).dropDuplicates(["vec_id", "vector"])
 
 
 def kmeans(x: np.ndarray, k: int, rounds: int = 12, seed: int = 7) -> np.ndarray:
@@ -86,10 +95,41 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
 
-def search(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", share: float = 0.45, least: int = 3000, codebook: int | None = None) -> DataFrame:
+def distances(q: np.ndarray, e: np.ndarray) -> np.ndarray:
+    """Euclidean distance of each pair of rows; sums of squares that leave the range of doubles are scaled."""
+    with np.errstate(over="ignore", under="ignore", invalid="ignore"):
+        difference = q - e
+        squares = (difference**2).sum(1)
+        out = np.sqrt(squares)
+        odd = np.flatnonzero(~np.isfinite(squares) | (squares < 1e-280))
+        if len(odd):
+            most = np.abs(difference[odd]).max(1)
+            unit = difference[odd] / np.where((most > 0) & np.isfinite(most), most, 1)[:, None]
+            out[odd] = np.where(np.isfinite(most), most * np.sqrt((unit**2).sum(1)), np.inf)
+    return out
+
+
+def preselect(q: np.ndarray, e: np.ndarray, allowed: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    """Which allowed pairs may be among a row's ``k`` nearest different ``ids`` (in rising order), rounding included."""
+    scale = max(np.abs(q).max(), np.abs(e).max())
+    a, b = q / scale, e / scale
+    centre = b.mean(axis=0)
+    a, b = a - centre, b - centre
+    near = np.where(allowed, np.sqrt(_squared(a, b)), np.inf)
+    opens = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
+    if len(opens) <= k:
+        return allowed
+    by_id = near if len(opens) == len(ids) else np.minimum.reduceat(near, opens, axis=1)
+    eps, size = np.finfo(np.float64).eps, a.shape[1]
+    longest = np.sqrt((a * a).sum(1).max()) + np.sqrt((b * b).sum(1).max())
+    slack = 8 * eps * np.sqrt(size) + 2 * np.sqrt((size + 8) * eps) * longest
+    return allowed & (near <= np.partition(by_id, k - 1, axis=1)[:, k - 1 : k] + slack)
+
+
+def search(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", share: float | None = None, codebook: int | None = None) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's ``k`` nearest other rows by Euclidean distance.
 
-    ``share`` of all entries, ``least`` at least, are reranked for each query.
+    ``share`` of all entries, by default ``share_of`` their number, are reranked for each query.
     """
     spark = vectors.sparkSession
     schema = "query_id long, rank int, vec_id long, score double"
@@ -100,20 +140,25 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "v
     n = entries.count()
     if not n:
         return spark.createDataFrame([], schema)
-    rate = min(1.0, SAMPLE / n)
-    sample = entries.where(F.pmod(F.xxhash64("vec_id"), F.lit(1_000_000)) < int(rate * 1_000_000)).select("vector").limit(SAMPLE).toPandas()
+    token = F.xxhash64("vec_id", "vector")
+    sample = entries.where(F.pmod(token, F.lit(1 << 40)) < int(min(1.0, 1.5 * SAMPLE / n) * (1 << 40))).orderBy(token).limit(SAMPLE).select("vector").toPandas()
     x = np.array(sample["vector"].tolist()) if len(sample) else np.array([entries.first()["vector"]])
+    scale = entries.agg(F.max(F.array_max(F.transform("vector", F.abs)))).first()[0]
+    x = x / scale
+    centre = x.mean(axis=0)
+    x = x - centre
     half = x.shape[1] // 2
     size = codebook or int(max(8, min(CODEBOOK, round(n**0.5))))
     books = spark.sparkContext.broadcast((kmeans(x[:, :half], size), kmeans(x[:, half:], size)))
     wide = len(books.value[1])
-    budget = int(max(least, share * n))
+    budget = int(max(4 * k, (share_of(n) if share is None else share) * n))
 
+    @common.tidy
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c1, c2 = books.value
         for batch in batches:
             if batch.num_rows:
-                m = _matrix(batch.column("vector"))
+                m = _matrix(batch.column("vector")) / scale - centre
                 cell = _nearest(m[:, :half], c1) * wide + _nearest(m[:, half:], c2)
                 yield pa.record_batch([batch.column("vec_id"), batch.column("vector"), pa.array(cell.astype(np.int32))], names=["vec_id", "vector", "cell"])
 
@@ -123,12 +168,13 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "v
         sizes[r["cell"]] = r["count"]
     held = spark.sparkContext.broadcast(sizes)
 
+    @common.tidy
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c1, c2 = books.value
         for batch in batches:
             if not batch.num_rows:
                 continue
-            m = _matrix(batch.column("vector"))
+            m = _matrix(batch.column("vector")) / scale - centre
             d1, d2 = _squared(m[:, :half], c1), _squared(m[:, half:], c2)
             at, first, seconds = [], [], []
             for k in range(len(m)):
@@ -158,6 +204,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "v
         names, types = ["query_id", "vec_id", "score"], [pa.int64(), pa.int64(), pa.float64()]
         if not left.num_rows or not right.num_rows:
             return pa.table([pa.array([], t) for t in types], names=names)
+        right = right.sort_by("vec_id")
         q, e = _matrix(left.column("vector").combine_chunks()), _matrix(right.column("vector").combine_chunks())
         qid, eid = left.column("query_id").to_numpy(), right.column("vec_id").to_numpy()
         visited = np.zeros((len(q), wide), dtype=bool)
@@ -165,13 +212,14 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "v
             visited[i, js] = True
         second, out = right.column("second").to_numpy(), []
         for at in range(0, len(q), 512):
-            d, own = _squared(q[at : at + 512], e), qid[at : at + 512]
-            d[~visited[at : at + 512][:, second] | (own[:, None] == eid[None, :])] = np.inf
-            if len(e) > k:
-                # room for rounding: what may tie with the k-th stays and is measured exactly
-                d[d > np.partition(d, k - 1, axis=1)[:, k - 1 : k] * (1 + 1e-9) + 1e-9] = np.inf
-            i, j = np.nonzero(np.isfinite(d))
-            score = np.sqrt(((q[at + i] - e[j]) ** 2).sum(1))
+            own = qid[at : at + 512]
+            allowed = visited[at : at + 512][:, second] & (own[:, None] != eid[None, :])
+            i, j = np.nonzero(preselect(q[at : at + 512], e, allowed, eid, k))
+            score = distances(q[at + i], e[j])
+            s = np.lexsort((score, eid[j], i))
+            i, j, score = i[s], j[s], score[s]
+            once = np.r_[True, (i[1:] != i[:-1]) | (eid[j][1:] != eid[j][:-1])] if len(i) else np.zeros(0, bool)
+            i, j, score = i[once], j[once], score[once]
             s = np.lexsort((eid[j], score, i))
             i, j, score = i[s], j[s], score[s]
             first = np.r_[0, np.flatnonzero(np.diff(i)) + 1] if len(i) else np.zeros(0, int)
@@ -182,6 +230,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "v
 
     keys = ["first", "e", "q"]
     found = asks.groupBy(*keys).cogroup(own.groupBy(*keys)).applyInArrow(lambda left, right: rerank(left, right), "query_id long, vec_id long, score double")
+    found = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))  # an id may be asked with several vectors
     best = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

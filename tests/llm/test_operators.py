@@ -386,7 +386,7 @@ def test_neighbours_recall(spark):
     queries = [(i, v) for i, v in rows if i % 20 == 0]
     want = brute_neighbours(rows, queries)
     got = collections.defaultdict(dict)
-    for r in multi_index.search(table, table.where("vec_id % 20 = 0"), least=100).collect():
+    for r in multi_index.search(table, table.where("vec_id % 20 = 0"), share=0.6).collect():
         got[r.query_id][r.vec_id] = r.score
     recall = np.mean([len({i for i, _ in want[q]} & set(got[q])) / len(want[q]) for q in want])
     assert recall >= 0.9
