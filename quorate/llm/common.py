@@ -24,7 +24,19 @@ from pyspark.sql import functions as F
 ASCII_SPACE = b" \t\n\x0b\x0c\r"
 
 
+#: Rows of an Arrow batch, unless the session sets them: batches of whole texts stay at a few MB.
+BATCH_ROWS = 2000
+
+
+def modest_batches(spark: SparkSession) -> None:
+    """Bound the rows that Spark hands to a Python worker at a time, where the session leaves that open."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key, None) is None:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    modest_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -54,6 +66,7 @@ def shared_path(spark: SparkSession, label: str) -> str:
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as Parquet in shared storage and read it back, with true sizes for the optimizer."""
     spark = df.sparkSession
+    modest_batches(spark)
     path = shared_path(spark, label)
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)

@@ -31,8 +31,11 @@ from . import common
 
 END_ID = 2
 WINDOW = 4096
-#: Words whose ids a Python worker keeps; beyond it the memory is emptied and refilled.
-CACHE_WORDS = 600_000
+#: Words, and bytes of them, whose ids a Python worker keeps; beyond it the memory is emptied and refilled.
+CACHE_WORDS = 250_000
+CACHE_BYTES = 16 << 20
+#: Bytes of text that are encoded at a time.
+PIECE = 4 << 20
 
 
 def vocabulary_path(name: str = "word_bpe_49k.json") -> str:
@@ -59,6 +62,7 @@ class WordEncoder:
 
     def _clear(self) -> None:
         self.known: dict[bytes, int] = {b"": 0}
+        self.held = 0
         self.pool, self.starts, self.lengths = (common.Growing(t) for t in (self.dtype, np.int64, np.int64))
         self.starts.extend(np.zeros(1, np.int64))
         self.lengths.extend(np.zeros(1, np.int64))
@@ -79,7 +83,7 @@ class WordEncoder:
 
     def _local(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids of these distinct words: a pool with each word's start and length."""
-        if len(self.known) > CACHE_WORDS:
+        if len(self.known) > CACHE_WORDS or self.held > CACHE_BYTES:
             self._clear()
         at = np.fromiter(map(self.known.get, words, repeat(-1)), dtype=np.int64, count=len(words))
         if len(fresh := np.flatnonzero(at < 0)):
@@ -104,6 +108,7 @@ class WordEncoder:
             ids[i] = e.ids
         lengths = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
         first = len(self.known)
+        self.held += sum(map(len, words))
         self.known.update(zip(words, range(first, first + len(words)), strict=True))
         self.starts.extend(self.pool.size + np.cumsum(lengths) - lengths)
         self.lengths.extend(lengths)
@@ -143,7 +148,7 @@ def tokenised(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, part, total = _encoder(vocabulary), TaskContext.get().partitionId(), 0
         for batch in batches:
-            for lo, hi in common.pieces(batch, "text", 16 << 20):
+            for lo, hi in common.pieces(batch, "text", PIECE):
                 ids, counts = encoder.encode(batch.column("text").slice(lo, hi - lo))
                 ids = np.insert(ids, np.cumsum(counts), end_id)
                 counts = counts + 1

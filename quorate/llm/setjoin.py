@@ -370,7 +370,8 @@ def linked(table: DataFrame, threshold: float, width: int) -> DataFrame:
             bounds = lists.offsets.to_numpy().astype(np.int64)
             prefix = lists.values.to_numpy().view(np.uint32)
             parity = batch.column("parity")
-            parity = parity.to_numpy().view(np.uint64) if width == 1 else np.frombuffer(b"".join(parity.to_pylist()), np.uint64).reshape((len(n), width))
+            parity = np.frombuffer(b"".join(parity.to_pylist()), np.uint64) if pa.types.is_binary(parity.type) else parity.to_numpy().view(np.uint64)
+            parity = parity.reshape((len(n), width)) if width > 1 else parity
             key, position, owner = _keys(prefix, bounds[:-1], n, rare, threshold)
             long = n[owner] >= LONGEST
             place = (np.minimum(n[owner], LONGEST) << 16 | np.where(long, 0, position)).astype(np.uint32)
