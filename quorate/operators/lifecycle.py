@@ -5,9 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Stages in order of test: a status takes the first stage one of whose words it holds.
-STAGES = [("Introduced", ("signup", "introduced")), ("Referral", ("view", "referred")), ("Hearing", ("click", "hearing")), ("Failed", ("error", "died", "vetoed")), ("Enacted", ("purchase", "signed", "approved by governor"))]
-TERMINAL = ("Enacted", "Failed")
+#: Stages in order of test; a status takes the first stage one of whose phrases it holds.
+STAGES = [
+    ("Introduced", ("introduced",)),
+    ("Committee Referral", ("referred to committee",)),
+    ("Hearing", ("hearing", "scheduled for hearing")),
+    ("Committee Report", ("committee report recommending",)),
+    ("Committee of the Whole", ("committee of the whole",)),
+    ("Floor Vote", ("final action", "emergency final action", "roll call")),
+    ("Cross-Chamber", ("received by", "transmitted to")),
+    ("Signed into Law", ("approved by governor",)),
+    ("Vetoed", ("vetoed by governor", "line item veto")),
+    ("Governor", ("enrolled and presented",)),
+]
+TERMINAL = ("Signed into Law", "Vetoed")
 
 
 def classify(status: Column, stages=STAGES) -> Column:
@@ -20,17 +31,17 @@ def classify(status: Column, stages=STAGES) -> Column:
     return out.otherwise("Other")
 
 
-def stage_counts(actions: DataFrame) -> DataFrame:
-    return actions.withColumn("stage", classify(F.col("status"))).groupBy("stage").agg(F.count("*").alias("n"), F.countDistinct("bill").alias("bills"))
+def stage_counts(actions: DataFrame, stages=STAGES) -> DataFrame:
+    return actions.withColumn("stage", classify(F.col("status"), stages)).groupBy("stage").agg(F.count("*").alias("n"), F.countDistinct("bill").alias("bills"))
 
 
-def transitions(actions: DataFrame, terminal=TERMINAL) -> DataFrame:
+def transitions(actions: DataFrame, stages=STAGES, terminal=TERMINAL) -> DataFrame:
     """Counts of (source, target) over each bill's stages, repeats in a row collapsed.
 
     A bill whose last stage isn't terminal goes from there to Died.
     """
     order = Window.partitionBy("bill").orderBy("ts", "event_id")
-    steps = actions.withColumn("stage", classify(F.col("status"))).withColumn("before", F.lag("stage").over(order))
+    steps = actions.withColumn("stage", classify(F.col("status"), stages)).withColumn("before", F.lag("stage").over(order))
     steps = steps.where("before is null or before <> stage").withColumn("target", F.lead("stage").over(order))
     moves = steps.select(F.col("stage").alias("source"), F.when(F.col("target").isNull() & ~F.col("stage").isin(*terminal), "Died").otherwise(F.col("target")).alias("target"))
     return moves.where("target is not null").groupBy("source", "target").agg(F.count("*").alias("n"))
@@ -43,7 +54,7 @@ def durations(actions: DataFrame) -> DataFrame:
 
 def outcome(text: Column) -> Column:
     """Whether a result text says that the item passed: failures are tested first; unknown is null."""
-    t = F.lower(F.trim(text))
-    failed = t.contains("not passed") | t.contains("failed") | t.contains("sustained") | t.contains("not adopted") | t.contains("killed")
-    passed = t.contains("passed") | t.contains("adopted") | t.contains("prevailed") | t.contains("concur")
+    t = F.lower(text)
+    failed = t.rlike(r"\b(not\s+passed|failed|rejected)\b") | t.contains("sustained")
+    passed = t.rlike(r"\b(passed|adopted|prevailed|concurred)\b")
     return F.when(failed, False).when(passed, True)

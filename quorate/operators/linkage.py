@@ -19,8 +19,8 @@ def last_name(name: Column) -> Column:
 
 
 def normal_bill(bill: Column) -> Column:
-    """"S Sub for Sub for HB 2007" to "HB 2007"."""
-    return F.trim(F.regexp_replace(F.regexp_replace(F.trim(bill), r"^(?:(?:[SH] )?Sub for )+", ""), r"\s+", " "))
+    """"S Sub for Sub for HB 2007" to "HB 2007", whatever the case of the prefixes."""
+    return F.trim(F.regexp_replace(F.regexp_replace(F.trim(bill), r"(?i)^(?:(?:[SH] )?Sub for )+", ""), r"\s+", " "))
 
 
 def staged(left: DataFrame, right: DataFrame, stages: list[tuple[str, list[str]]], left_id: str, right_id: str) -> DataFrame:

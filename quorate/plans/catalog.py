@@ -207,8 +207,10 @@ SELECT a, place, b, n, round(agreement, 6) AS agreement FROM ranked WHERE place
 # ---------------------------------------------------------------- lifecycle and time
 
 STAGE = """staged AS (SELECT *, CASE WHEN status LIKE '%signup%' THEN 'Introduced' WHEN status LIKE '%view%' THEN 'Referral' WHEN status LIKE '%click%' THEN 'Hearing' WHEN status LIKE '%error%' THEN 'Failed' WHEN status LIKE '%purchase%' THEN 'Enacted' ELSE 'Other' END AS stage FROM actions)"""
-register("stage_counts", on(lambda t: lifecycle.stage_counts(t.actions)), with_views("actions", more=STAGE) + "SELECT stage, count(*) AS n, count(DISTINCT bill) AS bills FROM staged GROUP BY stage")
-register("stage_transitions", on(lambda t: lifecycle.transitions(t.actions)), with_views("actions", more=STAGE) + """
+#: Kinds of the event table, as stages.
+EVENT_STAGES = [("Introduced", ("signup",)), ("Referral", ("view",)), ("Hearing", ("click",)), ("Failed", ("error",)), ("Enacted", ("purchase",))]
+register("stage_counts", on(lambda t: lifecycle.stage_counts(t.actions, EVENT_STAGES)), with_views("actions", more=STAGE) + "SELECT stage, count(*) AS n, count(DISTINCT bill) AS bills FROM staged GROUP BY stage")
+register("stage_transitions", on(lambda t: lifecycle.transitions(t.actions, EVENT_STAGES, ("Enacted", "Failed"))), with_views("actions", more=STAGE) + """
 , l AS (SELECT *, lag(stage) OVER (PARTITION BY bill ORDER BY ts, event_id) AS before FROM staged), s AS (SELECT bill, ts, event_id, stage FROM l WHERE before IS NULL OR before <> stage),
 t AS (SELECT stage AS source, lead(stage) OVER (PARTITION BY bill ORDER BY ts, event_id) AS target FROM s)
 SELECT source, CASE WHEN target IS NULL THEN 'Died' ELSE target END AS target, count(*) AS n FROM t WHERE target IS NOT NULL OR source NOT IN ('Enacted', 'Failed') GROUP BY 1, 2""")
@@ -227,9 +229,7 @@ register("halves", on(lambda t: timeseries.halves(_riced(t), t.items), "early",
 , p AS (SELECT party, rice, row_number() OVER (PARTITION BY party ORDER BY day, item) * 2 <= count(*) OVER (PARTITION BY party) AS early FROM riced JOIN items USING (item) WHERE rice IS NOT NULL)
 SELECT party, round(avg(rice) FILTER (WHERE early), 6) AS early, round(avg(rice) FILTER (WHERE NOT early), 6) AS late, round(avg(rice) FILTER (WHERE NOT early) - avg(rice) FILTER (WHERE early), 6) AS change FROM p GROUP BY party""")
 register("day_of_session", on(lambda t: timeseries.day_of_session(t.items)), with_views("items") + "SELECT item, chamber, CAST(day - min(day) OVER (PARTITION BY chamber) AS INTEGER) AS day_of_session FROM items")
-register("close_dates", on(lambda t: timeseries.close_pairs(t.items.where("item % 20 = 0").select(F.col("item").alias("key"), "day"))), with_views("items") + """
-, k AS (SELECT item AS key, day FROM items WHERE item % 20 = 0) SELECT x.key AS a, z.key AS b, CAST(z.day - x.day AS INTEGER) AS gap FROM k x JOIN k z ON x.key < z.key AND abs(z.day - x.day) <= 14""")
-register("close_dates_all", on(lambda t: timeseries.close_pairs(t.items.select(F.col("item").alias("key"), "day"))), with_views("items") + """
+register("close_dates", on(lambda t: timeseries.close_pairs(t.items.select(F.col("item").alias("key"), "day"))), with_views("items") + """
 , k AS (SELECT item AS key, day FROM items) SELECT x.key AS a, z.key AS b, CAST(z.day - x.day AS INTEGER) AS gap FROM k x JOIN k z ON x.key < z.key AND abs(z.day - x.day) <= 14""")
 register("change_points", on(lambda t: timeseries.change_points(timeseries.moving_average(_riced(t), t.items).withColumn("place", F.expr("row_number() over (partition by party order by day, item)").cast("long")).select("party", "place", F.col("mean").alias("value")))))
 
@@ -322,9 +322,7 @@ SELECT a, b, round(weight, 6) AS weight, round(chance, 6) AS chance FROM r WHERE
 register("threshold_sweep", on(lambda t: graph.threshold_sweep(_pairs(t), [0.0, 0.02, 0.05, 0.1]), "mean_kappa"), with_views("votes", more=PAIRS) + """
 , k AS (SELECT t AS threshold, a, b, kappa FROM pairs, (VALUES (CAST(0.0 AS DOUBLE)), (0.02), (0.05), (0.1)) v(t) WHERE kappa > t), n AS (SELECT threshold, count(DISTINCT voter) AS nodes FROM (SELECT threshold, a AS voter FROM k UNION ALL SELECT threshold, b FROM k) GROUP BY 1)
 SELECT threshold, count(*) AS edges, round(avg(kappa), 6) AS mean_kappa, nodes FROM k JOIN n USING (threshold) GROUP BY 1, 4""")
-register("item_projection", on(lambda t: graph.projection(agreement.encode(t.votes.where("item % 10 = 0")), 0.0).select("a", "b", "weight", "voters"), "weight"), with_views("votes") + """
-, yea AS (SELECT voter, item, count(*) OVER (PARTITION BY voter) AS k FROM votes WHERE choice = 'Yea' AND item % 10 = 0) SELECT x.item AS a, z.item AS b, round(sum(1.0 / (x.k - 1)), 6) AS weight, count(*) AS voters FROM yea x JOIN yea z ON x.voter = z.voter AND x.item < z.item WHERE x.k > 1 GROUP BY 1, 2""")
-register("item_projection_all", on(lambda t: graph.projection(agreement.encode(t.votes), 0.0).select("a", "b", "weight", "voters"), "weight"), with_views("votes") + """
+register("item_projection", on(lambda t: graph.projection(agreement.encode(t.votes), 0.0).select("a", "b", "weight", "voters"), "weight"), with_views("votes") + """
 , yea AS (SELECT voter, item, count(*) OVER (PARTITION BY voter) AS k FROM votes WHERE choice = 'Yea') SELECT x.item AS a, z.item AS b, round(sum(1.0 / (x.k - 1)), 6) AS weight, count(*) AS voters FROM yea x JOIN yea z ON x.voter = z.voter AND x.item < z.item WHERE x.k > 1 GROUP BY 1, 2""")
 register("backbone_comparison", on(lambda t: graph.compare(graph.disparity(_graph(t), 0.3), graph.edges(_pairs(t), 0.1)), "jaccard"), with_views("votes", more=GRAPH) + """
 , r AS (SELECT e.a, e.b, least(CASE WHEN x.degree = 1 THEN 0.0 ELSE pow(1 - weight / x.strength, x.degree - 1) END, CASE WHEN z.degree = 1 THEN 0.0 ELSE pow(1 - weight / z.strength, z.degree - 1) END) AS chance FROM edges e JOIN degrees x ON x.voter = a JOIN degrees z ON z.voter = b),
@@ -352,12 +350,7 @@ def _save(df: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- linkage
 
 register("normal_names", on(lambda t: t.members.select("voter", linkage.normal_name(F.concat(F.upper("full_name"), F.lit("  JR. - Majority Leader"))).alias("name"))), with_views("members") + "SELECT voter, lower(full_name) AS name FROM members")
-register("staged_match", on(lambda t: linkage.staged(t.members.select("voter", linkage.normal_name(F.col("full_name")).alias("name"), "district"), t.customer.where("c_custkey <= 1000").select(F.col("c_custkey").alias("key"), F.lower(F.regexp_replace("c_name", "Customer", "Supplier")).alias("name"), F.col("c_nationkey").alias("district")), [("name", ["name"]), ("district", ["district"])], "voter", "key")), with_views("members") + """
-, l AS (SELECT voter, lower(full_name) AS name, district FROM members), r AS (SELECT c_custkey AS key, lower(replace(c_name, 'Customer', 'Supplier')) AS name, c_nationkey AS district FROM customer WHERE c_custkey <= 1000),
-one AS (SELECT voter, key FROM (SELECT *, count(*) OVER (PARTITION BY name) AS n FROM l) x JOIN (SELECT *, count(*) OVER (PARTITION BY name) AS n FROM r) z ON x.name = z.name AND x.n = 1 AND z.n = 1),
-l2 AS (SELECT *, count(*) OVER (PARTITION BY district) AS n FROM l WHERE voter NOT IN (SELECT voter FROM one)), r2 AS (SELECT *, count(*) OVER (PARTITION BY district) AS n FROM r WHERE key NOT IN (SELECT key FROM one))
-SELECT voter, key, 'name' AS stage FROM one UNION ALL SELECT voter, key, 'district' FROM l2 x JOIN r2 z ON x.district = z.district AND x.n = 1 AND z.n = 1""")
-register("staged_match_all", on(lambda t: linkage.staged(t.members.select("voter", linkage.normal_name(F.col("full_name")).alias("name"), "district"), t.customer.select(F.col("c_custkey").alias("key"), F.lower(F.regexp_replace("c_name", "Customer", "Supplier")).alias("name"), F.col("c_nationkey").alias("district")), [("name", ["name"]), ("district", ["district"])], "voter", "key")), with_views("members") + """
+register("staged_match", on(lambda t: linkage.staged(t.members.select("voter", linkage.normal_name(F.col("full_name")).alias("name"), "district"), t.customer.select(F.col("c_custkey").alias("key"), F.lower(F.regexp_replace("c_name", "Customer", "Supplier")).alias("name"), F.col("c_nationkey").alias("district")), [("name", ["name"]), ("district", ["district"])], "voter", "key")), with_views("members") + """
 , l AS (SELECT voter, lower(full_name) AS name, district FROM members), r AS (SELECT c_custkey AS key, lower(replace(c_name, 'Customer', 'Supplier')) AS name, c_nationkey AS district FROM customer),
 one AS (SELECT voter, key FROM (SELECT *, count(*) OVER (PARTITION BY name) AS n FROM l) x JOIN (SELECT *, count(*) OVER (PARTITION BY name) AS n FROM r) z ON x.name = z.name AND x.n = 1 AND z.n = 1),
 l2 AS (SELECT *, count(*) OVER (PARTITION BY district) AS n FROM l WHERE voter NOT IN (SELECT voter FROM one)), r2 AS (SELECT *, count(*) OVER (PARTITION BY district) AS n FROM r WHERE key NOT IN (SELECT key FROM one))
@@ -365,9 +358,7 @@ SELECT voter, key, 'name' AS stage FROM one UNION ALL SELECT voter, key, 'distri
 register("positional_pairs", on(lambda t: linkage.positional(t.members.select("district", F.col("full_name").alias("at")), t.customer.select(F.col("c_nationkey").alias("district"), F.col("c_name").alias("at")), ["district"], "at").select("district", F.col("i").cast("int").alias("i"), "left_at", "right_at")), with_views("members") + """
 SELECT coalesce(x.district, z.district) AS district, CAST(coalesce(x.i, z.i) AS INTEGER) AS i, left_at, right_at FROM (SELECT district, full_name AS left_at, row_number() OVER (PARTITION BY district ORDER BY full_name) AS i FROM members) x
 FULL JOIN (SELECT c_nationkey AS district, c_name AS right_at, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_name) AS i FROM customer) z ON x.district = z.district AND x.i = z.i""")
-register("keyed_merge", on(lambda t: linkage.merge_keyed(t.orders.where("o_orderkey % 2 = 0").select("o_custkey", "o_orderkey", "o_orderstatus"), t.orders.where("o_orderkey % 7 = 0").select("o_custkey", "o_orderkey", F.lit("X").alias("o_orderstatus")), "o_custkey", ["o_custkey", "o_orderkey"])), """
-SELECT o_custkey, o_orderkey, o_orderstatus FROM orders WHERE o_orderkey % 2 = 0 AND o_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderkey % 7 = 0) UNION ALL SELECT DISTINCT o_custkey, o_orderkey, 'X' FROM orders WHERE o_orderkey % 7 = 0""")
-register("keyed_merge_all", on(lambda t: linkage.merge_keyed(t.orders.where("o_orderstatus <> 'P'").select("o_custkey", "o_orderkey", "o_orderstatus"), t.orders.where("o_orderstatus = 'P'").select("o_custkey", "o_orderkey", F.lit("X").alias("o_orderstatus")), "o_custkey", ["o_custkey", "o_orderkey"])), """
+register("keyed_merge", on(lambda t: linkage.merge_keyed(t.orders.where("o_orderstatus <> 'P'").select("o_custkey", "o_orderkey", "o_orderstatus"), t.orders.where("o_orderstatus = 'P'").select("o_custkey", "o_orderkey", F.lit("X").alias("o_orderstatus")), "o_custkey", ["o_custkey", "o_orderkey"])), """
 SELECT o_custkey, o_orderkey, o_orderstatus FROM orders WHERE o_orderstatus <> 'P' AND o_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P') UNION ALL SELECT DISTINCT o_custkey, o_orderkey, 'X' FROM orders WHERE o_orderstatus = 'P'""")
 register("first_wins", on(lambda t: linkage.first_wins(t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"), ["l_orderkey", "l_linenumber"], ["l_partkey", "l_suppkey"])), "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey) = 1")
 
@@ -475,10 +466,7 @@ register("trajectories", on(lambda t: profiles.trajectories(t.sessions), "net",
 register("service_gaps", on(lambda t: profiles.gaps(t.sessions)), with_views("sessions") + """
 , s AS (SELECT person, session, lag(session) OVER (PARTITION BY person ORDER BY session) AS before FROM sessions) SELECT person, before AS "left", session AS back, CAST(session - before - 1 AS INTEGER) AS missed FROM s WHERE session - before > 1""")
 register("sponsor_lists", on(lambda t: profiles.lists(t.items.select("item", F.concat_ws("; ", "motion", "chamber", F.lit(""), "bill").alias("sponsors")), "item", "sponsors")), with_views("items") + "SELECT item, CAST(p AS INTEGER) AS place, e AS entry FROM (SELECT item, unnest([0, 1, 3]) AS p, unnest([motion, chamber, bill]) AS e FROM items)")
-register("residual_correlations", on(lambda t: profiles.residual_correlations(_scored(t).where("item % 40 = 0")), "q3"), with_views(*VM, more=FEATURES) + """
-, e AS (SELECT voter, item, y - p AS e FROM scored WHERE item % 40 = 0), c AS (SELECT x.item AS a, z.item AS b, count(*) AS n, avg(x.e * z.e) - avg(x.e) * avg(z.e) AS cov, avg(x.e * x.e) - avg(x.e) * avg(x.e) AS va, avg(z.e * z.e) - avg(z.e) * avg(z.e) AS vb FROM e x JOIN e z ON x.voter = z.voter AND x.item < z.item GROUP BY 1, 2)
-SELECT a, b, n, round(cov / sqrt(va * vb), 6) AS q3, abs(cov / sqrt(va * vb)) > 0.2 AS flag FROM c WHERE n >= 3 AND va > 1e-12 AND vb > 1e-12""")
-register("residual_correlations_all", on(lambda t: profiles.residual_correlations(_scored(t)), "q3"), with_views(*VM, more=FEATURES) + """
+register("residual_correlations", on(lambda t: profiles.residual_correlations(_scored(t)), "q3"), with_views(*VM, more=FEATURES) + """
 , e AS (SELECT voter, item, y - p AS e FROM scored), c AS (SELECT x.item AS a, z.item AS b, count(*) AS n, avg(x.e * z.e) - avg(x.e) * avg(z.e) AS cov, avg(x.e * x.e) - avg(x.e) * avg(x.e) AS va, avg(z.e * z.e) - avg(z.e) * avg(z.e) AS vb FROM e x JOIN e z ON x.voter = z.voter AND x.item < z.item GROUP BY 1, 2)
 SELECT a, b, n, round(cov / sqrt(va * vb), 6) AS q3, abs(cov / sqrt(va * vb)) > 0.2 AS flag FROM c WHERE n >= 3 AND va > 1e-12 AND vb > 1e-12""")
 register("log_likelihood", on(lambda t: profiles.log_likelihood(_scored(t)), "log_likelihood", "gmp", "apre"), with_views(*VM, more=FEATURES) + """
@@ -515,3 +503,5 @@ register("vote_vectors", on(lambda t: topics.vote_vectors(t.votes, t.embeddings.
 , r AS (SELECT voter, CASE WHEN choice = 'Yea' THEN 1.0 ELSE -1.0 END AS s, embedding, count(*) OVER (PARTITION BY voter) AS n FROM votes JOIN embeddings ON vec_id = item WHERE choice IN ('Yea', 'Nay')),
 e AS (SELECT voter, s, unnest(range(0, len(embedding))) AS place, CAST(unnest(embedding) AS DOUBLE) AS v FROM r WHERE n >= 20) SELECT voter, CAST(place AS INTEGER) AS place, round(avg(CAST(s AS DOUBLE) * v), 6) AS value FROM e GROUP BY 1, 2""")
 register("windowed_positions", on(lambda t: topics.windowed_positions(agreement.encode(t.votes), t.members, t.items, least=8), "score"))
+
+from . import more  # noqa: E402, F401  registers the queries that build on these
