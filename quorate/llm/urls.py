@@ -13,16 +13,16 @@ the method allows everything that isn't labelled alike; an empty table gives an
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import common
+from . import common, setjoin
 
 SAMPLE = 20_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -31,11 +31,12 @@ RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www
 
 
 def with_parts(pages: DataFrame, url_col: str) -> DataFrame:
-    """Adds host and path."""
+    """Adds host, path and query (what stands between ? and #)."""
     rest = F.when(F.instr(url_col, "://") > 0, F.expr(f"substring(`{url_col}`, instr(`{url_col}`, '://') + 3)")).otherwise("")
     out = pages.withColumn("__rest", F.coalesce(rest, F.lit(""))).withColumn("__host", F.regexp_extract("__rest", "^[^/?#]*", 0))
     out = out.withColumn("path", F.regexp_extract(F.expr("substring(__rest, length(__host) + 1)"), "^[^?#]*", 0))
-    return out.withColumn("host", F.translate("__host", UPPER, LOWER)).drop("__rest", "__host")
+    query = F.coalesce(F.regexp_extract(F.col(url_col), r"^[^?#]*\?([^#]*)", 1), F.lit(""))
+    return out.withColumns({"query": query, "host": F.translate("__host", UPPER, LOWER)}).drop("__rest", "__host")
 
 
 def rule_columns(rules):
@@ -50,16 +51,21 @@ def rule_columns(rules):
 FEATURES = ["length", "host_length", "path_length", "depth", "host_parts", "digit_ratio", "entropy", "parameters", "fragment", "hyphens", "secure", "suffix_rate", "suffix_count"]
 
 
-def lexical(urls: list[str | None], hosts: list[str], paths: list[str]) -> np.ndarray:
-    out = np.zeros((len(urls), len(FEATURES) - 2))
-    for i, (url, host, path) in enumerate(zip(urls, hosts, paths, strict=True)):
-        url = url or ""
-        n = max(1, len(url))
-        _, counts = np.unique(np.frombuffer(url.encode(), dtype=np.uint8), return_counts=True)
-        share = counts / max(1, counts.sum())
-        query = url.partition("#")[0].partition("?")[2]
-        out[i] = (len(url), len(host), len(path), path.count("/"), host.count("."), sum(map(str.isdigit, url)) / n, -(share * np.log2(share)).sum(), len(re.findall("[^&=]+=", query)), "#" in url, url.count("-"), url.startswith("https"))
-    return out
+def lexical(url: pa.Array, host: pa.Array, path: pa.Array, query: pa.Array) -> np.ndarray:
+    """The features of URLs but for the two of their suffix, in array kernels."""
+    url, host, path, query = (c.fill_null("") for c in (url, host, path, query))
+    raw, offsets = setjoin.raw_text(url)
+    size, row = np.diff(offsets), np.repeat(np.arange(len(url)), np.diff(offsets))
+    entropy = np.zeros(len(url))
+    for lo in range(0, len(url), 2048):  # 256 counters a row
+        hi = min(len(url), lo + 2048)
+        part = slice(offsets[lo], offsets[hi])
+        counts = np.bincount((row[part] - lo) * 256 + raw[part], minlength=(hi - lo) * 256).reshape(hi - lo, 256)
+        share = counts / np.maximum(1, size[lo:hi])[:, None]
+        entropy[lo:hi] = -(share * np.log2(np.where(share > 0, share, 1))).sum(1)
+    digits = np.bincount(row[(raw >= 48) & (raw <= 57)], minlength=len(url)) / np.maximum(1, size)
+    columns = [pc.utf8_length(url), pc.utf8_length(host), pc.utf8_length(path), pc.count_substring(path, "/"), pc.count_substring(host, "."), digits, entropy, pc.count_substring_regex(query, "[^&=]+="), pc.match_substring(url, "#"), pc.count_substring(url, "-"), pc.starts_with(url, "https")]
+    return np.column_stack([np.asarray(c if isinstance(c, np.ndarray) else c.to_numpy(zero_copy_only=False), dtype=float) for c in columns])
 
 
 @dataclass
@@ -127,28 +133,35 @@ def judge(pages: DataFrame, rules=RULES, labels: DataFrame | None = None, id_col
     rows = with_parts(pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url")), "url")
     text, verdict = rule_columns(rules)
     rows = rows.withColumns({"rule": text, "ruled": verdict, "suffix": F.substring_index("host", ".", -1)})
-    known = rows.where("ruled is not null").select("url", "host", "path", "suffix", (F.col("ruled") == "block").cast("int").alias("y")) if labels is None else with_parts(labels.select("url", F.col("blocked").cast("int").alias("y")).where("y is not null"), "url").withColumn("suffix", F.substring_index("host", ".", -1))
+    known = rows.where("ruled is not null").select("url", "host", "path", "query", "suffix", (F.col("ruled") == "block").cast("int").alias("y")) if labels is None else with_parts(labels.select("url", F.col("blocked").cast("int").alias("y")).where("y is not null"), "url").withColumn("suffix", F.substring_index("host", ".", -1))
     total = known.agg(F.count("*").alias("n"), F.avg("y").alias("rate")).first()
     mean, n = float(total["rate"] or 0.0), int(total["n"])
-    stats = known.groupBy("suffix").agg(((F.sum("y") + 10 * mean) / (F.count("*") + 10)).alias("suffix_rate"), F.log(F.count("*") + 1.0).alias("suffix_count"))
-    stats = common.materialise(stats.withColumnRenamed("suffix", "__suffix"), "suffixes")
-
-    def with_stats(df: DataFrame) -> DataFrame:
-        return df.join(stats, F.col("suffix") == F.col("__suffix"), "left").fillna({"suffix_rate": mean, "suffix_count": 0.0})
-
-    rate = min(1.0, SAMPLE / max(1, n))
-    sample = with_stats(known.where(F.pmod(F.xxhash64("url"), F.lit(1_000_000)) < int(rate * 1_000_000))).select("url", "host", "path", "suffix_rate", "suffix_count", "y").limit(2 * SAMPLE).orderBy("url").toPandas()
-    x = np.column_stack([lexical(list(sample["url"]), list(sample["host"]), list(sample["path"])), sample[["suffix_rate", "suffix_count"]].to_numpy(float)])
-    model = spark.sparkContext.broadcast(boost(x, sample["y"].to_numpy(float)))
+    stats = known.groupBy(F.col("suffix").alias("__suffix")).agg(F.sum("y").cast("double").alias("__blocked"), F.count("*").alias("__held"))
+    stats = common.materialise(stats, "suffixes")
+
+    def with_stats(df: DataFrame, own=None) -> DataFrame:
+        """Adds the suffix's smoothed rate of blocking and its size, without the row's own label ``own``."""
+        less, one = (F.lit(0.0), F.lit(0)) if own is None else (own, F.lit(1))
+        blocked, held = F.coalesce(F.col("__blocked") - less, F.lit(0.0)), F.coalesce(F.col("__held") - one, F.lit(0))
+        joined = df.join(stats, F.col("suffix") == F.col("__suffix"), "left")
+        return joined.withColumns({"suffix_rate": (blocked + 10 * mean) / (held + 10), "suffix_count": F.log(held + 1.0)})
+
+    # every distinct URL of a share of the hashes, so that the fit sees the same rows in every run
+    token = F.pmod(F.xxhash64("url"), F.lit(1 << 40))
+    chosen = known.where(token < int(min(1.0, SAMPLE / max(1, n)) * (1 << 40))).groupBy("url", "host", "path", "query", "suffix").agg(F.max("y").alias("y"))
+    sample = with_stats(chosen, F.col("y")).select("url", "host", "path", "query", "suffix_rate", "suffix_count", "y").orderBy(token, "url").limit(2 * SAMPLE).toArrow()
+    lists = [sample.column(c).combine_chunks() for c in ("url", "host", "path", "query")]
+    x = np.column_stack([lexical(*lists), sample.column("suffix_rate").to_numpy(), sample.column("suffix_count").to_numpy()])
+    model = spark.sparkContext.broadcast(boost(x, sample.column("y").to_numpy().astype(float)))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            url, host, path = (batch.column(c).to_pylist() for c in ("url", "host", "path"))
-            feats = np.column_stack([lexical(url, host, path), batch.column("suffix_rate").to_numpy(), batch.column("suffix_count").to_numpy()])
+            lists = [batch.column(c) for c in ("url", "host", "path", "query")]
+            feats = np.column_stack([lexical(*lists), batch.column("suffix_rate").to_numpy(), batch.column("suffix_count").to_numpy()])
             p = 1 / (1 + np.exp(-model.value.log_odds(feats)))
             yield pa.record_batch([*(batch.column(c) for c in ("page_id", "host", "path", "rule", "ruled")), pa.array(p)], names=["page_id", "host", "path", "rule", "ruled", "block_score"])
 
-    scored = with_stats(rows).select("page_id", "url", "host", "path", "rule", "ruled", "suffix_rate", "suffix_count").mapInArrow(score, "page_id long, host string, path string, rule string, ruled string, block_score double")
+    scored = with_stats(rows).select("page_id", "url", "host", "path", "query", "rule", "ruled", "suffix_rate", "suffix_count").mapInArrow(score, "page_id long, host string, path string, rule string, ruled string, block_score double")
     verdict = F.coalesce("ruled", F.when(F.col("block_score") >= threshold, "block").otherwise("allow"))
     return scored.select("page_id", "host", "path", "rule", verdict.alias("verdict"), "block_score")
 
