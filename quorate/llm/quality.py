@@ -19,7 +19,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common, ngrams
@@ -119,6 +119,7 @@ def fit(codes: np.ndarray, bounds: np.ndarray, y: np.ndarray) -> Model | float:
 def features(rows: DataFrame) -> DataFrame:
     """(key, y, codes): the distinct n-gram buckets of each text, as the fitting sample."""
 
+    @common.tidy
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, codes, bounds in ngrams.coded(batch.column("text"), _TABLE, BITS):
@@ -141,14 +142,18 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     marked = marked.where(~common.held_out_column("key", modulus, remainder)).groupBy("key").agg(F.max("y").alias("y"))
     # the sample takes both classes at the same rate, by a hash of the id
     rate = min(1.0, SAMPLE / max(1, marked.count()))
-    chosen = common.materialise(marked.where(F.pmod(F.xxhash64("key"), F.lit(1_000_000)) < int(rate * 1_000_000)), "labels")
-    sample = features(rows.join(chosen, F.col("doc_id") == F.col("key")).select("key", "y", "text")).orderBy("key").toArrow()
+    chosen = common.materialise(marked.where(F.pmod(F.xxhash64("key"), F.lit(1 << 40)) < int(rate * (1 << 40))), "labels")
+    # of rows that repeat an id one is learnt from
+    first = Window.partitionBy("key").orderBy(F.xxhash64("text"))
+    learnt = rows.join(chosen, F.col("doc_id") == F.col("key")).select("key", "y", "text").withColumn("i", F.row_number().over(first)).where("i = 1")
+    sample = features(learnt.select("key", "y", "text")).orderBy("key").toArrow()
     y = np.where(sample.column("y").to_numpy() > 0, 1.0, -1.0) if sample.num_rows else np.zeros(0)
     lists = sample.column("codes").combine_chunks()
     sizes = np.fromiter((len(x) for x in lists), dtype=np.int64, count=len(lists)) if len(lists) else np.zeros(0, np.int64)
     codes = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64) if len(lists) else np.zeros(0, np.int64)
     model = spark.sparkContext.broadcast(fit(codes, np.r_[0, np.cumsum(sizes)], y))  # two arrays of 2**BITS numbers
 
+    @common.tidy
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
         for batch in batches:
