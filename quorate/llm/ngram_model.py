@@ -38,7 +38,9 @@ END = b"\n"  # no word holds white space
 DISCOUNT = 0.75
 LEAST = 1  # pairs seen less often are pruned: none, all that were seen count
 SLICES = 8
-PIECE = 16 << 20
+PIECE = 4 << 20
+#: Distinct pairs that a task merges before it hands them on.
+HELD_PAIRS = 1_500_000
 #: Log probabilities are kept as multiples of this step below zero.
 STEP = 12.0 / 65535
 
@@ -182,6 +184,7 @@ def count_words(train: DataFrame, shards: int) -> DataFrame:
     """(shard, hashes, counts): packed blocks of word counts, one a task and shard."""
     shift = np.uint64(63 - (shards.bit_length() - 1))
 
+    @common.tidy
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, counts, held = [], [], 0
 
@@ -198,10 +201,10 @@ def count_words(train: DataFrame, shards: int) -> DataFrame:
                 keys.append(_hashes(words)[n > 0])
                 counts.append(n[n > 0])
                 held += len(words)
-                if held > 3_000_000:
+                if held > 2_000_000:
                     key, n = _merge(keys, counts)
                     keys, counts, held = [key], [n], 0
-                    if len(key) > 3_000_000 and (out := blocks()):
+                    if len(key) > 2_000_000 and (out := blocks()):
                         yield out
                         keys, counts = [], []
         if keys and (out := blocks()):
@@ -237,8 +240,23 @@ def build_words(blocks: DataFrame, folder: str, shards: int) -> Trie:
 def count_pairs(train: DataFrame, trie: Trie) -> DataFrame:
     """(shard, slice, pairs, counts): packed blocks of pair counts; pair = first << 32 | second."""
     shards = len(trie.files)
-
+    if trie.vocabulary >= 0xFFFFFFFF:
+        raise ValueError("word numbers must fit 32 bits; score with more than one model")
+
+    def blocks(pairs: list[np.ndarray], counts: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        pair, n = _merge(pairs, counts)
+        cuts = np.searchsorted(pair, trie.firsts.astype(np.uint64) << np.uint64(32))
+        rows = []
+        for s in range(shards):
+            own, times = pair[cuts[s] : cuts[s + 1]], n[cuts[s] : cuts[s + 1]].astype(np.uint64)
+            side = own & np.uint64(SLICES - 1)
+            rows += [(s, k, pack_sorted(own[side == k]), _varint(times[side == k])) for k in np.unique(side).tolist()]
+        if rows:
+            yield pa.record_batch([pa.array(c) for c in zip(*rows, strict=True)], schema=pa.schema([("shard", pa.int32()), ("slice", pa.int32()), ("pairs", pa.binary()), ("counts", pa.binary())]))
+
+    @common.tidy
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pairs, counts, held = [], [], 0
         for batch in batches:
             for lo, hi in common.pieces(batch, "text", PIECE):
                 codes, words, bounds = _tokens(batch.column("text").slice(lo, hi - lo))
@@ -248,14 +266,14 @@ def count_pairs(train: DataFrame, trie: Trie) -> DataFrame:
                 ok = (tokens[:-1] >= 0) & (tokens[1:] >= 0)
                 ok[bounds[1:-1] - 1] = False
                 pair, n = np.unique((tokens[:-1][ok].astype(np.uint64) << np.uint64(32)) | tokens[1:][ok].astype(np.uint64), return_counts=True)
-                cuts = np.searchsorted(pair, trie.firsts.astype(np.uint64) << np.uint64(32))
-                rows = []
-                for s in range(shards):
-                    own, times = pair[cuts[s] : cuts[s + 1]], n[cuts[s] : cuts[s + 1]].astype(np.uint64)
-                    side = own & np.uint64(SLICES - 1)
-                    rows += [(s, k, pack_sorted(own[side == k]), _varint(times[side == k])) for k in np.unique(side).tolist()]
-                if rows:
-                    yield pa.record_batch([pa.array(c) for c in zip(*rows, strict=True)], schema=pa.schema([("shard", pa.int32()), ("slice", pa.int32()), ("pairs", pa.binary()), ("counts", pa.binary())]))
+                pairs.append(pair)
+                counts.append(n)
+                held += len(pair)
+                if held > HELD_PAIRS:
+                    yield from blocks(pairs, counts)
+                    pairs, counts, held = [], [], 0
+        if pairs:
+            yield from blocks(pairs, counts)
 
     return train.mapInArrow(count, "shard int, slice int, pairs binary, counts binary")
 
@@ -327,6 +345,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", modul
     floor = np.log10(trie.total + 0.5 * (trie.vocabulary + 1)) if trie.total else 0.0
     total = trie.total
 
+    @common.tidy
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi in common.pieces(batch, "text", PIECE):
