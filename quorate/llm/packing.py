@@ -32,10 +32,10 @@ from . import common
 END_ID = 2
 WINDOW = 4096
 #: Words, and bytes of them, whose ids a Python worker keeps; beyond it the memory is emptied and refilled.
-CACHE_WORDS = 250_000
-CACHE_BYTES = 16 << 20
+CACHE_WORDS = 400_000
+CACHE_BYTES = 32 << 20
 #: Bytes of text that are encoded at a time.
-PIECE = 4 << 20
+PIECE = 8 << 20
 
 
 def vocabulary_path(name: str = "word_bpe_49k.json") -> str:
