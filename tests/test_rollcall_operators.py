@@ -62,18 +62,19 @@ def test_transitions(spark):
         frame = spark.createDataFrame([("b", t0 + datetime.timedelta(days=i), s, i) for i, s in enumerate(steps)], "bill string, ts timestamp, status string, event_id long")
         return {(r.source, r.target): r.n for r in lifecycle.transitions(frame).collect()}
 
-    assert run("Introduced", "Referred to Committee") == {("Introduced", "Referral"): 1, ("Referral", "Died"): 1}
-    assert run("Referred", "Referred to X", "Hearing") == {("Referral", "Hearing"): 1, ("Hearing", "Died"): 1}
-    assert run("Introduced", "Approved by Governor") == {("Introduced", "Enacted"): 1}
+    assert run("Introduced", "Referred to Committee") == {("Introduced", "Committee Referral"): 1, ("Committee Referral", "Died"): 1}
+    assert run("Referred to Committee on X", "Referred to committee on Y", "Hearing") == {("Committee Referral", "Hearing"): 1, ("Hearing", "Died"): 1}
+    assert run("Introduced", "Approved by Governor") == {("Introduced", "Signed into Law"): 1}
+    assert run("Emergency Final Action", "Line item veto") == {("Floor Vote", "Vetoed"): 1}
 
 
 def test_outcomes_and_names(spark):
-    texts = spark.createDataFrame([("not passed",), ("Veto sustained",), ("Passed as amended",), ("",)], "t string")
-    assert [r[0] for r in texts.select(lifecycle.outcome(F.col("t"))).collect()] == [False, False, True, None]
+    texts = spark.createDataFrame([("not passed",), ("Veto sustained",), ("Passed as amended",), ("",), ("Amendment rejected",), ("Bypassed",)], "t string")
+    assert [r[0] for r in texts.select(lifecycle.outcome(F.col("t"))).collect()] == [False, False, True, None, False, None]
     names = spark.createDataFrame([("Bob Jones - House Minority Caucus Chair",), ("  Jane Doe  ",), ("Doe, Jane A.",)], "n string")
     assert [r[0] for r in names.select(linkage.normal_name(F.col("n"))).collect()] == ["bob jones", "jane doe", "jane a doe"]
-    bills = spark.createDataFrame([("Sub for HB 2007",), ("S Sub for Sub for HB 2007",), ("  SB   55  ",)], "b string")
-    assert [r[0] for r in bills.select(linkage.normal_bill(F.col("b"))).collect()] == ["HB 2007", "HB 2007", "SB 55"]
+    bills = spark.createDataFrame([("Sub for HB 2007",), ("S Sub for Sub for HB 2007",), ("  SB   55  ",), ("s sub FOR HB 7",)], "b string")
+    assert [r[0] for r in bills.select(linkage.normal_bill(F.col("b"))).collect()] == ["HB 2007", "HB 2007", "SB 55", "HB 7"]
 
 
 def test_turnover(spark):
