@@ -24,15 +24,15 @@ from pyspark.sql import functions as F
 ASCII_SPACE = b" \t\n\x0b\x0c\r"
 
 
-#: Rows of an Arrow batch, unless the session sets them: batches of whole texts stay at a few MB.
-BATCH_ROWS = 2000
+#: Bytes of an Arrow batch, unless the session sets them: few rows of whole texts, many narrow ones.
+BATCH_BYTES = 4 << 20
 
 
 def modest_batches(spark: SparkSession) -> None:
-    """Bound the rows that Spark hands to a Python worker at a time, where the session leaves that open."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(key, None) is None:
-        spark.conf.set(key, str(BATCH_ROWS))
+    """Bound the bytes that Spark hands to a Python worker at a time, where the session leaves that open."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if key not in spark.conf.getAll:
+        spark.conf.set(key, str(BATCH_BYTES))
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
