@@ -37,7 +37,6 @@ FLUSH = 2_000_000
 LOOKS = {17 * 8**k for k in range(8)}
 #: Bytes that are hashed at a time, so that their arrays stay in a core's cache.
 _STEP = 1 << 16
-_LOW_BITS = 12
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -62,19 +61,15 @@ def _solid(part: np.ndarray) -> np.ndarray:
 
 
 _VALUE = _values()
-_BASE = 0xD1342543DE82EF95
-_POWERS = [np.multiply.accumulate(np.r_[np.uint64(1), np.full((1 << _LOW_BITS) - 1, base, dtype=np.uint64)]) for base in (_BASE, pow(_BASE, 1 << _LOW_BITS, 1 << 64))]
-
-
-def _power(at: np.ndarray) -> np.ndarray:
-    """The base to the power of positions in a word."""
-    out = _POWERS[0][at & ((1 << _LOW_BITS) - 1)]
-    if len(at) and int(at.max()) >> _LOW_BITS:
-        high = at >> _LOW_BITS
-        out = out * _POWERS[1][high & ((1 << _LOW_BITS) - 1)]
-        if int(high.max()) >> _LOW_BITS:
-            out = mix(out + (high >> _LOW_BITS).astype(np.uint64))
-    return out
+_BASE = 0xD1342543DE82EF95  # odd, so its powers have inverses
+
+
+def _powers(base: int) -> np.ndarray:
+    """The first powers of ``base`` modulo 2**64, one for each byte of a block."""
+    return np.multiply.accumulate(np.r_[np.uint64(1), np.full(_STEP - 1, base, dtype=np.uint64)])
+
+
+_POWERS, _INVERSES = _powers(_BASE), _powers(pow(_BASE, -1, 1 << 64))
 
 
 def raw_text(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -91,7 +86,8 @@ def words(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     """(first byte, 64-bit hash) of every word between ASCII white space, A-Z lower-cased.
 
     A hash is a polynomial in the word's bytes, so a block of text is hashed at once and no word is
-    ever an object; words of any length go through in blocks.
+    ever an object: every byte is weighted by its place in the block, and a word's sum is divided by
+    the weight of its first byte.  Words of any length go through in blocks.
     """
     opens = np.zeros(len(raw) + 1, dtype=bool)
     opens[offsets[:-1]] = True
@@ -105,19 +101,16 @@ def words(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]
         if lo and solid[0] and not opens[lo]:
             begin[0] = not _solid(raw[lo - 1 : lo])[0]
         first = np.flatnonzero(begin)
-        heads = np.r_[open_at, first + lo]
-        at = np.arange(lo, lo + len(part)) - np.repeat(heads, np.diff(np.r_[0, first, len(part)]))
-        at *= solid
-        value = _VALUE[part] * _power(at)
+        value = _VALUE[part] * _POWERS[: len(part)]
         cuts = first if len(first) and first[0] == 0 else np.r_[0, first]
         total = np.add.reduceat(value, cuts)
         if len(cuts) > len(first):
-            if sums:
-                sums[-1][-1:] += total[:1]  # the word that the block before left open
+            if sums:  # the word that a block before left open; its value is zero where that had ended
+                sums[-1][-1:] += total[:1] * np.uint64(pow(_BASE, lo - open_at, 1 << 64))
             total = total[1:]
         if len(first):
             starts.append(first + lo)
-            sums.append(total)
+            sums.append(total * _INVERSES[first])
             open_at = int(first[-1]) + lo
     if not starts:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
