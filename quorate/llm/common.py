@@ -24,15 +24,32 @@ from pyspark.sql import functions as F
 ASCII_SPACE = b" \t\n\x0b\x0c\r"
 
 
-#: Bytes of an Arrow batch, unless the session sets them: few rows of whole texts, many narrow ones.
-BATCH_BYTES = 4 << 20
+#: Rows and bytes of an Arrow batch, unless the session sets them: batches of whole texts stay at a few MB.
+BATCH = {"maxRecordsPerBatch": 2000, "maxBytesPerBatch": 4 << 20}
 
 
 def modest_batches(spark: SparkSession) -> None:
-    """Bound the bytes that Spark hands to a Python worker at a time, where the session leaves that open."""
-    key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if key not in spark.conf.getAll:
-        spark.conf.set(key, str(BATCH_BYTES))
+    """Bound what Spark hands to a Python worker at a time, where the session leaves that open."""
+    known = spark.conf.getAll
+    for name, most in BATCH.items():
+        key = f"spark.sql.execution.arrow.{name}"
+        if key not in known:
+            spark.conf.set(key, str(most))
+
+
+def gathered(batches: Iterator[pa.RecordBatch], rows: int = 1 << 14, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Small batches of narrow rows put together until they have ``rows`` rows or ``size`` bytes."""
+    held, n, held_bytes = [], 0, 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        n, held_bytes = n + batch.num_rows, held_bytes + batch.nbytes
+        if n >= rows or held_bytes >= size:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held, n, held_bytes = [], 0, 0
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

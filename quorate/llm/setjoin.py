@@ -355,9 +355,7 @@ def linked(table: DataFrame, threshold: float, width: int) -> DataFrame:
             key = key[order]
             return _packed((key >> np.uint32(32 - bits)).astype(np.int32), key, place[order], signature[order], parity[order])
 
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in common.gathered(batches):
             n, rare, signature = (batch.column(c).to_numpy().astype(np.int64) for c in ("n", "rare", "signature"))
             lists = batch.column("prefix")
             bounds = lists.offsets.to_numpy().astype(np.int64)
