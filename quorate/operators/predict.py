@@ -48,11 +48,18 @@ def scores(scored: DataFrame, *group: str) -> DataFrame:
     return out.withColumn("f1", F.try_divide(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")))
 
 
-def auc(scored: DataFrame) -> DataFrame:
-    """Area under the ROC curve by counts per distinct score, so ties count half."""
+def auc(scored: DataFrame, bins: int = 4096) -> DataFrame:
+    """Area under the ROC curve by counts per distinct score, so ties count half.
+
+    Scores are summed by range first: only the totals of the ``bins`` ranges meet in one task, and
+    the order inside a range is found in the task of that range.
+    """
     by = scored.groupBy("p").agg(F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg"))
-    below = F.sum("neg").over(Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1))
-    parts = by.withColumn("won", F.col("pos") * (F.coalesce(below, F.lit(0)) + F.col("neg") / 2))
+    by = by.withColumn("bin", F.floor(F.least(F.greatest(F.col("p"), F.lit(0.0)), F.lit(1.0)) * bins))
+    before = Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
+    lower = by.groupBy("bin").agg(F.sum("neg").alias("neg")).select("bin", F.coalesce(F.sum("neg").over(before), F.lit(0)).alias("lower"))
+    below = F.sum("neg").over(Window.partitionBy("bin").orderBy("p").rowsBetween(Window.unboundedPreceding, -1))
+    parts = by.join(F.broadcast(lower), "bin").withColumn("won", F.col("pos") * (F.col("lower") + F.coalesce(below, F.lit(0)) + F.col("neg") / 2))
     return parts.agg(F.sum("won").alias("won"), F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).select(F.try_divide("won", F.col("pos") * F.col("neg")).alias("auc"))
 
 

@@ -505,3 +505,4 @@ e AS (SELECT voter, s, unnest(range(0, len(embedding))) AS place, CAST(unnest(em
 register("windowed_positions", on(lambda t: topics.windowed_positions(agreement.encode(t.votes), t.members, t.items, least=8), "score"))
 
 from . import more  # noqa: E402, F401  registers the queries that build on these
+from . import fitted  # noqa: E402, F401
