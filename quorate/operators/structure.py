@@ -441,6 +441,30 @@ def communities(graph: DataFrame, group: str, resolutions: tuple[float, ...] = (
     return graph.groupBy(group).applyInPandas(fit, "grp string, resolution double, communities int, modularity double, voter string, community int").withColumnRenamed("grp", group)
 
 
+def path_centralities(graph: DataFrame, group: str) -> DataFrame:
+    """(group, voter, closeness, harmonic, eigenvector) of edges (group, a, b, weight); an edge is 1 / weight long.
+
+    Closeness is scaled by the share of members that can be reached; the eigenvector is that of the greatest eigenvalue, of length 1.
+    """
+
+    def fit(rows: pd.DataFrame) -> pd.DataFrame:
+        names, ends = np.unique(np.concatenate([rows["a"], rows["b"]]).astype(str), return_inverse=True)
+        i, j, n = ends[: len(rows)], ends[len(rows) :], len(names)
+        w, d = np.zeros((n, n)), np.full((n, n), np.inf)
+        w[i, j] = w[j, i] = rows["weight"].to_numpy(float)
+        d[w > 0] = 1 / w[w > 0]
+        np.fill_diagonal(d, 0)
+        for v in range(n):
+            d = np.minimum(d, d[:, v, None] + d[v])
+        reached = np.isfinite(d).sum(1) - 1
+        total = np.where(np.isfinite(d), d, 0).sum(1)
+        inverse = 1 / np.where(d > 0, d, np.inf)
+        vector = np.abs(np.linalg.eigh(w)[1][:, -1])
+        return pd.DataFrame({"grp": rows[group].iloc[0], "voter": names, "closeness": np.where(total > 0, reached / np.where(total > 0, total, 1) * reached / max(n - 1, 1), 0), "harmonic": inverse.sum(1), "eigenvector": vector})
+
+    return graph.groupBy(group).applyInPandas(fit, "grp string, voter string, closeness double, harmonic double, eigenvector double").withColumnRenamed("grp", group)
+
+
 def configuration_model(rows: np.ndarray, columns: np.ndarray, rounds: int = 5000) -> np.ndarray:
     """Probabilities of links of the maximum-entropy two-sided graph whose expected degrees are those given."""
     out = np.zeros((len(rows), len(columns)))

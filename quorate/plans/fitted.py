@@ -56,4 +56,5 @@ register("clade_support", on(lambda t: structure.clade_support(_coo(t), t.member
 register("communities", on(lambda t: structure.communities(_chamber_graph(t), "chamber"), "modularity"))
 register("potts_communities", on(lambda t: structure.communities(_chamber_graph(t), "chamber", (0.05, 0.1, 0.15, 0.2, 0.25, 0.3, 0.4, 0.5), constant=True), "modularity"))
 register("within_party_communities", on(lambda t: structure.communities(_party_graph(t), "party"), "modularity"))
+register("path_centralities", on(lambda t: structure.path_centralities(_chamber_graph(t), "chamber"), "closeness", "harmonic", "eigenvector"))
 register("null_backbone", on(lambda t: structure.null_backbone(_coo(t), t.members).withColumn("p", F.round("p", 12)), "expected"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import agreement, align, cohesion, graph, lifecycle, networks, records, synthesis
+from ..operators import agreement, align, checks, cohesion, graph, lifecycle, networks, records, synthesis
 from . import catalog
 from .adapter import with_views
 from .catalog import COO, COUNTS, FEATURES, GRAPH, KAPPA, PAIRS, RICED, UNITY, VM, Tables, on, register
@@ -259,3 +259,34 @@ WITH e AS (SELECT user_id AS person, event_id, CAST(ts AS DATE) AS day FROM even
 SELECT e.person, e.event_id, e.day, o.o_orderkey FROM e ASOF LEFT JOIN o ON e.person = o.person AND e.day >= o.day""")
 register("near_overrides", on(lambda t: records.near_days(t.items.where("motion = 'Brand#11'").select(F.col("item").alias("one"), "day"), t.items.where("motion = 'Brand#22'").select(F.col("item").alias("two"), "day"))), with_views("items") + """
 SELECT x.item AS one, z.item AS two, CAST(z.day - x.day AS INTEGER) AS gap FROM items x JOIN items z ON abs(z.day - x.day) <= 14 WHERE x.motion = 'Brand#11' AND z.motion = 'Brand#22'""")
+
+# ---------------------------------------------------------------- comparisons and fit
+
+
+def _anchors(t: Tables) -> DataFrame:
+    shares = agreement.encode(t.votes).join(t.members.select("voter", "chamber"), "voter").groupBy("item", "chamber").agg(F.avg("y").alias("share"))
+    house, senate = (shares.where(F.col("chamber") == c).select("item", (1 + F.col("share")).alias(f"a{i}"), F.col("share").alias(f"b{i}")) for i, c in ((1, "House"), (2, "Senate")))
+    return house.join(senate, "item")
+
+
+register("rollcall_codes", on(lambda t: checks.rollcall_codes(t.votes)), with_views("votes") + "SELECT voter, item, CAST(CASE choice WHEN 'Yea' THEN 1 WHEN 'Nay' THEN 6 ELSE 9 END AS INTEGER) AS code FROM votes")
+register("polarity_members", on(lambda t: checks.polarity_members(_points(t), t.votes), "xi"), with_views(*VM, more=POS) + """
+, att AS (SELECT voter, round(avg(CASE WHEN choice IN ('Yea', 'Nay') THEN 1 ELSE 0 END), 9) AS share FROM votes GROUP BY 1), r AS (SELECT chamber, voter, xi, row_number() OVER (PARTITION BY chamber ORDER BY xi DESC, voter) AS i FROM pos JOIN att USING (voter) WHERE share >= 0.5)
+SELECT chamber, voter, round(xi, 6) AS xi FROM r WHERE i = 1""")
+register("aligned_positions", on(lambda t: checks.sign_aligned(_both(t).select("voter", "xi", "unity"), "xi", "unity"), "xi", "unity"), with_views(*VM, more=BOTH) + "SELECT voter, round(CASE WHEN corr(xi, unity) OVER () < 0 THEN -xi ELSE xi END, 6) AS xi, round(unity, 6) AS unity FROM both_")
+register("score_comparison", on(lambda t: checks.comparison(_both(t), "voter", "xi", "unity", "n"), "xi", "unity"), with_views(*VM, more=BOTH) + """
+, r AS (SELECT voter, xi, unity, n, CAST(floor(rank() OVER (ORDER BY xi DESC) + (count(*) OVER (PARTITION BY xi) - 1) / 2.0) AS INTEGER) AS a, CAST(floor(rank() OVER (ORDER BY unity DESC) + (count(*) OVER (PARTITION BY unity) - 1) / 2.0) AS INTEGER) AS b, CAST(floor(rank() OVER (ORDER BY n DESC) + (count(*) OVER (PARTITION BY n) - 1) / 2.0) AS INTEGER) AS c FROM both_)
+SELECT voter, round(xi, 6) AS xi, round(unity, 6) AS unity, n, a AS rank_xi, b AS rank_unity, c AS rank_n, greatest(a, b, c) - least(a, b, c) AS apart FROM r""")
+register("linking_constants", on(lambda t: checks.linking_constants(_anchors(t)), "slope", "intercept"), with_views(*VM, more=COO) + """
+, s AS (SELECT item, avg(y) FILTER (WHERE chamber = 'House') AS h, avg(y) FILTER (WHERE chamber = 'Senate') AS e FROM coo JOIN members USING (voter) GROUP BY 1), m AS (SELECT avg(1 + h) / avg(1 + e) AS mm, stddev_samp(h) / nullif(stddev_samp(e), 0) AS ms, avg(h) AS h, avg(e) AS e FROM s WHERE h IS NOT NULL AND e IS NOT NULL)
+SELECT 'mean/mean' AS method, round(mm, 6) AS slope, round(h - mm * e, 6) AS intercept FROM m UNION ALL SELECT 'mean/sigma', round(ms, 6), round(h - ms * e, 6) FROM m""")
+register("top_concordance", on(lambda t: checks.top_concordance(_both(t), "voter", "xi", "unity"), "tau"), with_views(*VM, more=BOTH) + """
+, t AS (SELECT voter, xi, unity FROM both_ ORDER BY xi DESC, voter LIMIT 20), p AS (SELECT sign(x.xi - z.xi) AS a, sign(x.unity - z.unity) AS b FROM t x JOIN t z ON x.voter < z.voter)
+SELECT count(*) AS pairs, round(sum(a * b) / nullif(sqrt(CAST(sum(abs(a)) * sum(abs(b)) AS DOUBLE)), 0), 6) AS tau FROM p""")
+FIT = """, f AS (SELECT {g}, count(*) AS n, CAST(sum(y) AS BIGINT) AS yea, sum(p) AS expected, sqrt(sum(p * (1 - p))) AS sd FROM scored GROUP BY 1)
+SELECT {g}, n, yea, round(expected, 6) AS expected, round(sd, 6) AS sd, round((yea - expected) / nullif(sd, 0), 6) AS z, coalesce(abs(round((yea - expected) / nullif(sd, 0), 9)) > 1.959963984540054, false) AS misfit FROM f"""
+for _name, _group in (("item_fit", "item"), ("voter_fit", "voter")):
+    register(_name, on(lambda t, g=_group: checks.fit_by(catalog._scored(t), g), "expected", "sd", "z"), with_views(*VM, more=FEATURES) + FIT.format(g=_group))
+register("surprises_by_class", on(lambda t: checks.surprises_by_class(catalog._scored(t)), "error"), with_views(*VM, more=FEATURES) + """
+, w AS (SELECT CASE WHEN y = 0 THEN 'false Yea' ELSE 'false Nay' END AS kind, voter, item, round(abs(p - y), 9) AS error FROM scored WHERE (round(p, 9) >= 0.5) <> (y = 1)), placed AS (SELECT *, CAST(row_number() OVER (PARTITION BY kind ORDER BY error DESC, voter, item) AS INTEGER) AS place FROM w)
+SELECT kind, place, voter, item, round(error, 6) AS error FROM placed WHERE place <= 20""")

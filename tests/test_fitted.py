@@ -239,6 +239,15 @@ def test_communities_of_the_blocs(spark):
     assert list(out["community"]) == [0] * 4 + [1] * 4 and math.isclose(out["modularity"].iloc[0], 0.5)
 
 
+def test_path_centralities_of_a_path(spark):
+    edges = [("House", "v0", "v1", 1.0), ("House", "v1", "v2", 0.5)]
+    out = {r["voter"]: r for r in structure.path_centralities(spark.createDataFrame(edges, "chamber string, a string, b string, weight double"), "chamber").collect()}
+    assert math.isclose(out["v0"]["closeness"], 2 / (1 + 3)) and math.isclose(out["v1"]["closeness"], 2 / (1 + 2))
+    assert math.isclose(out["v0"]["harmonic"], 1 + 1 / 3) and math.isclose(out["v2"]["harmonic"], 1 / 2 + 1 / 3)
+    norm = math.sqrt(1 + 1 + 0.25 + 0.25)  # the eigenvector is (w01, root, w12)
+    assert np.allclose([out[v]["eigenvector"] for v in ("v0", "v1", "v2")], np.array([1, math.sqrt(1.25), 0.5]) / norm)
+
+
 def test_configuration_model_keeps_degrees():
     rng = np.random.default_rng(9)
     y = (rng.random((12, 30)) < rng.random(30)).astype(int)
