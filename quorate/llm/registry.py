@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, language, lines, multi_index, ngram_model, packing, quality, simhash, urls
+from . import as_of, chat, decontaminate, language, lines, multi_index, negatives, ngram_model, packing, quality, shingle_join, simhash, urls
 
 QUERIES = {
     "op1_language_id": language.op1,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_chat_formatting": chat.op8,
     "op9_approximate_neighbours": multi_index.op9,
     "op10_line_dedup": lines.op10,
+    "op11_as_of_join": as_of.op11,
+    "op12_hard_negatives": negatives.op12,
+    "op13_shingle_join": shingle_join.op13,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op11_as_of_join": as_of.ORACLE, "op12_hard_negatives": negatives.ORACLE, "op13_shingle_join": shingle_join.ORACLE}

@@ -393,12 +393,23 @@ def linked(table: DataFrame, threshold: float, width: int) -> DataFrame:
             root = forest.roots(np.arange(len(known)))
             moved = np.flatnonzero(root != np.arange(len(known)))
             if len(moved):
-                yield _stars(known[moved], known[root[moved]])
+                yield stars(known[moved], known[root[moved]], bits)
 
-    def _stars(node: np.ndarray, root: np.ndarray) -> pa.RecordBatch:
-        bucket = (mix(node.view(np.uint64)) >> np.uint64(64 - bits)).astype(np.int32)
-        order = np.argsort(bucket)
-        return _packed(bucket[order], node[order], root[order])
+    packed = "bucket int, packed binary"
+    entered = table.where("prefix is not null").select("signature", "n", "rare", "parity", "prefix").mapInArrow(enter, packed)
+    met = _dealt(entered, tasks).mapInArrow(meet, packed)
+    return settled(met, tasks)
+
+
+def stars(node: np.ndarray, root: np.ndarray, bits: int) -> pa.RecordBatch:
+    """Links to roots, packed by a bucket of 2**bits of their node."""
+    bucket = (mix(node.view(np.uint64)) >> np.uint64(64 - bits)).astype(np.int32)
+    order = np.argsort(bucket)
+    return _packed(bucket[order], node[order], root[order])
+
+
+def settled(met: DataFrame, tasks: int) -> DataFrame:
+    """(node, root) of the components of packed ``stars``."""
 
     @common.tidy
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -412,9 +423,6 @@ def linked(table: DataFrame, threshold: float, width: int) -> DataFrame:
             rows = np.unique(np.concatenate([np.stack([node[first], root[first]], 1), np.stack([root, least], 1)[root != least]]), axis=0)
             yield pa.record_batch([pa.array(np.ascontiguousarray(rows[:, k])) for k in (0, 1)], names=["a", "b"])
 
-    packed = "bucket int, packed binary"
-    entered = table.where("prefix is not null").select("signature", "n", "rare", "parity", "prefix").mapInArrow(enter, packed)
-    met = _dealt(entered, tasks).mapInArrow(meet, packed)
     return simhash.components(_dealt(met, tasks).mapInArrow(settle, "a long, b long"))
 
 
