@@ -68,20 +68,19 @@ def disparity(graph: DataFrame, alpha: float = 0.05) -> DataFrame:
     return rows.withColumn("chance", F.least(chance("ka", "sa"), chance("kb", "sb"))).where(F.col("chance") < alpha).select("a", "b", "weight", "chance")
 
 
-def components(graph: DataFrame, save: Callable[[DataFrame], DataFrame], rounds: int = 50) -> DataFrame:
-    """(voter, component): the smallest voter reachable; ``save`` cuts the lineage of each round."""
+def components(graph: DataFrame, save: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(voter, component): the smallest voter reachable; ``save`` cuts the lineage of each round.  Rounds go on until nothing moves."""
     near = doubled(graph).select("a", "b")
     now = save(near.select(F.col("a").alias("voter")).distinct().withColumn("component", F.col("voter")))
-    for _ in range(rounds):
+    while True:
         best = near.join(now.select(F.col("voter").alias("b"), "component"), "b").groupBy(F.col("a").alias("voter")).agg(F.min("component").alias("least"))
         step = now.join(best, "voter").select("voter", F.least("component", "least").alias("fresh"), "component")
         # a component points to a smaller one of its own as soon as any of its members does
         jump = step.groupBy("component").agg(F.min("fresh").alias("jump"))
         after = save(step.join(jump, "component").select("voter", F.least("fresh", "jump").alias("component"), (F.col("component") != F.least("fresh", "jump")).alias("moved")))
         now = after.select("voter", "component")
-        if not after.where("moved").limit(1).count():
-            break
-    return now
+        if after.where("moved").isEmpty():
+            return now
 
 
 def pagerank(graph: DataFrame, save: Callable[[DataFrame], DataFrame], rounds: int = 20, damping: float = 0.85) -> DataFrame:

@@ -18,7 +18,8 @@ STAGES = [
     ("Vetoed", ("vetoed by governor", "line item veto")),
     ("Governor", ("enrolled and presented",)),
 ]
-TERMINAL = ("Signed into Law", "Vetoed")
+#: Stages after which a bill that goes no further hasn't died: it has passed a floor, or waits for or has the governor's word.
+TERMINAL = ("Floor Vote", "Cross-Chamber", "Governor", "Signed into Law", "Vetoed")
 
 
 def classify(status: Column, stages=STAGES) -> Column:
@@ -52,9 +53,13 @@ def durations(actions: DataFrame) -> DataFrame:
     return actions.groupBy("bill").agg(F.count("*").alias("actions"), F.datediff(F.max("ts"), F.min("ts")).alias("days"), F.countDistinct("status").alias("kinds"))
 
 
+#: Words of result texts that say that an item failed or passed.
+FAILED, PASSED, UPHELD = r"\b(not\s+passed|failed|rejected)\b", r"\b(passed|adopted|prevailed|concurred)\b", "sustained"
+
+
 def outcome(text: Column) -> Column:
     """Whether a result text says that the item passed: failures are tested first; unknown is null."""
     t = F.lower(text)
-    failed = t.rlike(r"\b(not\s+passed|failed|rejected)\b") | t.contains("sustained")
-    passed = t.rlike(r"\b(passed|adopted|prevailed|concurred)\b")
+    failed = t.rlike(FAILED) | t.contains(UPHELD)
+    passed = t.rlike(PASSED)
     return F.when(failed, False).when(passed, True)

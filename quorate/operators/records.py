@@ -41,11 +41,22 @@ def bill_key(bill: Column) -> tuple[Column, Column]:
     return F.when(number.isNull(), 99).otherwise(order), F.coalesce(number, F.lit(0))
 
 
+#: Ligatures that texts taken from PDF files hold, and their letters.
+LIGATURES = {"\ufb01": "fi", "\ufb02": "fl", "\ufb03": "ffi", "\ufb04": "ffl"}
+
+
+def strip_line_numbers(text: Column) -> Column:
+    """Numbers of one or two digits in the left margin taken out; longer ones are text."""
+    return F.regexp_replace(text, r"(?md)^[ \t]{0,4}[0-9]{1,2}[ \t]{1,4}", "")
+
+
 def clean_text(text: Column) -> Column:
-    """Words that a line end broke joined, line numbers and repeated white space taken out."""
-    joined = F.regexp_replace(text, r"([a-z])-\n([a-z])", "$1$2")
-    bare = F.regexp_replace(joined, r"(?m)^ *[0-9]+ +", "")
-    return F.trim(F.regexp_replace(F.regexp_replace(bare, r"[ \t]+", " "), r"\n\n+", "\n\n"))
+    """Ligatures spelled out, lines that are a page number emptied, words that a line end broke joined, repeated white space taken out."""
+    for one, letters in LIGATURES.items():
+        text = F.replace(text, F.lit(one), F.lit(letters))
+    paged = F.regexp_replace(text, r"(?md)^[ \t]*[0-9]{1,3}[ \t]*$", "")
+    joined = F.regexp_replace(paged, r"([A-Za-z0-9_])-\n([A-Za-z0-9_])", "$1$2")
+    return F.trim(F.regexp_replace(F.regexp_replace(joined, r"[ \t]+", " "), r"\n\n\n+", "\n\n"), F.lit(" \n\t\r"))
 
 
 def sponsor(raw: Column) -> tuple[Column, Column]:

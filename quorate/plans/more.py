@@ -199,7 +199,7 @@ st AS (SELECT *, CASE WHEN s LIKE '%introduced%' THEN 'Introduced' WHEN s LIKE '
 register("legislative_stages", on(lambda t: lifecycle.stage_counts(_actions(t))), STAGED + " SELECT stage, count(*) AS n, count(DISTINCT bill) AS bills FROM st GROUP BY stage")
 register("legislative_transitions", on(lambda t: lifecycle.transitions(_actions(t))), STAGED + """
 , l AS (SELECT *, lag(stage) OVER (PARTITION BY bill ORDER BY ts, event_id) AS before FROM st), s AS (SELECT bill, ts, event_id, stage FROM l WHERE before IS NULL OR before <> stage), t AS (SELECT stage AS source, lead(stage) OVER (PARTITION BY bill ORDER BY ts, event_id) AS target FROM s)
-SELECT source, coalesce(target, 'Died') AS target, count(*) AS n FROM t WHERE target IS NOT NULL OR source NOT IN ('Signed into Law', 'Vetoed') GROUP BY 1, 2""")
+SELECT source, coalesce(target, 'Died') AS target, count(*) AS n FROM t WHERE target IS NOT NULL OR source NOT IN ('Floor Vote', 'Cross-Chamber', 'Governor', 'Signed into Law', 'Vetoed') GROUP BY 1, 2""")
 
 
 def _actions(t: Tables) -> DataFrame:
@@ -208,8 +208,12 @@ def _actions(t: Tables) -> DataFrame:
 
 register("bill_order", on(lambda t: t.part.select("p_partkey", records.bill_of_url(F.concat(F.lit("/li/b2025/Measures/"), _dealt(["sb", "hb", "scr", "xx"], "p_partkey"), F.col("p_partkey").cast("string"), F.lit("/"))).alias("bill")).withColumns(dict(zip(("prefix_order", "number"), records.bill_key(F.col("bill")), strict=True)))), f"""
 WITH b AS (SELECT p_partkey, {_dealt_sql(["SB", "HB", "SCR", "XX"], "p_partkey")} AS p FROM part) SELECT p_partkey, p || ' ' || CAST(p_partkey AS VARCHAR) AS bill, CASE p WHEN 'SB' THEN 0 WHEN 'HB' THEN 3 WHEN 'SCR' THEN 2 ELSE 9 END AS prefix_order, CAST(p_partkey AS INTEGER) AS number FROM b""")
-register("clean_texts", on(lambda t: t.documents.select("doc_id", F.sha2(records.clean_text(F.concat(F.lit("  1  sec-\ntion\n\n\n\n 2 "), F.coalesce("text", F.lit("")))), 256).alias("sha256"))), """
-SELECT doc_id, sha256(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace('  1  sec-' || chr(10) || 'tion' || chr(10) || chr(10) || chr(10) || chr(10) || ' 2 ' || coalesce(text, ''), '([a-z])-\\n([a-z])', '\\1\\2', 'g'), '(?m)^ *[0-9]+ +', '', 'g'), '[ \\t]+', ' ', 'g'), '\\n\\n+', chr(10) || chr(10), 'g'))) AS sha256 FROM documents""")
+#: A page as PDF readers give it, put in front of every document.
+PAGE = "  1  sec-\ntion\n 117 \n\n\n\n 2 of\ufb01ce\n2024 was a year\n100 dollars\n43 "
+register("clean_texts", on(lambda t: t.documents.select("doc_id", F.sha2(records.clean_text(records.strip_line_numbers(F.concat(F.lit(PAGE), F.coalesce("text", F.lit(""))))), 256).alias("sha256"))), f"""
+WITH d AS (SELECT doc_id, regexp_replace('{PAGE}' || coalesce(text, ''), '(?m)^[ \\t]{{0,4}}[0-9]{{1,2}}[ \\t]{{1,4}}', '', 'g') AS t FROM documents),
+p AS (SELECT doc_id, regexp_replace(replace(replace(replace(replace(t, 'ﬁ', 'fi'), 'ﬂ', 'fl'), 'ﬃ', 'ffi'), 'ﬄ', 'ffl'), '(?m)^[ \\t]*[0-9]{{1,3}}[ \\t]*$', '', 'g') AS t FROM d)
+SELECT doc_id, sha256(trim(regexp_replace(regexp_replace(regexp_replace(t, '([A-Za-z0-9_])-\\n([A-Za-z0-9_])', '\\1\\2', 'g'), '[ \\t]+', ' ', 'g'), '\\n\\n\\n+', chr(10) || chr(10), 'g'), ' ' || chr(10) || chr(9) || chr(13))) AS sha256 FROM p""")
 register("content_hashes", on(lambda t: t.documents.groupBy(F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha256")).agg(F.count("*").alias("n"), F.min("doc_id").alias("first"))), "SELECT sha256(coalesce(text, '')) AS sha256, count(*) AS n, min(doc_id) AS first FROM documents GROUP BY 1")
 TITLES = ["Senator ", "representative  ", "Committee on ", ""]
 register("sponsor_parties", on(lambda t: records.sponsor_party(t.members.select(F.concat(_dealt(TITLES, "district"), F.col("full_name")).alias("raw")), t.members)), with_views("members") + f"""
@@ -222,13 +226,13 @@ SELECT voter, full_name, CASE WHEN district % 3 = 0 THEN 'Independent' ELSE part
 register("member_slugs", on(lambda t: t.members.select("voter", records.slug(F.concat(F.lit("Ann "), F.translate("full_name", "#0123456789", "#abcdefghij"), F.lit(" Jr.")), F.col("chamber")).alias("slug"))), with_views("members") + """
 SELECT voter, CASE WHEN chamber = 'Senate' THEN 'sen_' ELSE 'rep_' END || replace(translate(lower(full_name), '0123456789', 'abcdefghij'), '#', '') AS slug FROM members""")
 register("vote_times", on(lambda t: t.events.select("event_id", records.vote_time(F.concat(F.lit("je_"), F.date_format("ts", "yyyyMMddHHmmss"), F.lit("_x"))).alias("at")).select("event_id", F.date_format("at", "yyyy-MM-dd HH:mm:ss").alias("at"))), "SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS at FROM events")
-register("gap_fill", on(lambda t: records.gap_fill(_rolls(t, "item % 3 <> 0").withColumn("id", F.when(F.col("number") % 5 == 0, F.concat(F.lit("kf_"), "id")).otherwise(F.col("id"))), _rolls(t, "item % 2 = 0"), ["bill", "chamber", "day"])), with_views("items") + """
-, r AS (SELECT CAST(item AS VARCHAR) AS id, item AS number, bill, chamber, day FROM items), k AS (SELECT * FROM r WHERE number % 3 <> 0 AND number % 5 <> 0)
-SELECT * FROM k UNION ALL SELECT 'kf_' || id, number, bill, chamber, day FROM r WHERE number % 2 = 0 AND NOT EXISTS (SELECT 1 FROM k WHERE k.bill = r.bill AND k.chamber = r.chamber AND k.day = r.day)""")
+register("gap_fill", on(lambda t: records.gap_fill(_rolls(t).where("chamber = 'House' or motion like 'Brand#1%'").withColumn("id", F.when(F.col("motion").like("Brand#_3"), F.concat(F.lit("kf_"), "id")).otherwise(F.col("id"))).drop("motion"), _rolls(t).drop("motion"), ["bill", "chamber", "day"])), with_views("items") + """
+, r AS (SELECT CAST(item AS VARCHAR) AS id, item AS number, bill, chamber, day, motion FROM items), k AS (SELECT * EXCLUDE motion FROM r WHERE (chamber = 'House' OR motion LIKE 'Brand#1%') AND motion NOT LIKE 'Brand#_3')
+SELECT * FROM k UNION ALL SELECT 'kf_' || id, number, bill, chamber, day FROM r WHERE NOT EXISTS (SELECT 1 FROM k WHERE k.bill = r.bill AND k.chamber = r.chamber AND k.day = r.day)""")
 
 
-def _rolls(t: Tables, where: str) -> DataFrame:
-    return t.items.where(where).select(F.col("item").cast("string").alias("id"), F.col("item").alias("number"), "bill", "chamber", "day")
+def _rolls(t: Tables) -> DataFrame:
+    return t.items.select(F.col("item").cast("string").alias("id"), F.col("item").alias("number"), "bill", "chamber", "day", "motion")
 
 
 register("resolved_names", on(lambda t: records.resolve_names(t.members.select(F.concat(F.lit("Jo "), F.upper("full_name"), F.when(F.col("district") % 2 == 0, "x").otherwise("")).alias("name")), t.members)), with_views("members") + """
@@ -251,8 +255,16 @@ def _tallies(t: Tables) -> DataFrame:
 register("tally_matches", on(lambda t: records.tally_matches(_tallies(t), _tallies(t).withColumn("id", F.col("id") + 1000000), ["motion", "chamber", "day"])), with_views("items", "votes") + TALLY + """
 , n AS (SELECT *, count(*) OVER (PARTITION BY motion, chamber, day) AS n, row_number() OVER (PARTITION BY motion, chamber, day, yea, nay ORDER BY id) AS i FROM r)
 SELECT id AS one, id + 1000000 AS two, CASE WHEN n = 1 THEN 'key' ELSE 'tally' END AS "by" FROM n""")
-register("vote_differences", on(lambda t: records.vote_differences(t.votes.where("item % 3 <> 0"), t.votes.withColumn("choice", F.when(F.col("item") % 5 == 0, "Nay").otherwise(F.col("choice"))).where("item % 4 <> 0"))), with_views("votes") + """
-, x AS (SELECT * FROM votes WHERE item % 3 <> 0), z AS (SELECT item, voter, CASE WHEN item % 5 = 0 THEN 'Nay' ELSE choice END AS choice FROM votes WHERE item % 4 <> 0)
+
+
+def _votes_of(t: Tables, status: str) -> DataFrame:
+    """The votes of one of two sources: lines of one status."""
+    once = t.lineitem.where(F.col("l_linestatus") == status).groupBy(F.col("l_partkey").alias("item"), F.col("l_suppkey").alias("voter")).agg(F.max("l_returnflag").alias("flag"))
+    return once.select("item", "voter", F.when(F.col("flag") == "R", "Yea").when(F.col("flag") == "A", "Nay").otherwise("Absent and Not Voting").alias("choice"))
+
+
+register("vote_differences", on(lambda t: records.vote_differences(_votes_of(t, "F"), _votes_of(t, "O"))), """
+WITH v AS (SELECT l_linestatus AS s, l_partkey AS item, l_suppkey AS voter, max(l_returnflag) AS choice FROM lineitem GROUP BY 1, 2, 3), x AS (SELECT * FROM v WHERE s = 'F'), z AS (SELECT * FROM v WHERE s = 'O')
 SELECT CASE WHEN x.choice IS NULL THEN 'second only' WHEN z.choice IS NULL THEN 'first only' WHEN x.choice = z.choice THEN 'equal' ELSE 'different' END AS kind, count(*) AS n FROM x FULL JOIN z ON x.item = z.item AND x.voter = z.voter GROUP BY 1""")
 register("orders_as_of", on(lambda t: records.as_of(t.events.select(F.col("user_id").alias("person"), "event_id", F.to_date("ts").alias("day")), t.orders.select(F.col("o_custkey").alias("person"), F.add_months(F.to_date("o_orderdate"), 348).alias("day"), "o_orderkey"), ["person"], "day", ["o_orderkey"])), """
 WITH e AS (SELECT user_id AS person, event_id, CAST(ts AS DATE) AS day FROM events), o AS (SELECT o_custkey AS person, CAST(CAST(o_orderdate AS DATE) + INTERVAL 348 MONTH AS DATE) AS day, max(o_orderkey) AS o_orderkey FROM orders GROUP BY 1, 2)
