@@ -506,3 +506,4 @@ register("windowed_positions", on(lambda t: topics.windowed_positions(agreement.
 
 from . import more  # noqa: E402, F401  registers the queries that build on these
 from . import fitted  # noqa: E402, F401
+from . import studies  # noqa: E402, F401
