@@ -1,5 +1,7 @@
 """Vector search on repeated rows and on vectors of any size and offset."""
 
+import random
+
 import numpy as np
 import pytest
 
@@ -59,3 +61,44 @@ def test_recall_of_the_query(spark, tiny):
         d[ids == r.query_id] = np.inf
         hits += r.vec_id in ids[np.lexsort((ids, d))[:10]]
     assert hits >= 0.9 * len(found) == 0.9 * 10 * (ids % 100 == 0).sum()
+
+
+def test_distances_are_computed_in_visited_cells_only(tiny, monkeypatch):
+    """At sf0.1: under half of all distances, counted, for a recall of at least 0.9."""
+    import pyarrow.parquet as pq
+
+    rows = pq.read_table(tiny.replace("0.001", "0.1") + "/embeddings.parquet").to_pydict()
+    x = np.array([v for v in rows["embedding"] if v is not None], dtype=float)
+    ids, n, half = np.arange(len(x)), len(x), x.shape[1] // 2
+    size = multi_index.codebook_of(n)
+    books = multi_index.kmeans(x[:, :half], size), multi_index.kmeans(x[:, half:], size)
+    cells = [multi_index._nearest(x[:, :half], books[0]), multi_index._nearest(x[:, half:], books[1])]
+    q, own = x[::100], ids[::100]
+    sizes = np.bincount(cells[0] * size + cells[1], minlength=size * size)
+    routes = [multi_index._squared(q[:, :half], books[0]), multi_index._squared(q[:, half:], books[1])]
+    went = [set(multi_index.visit(routes[0][k], routes[1][k], sizes, int(multi_index.share_of(n) * n))) for k in range(len(q))]
+    counted, plain = [], multi_index._squared
+    monkeypatch.setattr(multi_index, "_squared", lambda a, b: counted.append(len(a) * len(b)) or plain(a, b))
+    hits = 0
+    near = np.sqrt(plain(q, x))
+    near[np.arange(len(q)), own] = np.inf
+    best = np.argsort(near, axis=1)[:, :10]
+    kept = np.zeros((len(q), n), bool)
+    for first in range(size):
+        e = np.flatnonzero(cells[0] == first)
+        e = e[np.argsort(cells[1][e], kind="stable")]
+        asks = np.array([k for k in range(len(q)) if any(c // size == first for c in went[k])], dtype=int)
+        if len(e) and len(asks):
+            visited = np.array([[first * size + j in went[k] for j in range(size)] for k in asks])
+            kept[np.ix_(asks, e)] = multi_index.preselect(q[asks], x[e], visited, cells[1][e], own[asks], ids[e], 10)
+    hits = kept[np.arange(len(q))[:, None], best].mean()
+    assert sum(counted) < 0.45 * n * len(q) and hits >= 0.9
+
+
+def test_neighbours_with_clashing_columns(spark):
+    rng = random.Random(2)
+    rows = [(i, [rng.random() for _ in range(6)]) for i in range(60)]
+    plain = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    odd = plain.selectExpr("*", "1 as cell", "2 as first", "3 as q", "4 as copy", "'v' as vector", "'i' as query_id")
+    found = [sorted(map(tuple, multi_index.search(df, df.where("vec_id % 10 = 0"), share=1.0).collect())) for df in (plain, odd)]
+    assert found[0] == found[1] and len(found[0]) == 60
