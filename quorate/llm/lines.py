@@ -9,7 +9,8 @@ Method.  Words are ordered by rarity, which a fixed-size sketch of all words of
 A line is entered under the words of its prefix; two matching lines share one there.  A word
 that is frequent in the whole corpus is entered together with a second word of the prefix made one
 word longer (two matching lines share two words there), so that common words don't gather long
-lists.  Lines that meet are filtered by length, by the position of the shared word and by a
+lists; a line of more than ``setjoin.SHORT`` words enters it with its size band instead, so keys grow in line with
+a line's words.  Lines that meet are filtered by length, by the position of the shared word and by a
 bitmap, as ``setjoin`` says; what passes joins one component, and inside of a component all lines are
 verified on their words and their matches counted where they meet, so no pair leaves a
 task.  Equal sets are one class from the start, and only classes are joined; sets so short that one

@@ -29,6 +29,8 @@ from . import common, simhash
 SKETCH_BITS = 20
 #: Set sizes that fit the packed entries; larger sets pass the filters and are verified.
 LONGEST = 65_535
+#: Members up to which a set enters its frequent members in pairs.
+SHORT = 64
 #: Sets of a component that are verified in one group.
 BLOCK = 2048
 #: Entries that a task packs at a time.
@@ -222,24 +224,39 @@ def prefixes(member: np.ndarray, rank: np.ndarray, starts: np.ndarray, n: np.nda
     return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(length)], pa.int32()), pa.array(member[at].astype(np.uint32).view(np.int32))), rare
 
 
+def _bands(n: np.ndarray, threshold: float) -> np.ndarray:
+    """Size bands such that sets that can reach the threshold lie in one or in neighbouring bands."""
+    return np.floor(np.log(n) / (np.log(1 / threshold) * (1 + 1e-9))).astype(np.int64)
+
+
 def _keys(prefix: np.ndarray, starts: np.ndarray, n: np.ndarray, rare: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(key, position, owner): each prefix member that isn't frequent, and each frequent one with each later.
+    """(key, position, owner): each prefix member that isn't frequent, and for each frequent one keys that narrow its list.
 
-    Two sets that match and whose first common member is frequent share two members of prefixes one
-    member longer, and all later members are frequent too.
+    Sets of at most SHORT members enter a frequent member with each later one: two sets that match and whose first common
+    member is frequent share two members of prefixes one member longer, and all later members are frequent too.  Longer
+    sets enter it with their size band and the next one, which grows in line with the prefix and not with its square;
+    so do those short ones that a longer one can match.
     """
     length = prefix_length(n, threshold)
     single = np.minimum(rare, length)
     at = common.gather_ranges(starts, single)
     owner = np.repeat(np.arange(len(n)), single)
     key, position = prefix[at].astype(np.uint64), at - starts[owner]
-    own = np.repeat(np.arange(len(n)), length - single)
-    first = common.gather_ranges(starts + single, length - single)
+    paired = np.where(n <= SHORT, length - single, 0)
+    own = np.repeat(np.arange(len(n)), paired)
+    first = common.gather_ranges(starts + single, paired)
     rest = np.minimum(length[own] + 1, n[own]) - (first - starts[own]) - 1
     second = common.gather_ranges(first + 1, rest)
     one = np.repeat(np.arange(len(first)), rest)
     pair = mix((prefix[first[one]].astype(np.uint64) << np.uint64(32)) | prefix[second].astype(np.uint64)) & np.uint64(0xFFFFFFFF)
-    return np.r_[key, pair].astype(np.uint32), np.r_[position, first[one] - starts[own[one]]], np.r_[owner, own[one]]
+    banded = np.where(n >= np.floor(threshold * SHORT), length - single, 0)
+    long = np.repeat(np.arange(len(n)), banded)
+    where = common.gather_ranges(starts + single, banded)
+    band = _bands(np.maximum(n, 1), threshold)[long]
+    sized = [mix((prefix[where].astype(np.uint64) << np.uint64(32)) ^ mix((band + k).astype(np.uint64))) & np.uint64(0xFFFFFFFF) for k in (0, 1)]
+    keys = np.concatenate([key, pair, *sized]).astype(np.uint32)
+    place = where - starts[long]
+    return keys, np.r_[position, first[one] - starts[own[one]], place, place], np.r_[owner, own[one], long, long]
 
 
 def _packed(bucket: np.ndarray, *columns: np.ndarray) -> pa.RecordBatch:
