@@ -303,7 +303,7 @@ def _without(texts: pd.Series, gone: pd.Series) -> pd.Series:
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` with the removed lines taken out of the text; a document left without text is dropped."""
+    """``docs`` with the removed lines taken out of the text; a document left without words is dropped."""
     gone = line_matches(docs, id_col, text_col, threshold).where("removed").select("doc_id", "copy", "line_no").distinct()
     gone = gone.groupBy("doc_id", "copy").agg(F.collect_list("line_no").alias("lines"))
     names = [common.free_name(docs, n) for n in ("__id", "__copy", "__gone", "__kept")]
@@ -313,7 +313,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     cut = F.pandas_udf(_without, "string")(F.when(removed.isNotNull(), text), removed)
     joined = joined.withColumn(names[3], cut)
     kept = F.when(removed.isNull(), text).otherwise(F.col(names[3]))
-    out = joined.where(removed.isNull() | (F.trim(F.col(names[3])) != ""))
+    out = joined.where(removed.isNull() | F.col(names[3]).rlike(r"[^\x20\x09-\x0D]"))
     return out.select(*(kept.alias(c) if c == text_col else docs[c] for c in docs.columns))
 
 

@@ -9,7 +9,7 @@ import pyarrow as pa
 import pytest
 
 import corpus_pipeline
-from quorate.llm import copies, decontaminate, language, lines, setjoin, simhash, urls
+from quorate.llm import copies, decontaminate, language, lines, setjoin, simhash, urls, shingle_join
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, copy string, signature long, root string, line_no int, __id string"
 LONG = "the quick brown fox jumps over the lazy dog while seven wizards quietly boil strange potions in a tall tower by the sea"
@@ -26,7 +26,7 @@ def kept(df):
 
 def test_a_text_of_its_own_survives_under_a_repeated_id(spark):
     rows = frame(spark, [(1, LONG), (5, LONG), (5, OTHER), (None, LONG), (1, LONG)])
-    for survivors in (simhash.survivors, copies.survivors):
+    for survivors in (simhash.survivors, copies.survivors, shingle_join.survivors):
         out = survivors(rows)
         assert out.columns == rows.columns
         assert kept(out) == sorted([(1, LONG), (5, OTHER), (None, LONG)], key=str)
