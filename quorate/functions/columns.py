@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, Window
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
@@ -25,12 +25,5 @@ def guarded_corr(x: str, y: str, n: str | None = None, least: int = 0) -> Column
     return F.when((k >= least) & (va > 1e-12) & (vb > 1e-12), cov / F.sqrt(va * vb))
 
 
-def average_rank(by: str, *partition: str) -> Column:
-    """Rank from 1 with ties at their average."""
-    over = Window.partitionBy(*partition).orderBy(by)
-    same = Window.partitionBy(*partition, by)
-    return F.rank().over(over) + (F.count("*").over(same) - 1) / 2.0
-
-
 def rounded(df, *columns: str, digits: int = 6):
     return df.withColumns({c: F.round(c, digits) for c in columns})

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import average_rank, guarded_corr, ratio
+from ..functions.columns import guarded_corr, ratio
+from .ranks import with_ranks
 
 
 def turnover(scores: DataFrame) -> DataFrame:
@@ -39,14 +40,14 @@ def links(bridged: DataFrame, trim: float = 0.1, least: int = 20) -> DataFrame:
 
 def shifts(bridged: DataFrame, movers: float = 1.0) -> DataFrame:
     """Change of each bridge's rank (ties averaged) and whether it is beyond ``movers`` deviations."""
-    ranked = bridged.withColumns({"rank_before": average_rank("score", "session"), "rank_after": average_rank("after", "session")}).withColumn("shift", F.col("rank_after") - F.col("rank_before"))
+    ranked = with_ranks(bridged, {"rank_before": "score", "rank_after": "after"}, ["session"]).withColumn("shift", F.col("rank_after") - F.col("rank_before"))
     std = F.stddev_samp("shift").over(Window.partitionBy("session"))
     return ranked.withColumn("mover", F.coalesce(F.abs("shift") > movers * std, F.lit(False))).select("person", "session", "rank_before", "rank_after", "shift", "mover")
 
 
 def stability(bridged: DataFrame, least: int = 10) -> DataFrame:
     """Pearson and Spearman correlation over bridges."""
-    ranked = bridged.withColumns({"ra": average_rank("score", "session"), "rb": average_rank("after", "session")})
+    ranked = with_ranks(bridged, {"ra": "score", "rb": "after"}, ["session"])
     return ranked.groupBy("session").agg(F.count("*").alias("n"), guarded_corr("score", "after", least=least).alias("pearson"), guarded_corr("ra", "rb", least=least).alias("spearman"))
 
 

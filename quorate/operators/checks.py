@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import average_rank, ratio
+from ..functions.columns import ratio
+from .ranks import with_ranks
 from ..plans.adapter import NAY, YEA
 
 
@@ -31,7 +32,7 @@ def comparison(df: DataFrame, key: str, *scores: str) -> DataFrame:
     """Ranks from the top (ties averaged, whole part) of several scores and the widest gap between any two."""
     ranks = [f"rank_{s}" for s in scores]
     negated = df.select(key, *scores).withColumns({f"_{s}": -F.col(s) for s in scores})
-    ranked = negated.withColumns({r: F.floor(average_rank(f"_{s}")).cast("int") for r, s in zip(ranks, scores, strict=True)})
+    ranked = with_ranks(negated, {r: f"_{s}" for r, s in zip(ranks, scores, strict=True)}).withColumns({r: F.floor(r).cast("int") for r in ranks})
     return ranked.select(key, *scores, *ranks, (F.greatest(*ranks) - F.least(*ranks)).alias("apart"))
 
 

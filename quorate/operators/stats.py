@@ -8,7 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import average_rank, guarded_corr, ratio
+from ..functions.columns import guarded_corr, ratio
+from .ranks import running, with_ranks
 
 
 def outliers(df: DataFrame, value: str, group: str, beyond: float = 2.0) -> DataFrame:
@@ -30,7 +31,7 @@ def cohens_d(df: DataFrame, value: str, group: str, one: str, two: str) -> DataF
 def correlation(df: DataFrame, x: str, y: str, least: int = 10) -> DataFrame:
     """Pearson with its Fisher interval, and Spearman with ties averaged."""
     rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
-    ranked = rows.withColumns({"__rx": average_rank(x), "__ry": average_rank(y)})
+    ranked = with_ranks(rows.select(x, y), {"__rx": x, "__ry": y})
     out = ranked.agg(F.count("*").alias("n"), guarded_corr(x, y, least=least).alias("pearson"), guarded_corr("__rx", "__ry", least=least).alias("spearman"))
     z, half = F.atanh("pearson"), 1.959963984540054 / F.sqrt(F.col("n") - 3)
     inside = (F.abs("pearson") < 1) & (F.col("n") > 3)
@@ -94,15 +95,10 @@ def tarone(df: DataFrame, hits: str, trials: str, group: str) -> DataFrame:
     return out.withColumn("p", upper_tail("z"))
 
 
-def percentiles(df: DataFrame, value: str, key: str, *partition: str) -> DataFrame:
-    """Rank from the top (ties by key) and share of rows at or below."""
-    whole = Window.partitionBy(*partition)
-    return df.withColumns({"rank": F.row_number().over(whole.orderBy(F.desc(value), key)), "percentile": F.row_number().over(whole.orderBy(value, key)) / F.count("*").over(whole)})
-
-
 def kolmogorov(df: DataFrame, value: str, group: str, one: str, two: str) -> DataFrame:
     """Greatest distance between two groups' empirical distributions."""
     rows = df.where(F.col(group).isin(one, two) & F.col(value).isNotNull()).groupBy(value).agg(F.count(F.when(F.col(group) == one, 1)).alias("x"), F.count(F.when(F.col(group) == two, 1)).alias("y"))
-    upto, whole = Window.orderBy(value), Window.partitionBy()
-    gap = F.abs(F.sum("x").over(upto) / F.sum("x").over(whole) - F.sum("y").over(upto) / F.sum("y").over(whole))
-    return rows.select(gap.alias("gap")).agg(F.max("gap").alias("ks"))
+    whole = rows.agg(F.sum("x").alias("all_x"), F.sum("y").alias("all_y"))  # one row
+    upto = running(rows, [], [value], ["x", "y"]).crossJoin(F.broadcast(whole))
+    gap = F.abs(F.try_divide(F.col("before_x") + F.col("x"), F.col("all_x")) - F.try_divide(F.col("before_y") + F.col("y"), F.col("all_y")))
+    return upto.select(gap.alias("gap")).agg(F.max("gap").alias("ks"))

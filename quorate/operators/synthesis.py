@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import average_rank, count_where, guarded_corr, ratio
+from ..functions.columns import count_where, guarded_corr, ratio
+from .ranks import with_ranks
 from .cohesion import PARTIES
 
 
@@ -52,7 +53,8 @@ def cross_party_agreement(encoded: DataFrame, members: DataFrame, low: float = 0
 def rank_comparison(df: DataFrame, key: str, one: str, two: str, beyond: int = 10) -> DataFrame:
     """Descending ranks of two scores, ties averaged and cut to whole numbers, and how far they lie apart."""
     rows = df.where(F.col(one).isNotNull() & F.col(two).isNotNull()).withColumns({"__one": -F.col(one), "__two": -F.col(two)})
-    out = rows.select(key, one, two, average_rank("__one").cast("int").alias("rank_one"), average_rank("__two").cast("int").alias("rank_two"))
+    ranked = with_ranks(rows, {"rank_one": "__one", "rank_two": "__two"})
+    out = ranked.select(key, one, two, F.col("rank_one").cast("int").alias("rank_one"), F.col("rank_two").cast("int").alias("rank_two"))
     return out.withColumn("apart", F.abs(F.col("rank_one") - F.col("rank_two"))).withColumn("flag", F.col("apart") > beyond)
 
 
