@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import rounded
-from ..operators import agreement, align, api, cohesion, graph, integrity, latent, lifecycle, linkage, predict, profiles, stats, text, timeseries, topics
+from ..operators import agreement, align, api, cohesion, graph, integrity, latent, lifecycle, linkage, predict, profiles, ranks, stats, text, timeseries, topics
 from ..streaming import windows
 from . import adapter
 from .adapter import with_views
@@ -295,7 +295,7 @@ register("shrunken_loyalty", on(lambda t: stats.shrunken(cohesion.unity(t.votes,
 , p AS (SELECT party, voter, party_votes - defections AS hits, party_votes, alpha + party_votes - defections AS a, beta + defections AS b, alpha + beta AS s FROM united JOIN prior USING (party) WHERE party_votes >= 3)
 SELECT party, voter, hits, party_votes, round(hits / CAST(party_votes AS DOUBLE), 6) AS raw, round(a / (a + b), 6) AS posterior, round(a * b / ((a + b) * (a + b) * (a + b + 1)), 6) AS variance, round(s / (s + party_votes), 6) AS shrinkage FROM p""")
 register("overdispersion", on(lambda t: stats.tarone(cohesion.unity(t.votes, t.members), "defections", "party_votes", "party"), "z", "p"))
-register("unity_percentiles", on(lambda t: stats.percentiles(cohesion.unity(t.votes, t.members).select("voter", "party", F.round("unity", 9).alias("unity")), "unity", "voter", "party"), "unity", "percentile"), with_views(*VM, more=UNITY) + """
+register("unity_percentiles", on(lambda t: ranks.percentiles(cohesion.unity(t.votes, t.members).select("voter", "party", F.round("unity", 9).alias("unity")), "unity", "voter", ["party"]), "unity", "percentile"), with_views(*VM, more=UNITY) + """
 , u AS (SELECT voter, party, round(unity, 9) AS unity FROM united) SELECT voter, party, round(unity, 6) AS unity, CAST(row_number() OVER (PARTITION BY party ORDER BY unity DESC, voter) AS INTEGER) AS rank,
 round(row_number() OVER (PARTITION BY party ORDER BY unity, voter) / CAST(count(*) OVER (PARTITION BY party) AS DOUBLE), 6) AS percentile FROM u""")
 register("unity_distribution_distance", on(lambda t: stats.kolmogorov(cohesion.unity(t.votes, t.members).withColumn("unity", F.round("unity", 9)), "unity", "party", *cohesion.PARTIES), "ks"), with_views(*VM, more=UNITY) + """
@@ -507,3 +507,4 @@ register("windowed_positions", on(lambda t: topics.windowed_positions(agreement.
 from . import more  # noqa: E402, F401  registers the queries that build on these
 from . import fitted  # noqa: E402, F401
 from . import studies  # noqa: E402, F401
+from . import linked  # noqa: E402, F401
