@@ -38,7 +38,7 @@ COVERED = {
     "reconstruction_error": "test_fitted.test_reconstruction_flags_the_odd_voter", "component_holdout": "test_fitted.test_components_of_two_blocs", "second_component": "test_fitted.test_second_component_folds", "correspondence": "test_fitted.test_correspondence_against_the_burt_table",
     "member_clusters": "test_fitted.test_member_clusters_find_the_blocs", "clade_support": "test_fitted.test_clade_support_of_the_blocs", "communities": "test_fitted.test_louvain_near_the_best_partition", "potts_communities": "test_fitted.test_louvain_on_two_cliques",
     "within_party_communities": "test_fitted.test_communities_of_the_blocs", "path_centralities": "test_fitted.test_path_centralities_of_a_path", "null_backbone": "test_fitted.test_null_backbone_joins_only_the_blocs",
-    "alike_names": "test_linked.test_blocks_against_difflib", "matched_names": "test_linked.test_first_come_is_one_by_one", "session_quantiles": "test_linked.test_merged_summaries_keep_their_bound", "merged_quantiles": "test_linked.test_merged_summaries_keep_their_bound",
+    "alike_names": "test_linked.test_blocks_against_difflib", "matched_names": "test_linked.test_first_come_is_one_by_one", "session_quantiles": "test_linked.test_merged_summaries_keep_their_bound", "merged_quantiles": "test_linked.test_merged_summaries_keep_their_bound", "text_topics": "test_linked.test_planted_topics_are_found", "document_topics": "test_linked.test_planted_topics_are_found",
     "item_communities": "test_studies.test_planted_communities_are_found", "bridge_items": "test_studies.test_betweenness_of_all_and_of_some_sources", "tetrachoric_correlations": "test_studies.test_planted_correlations_are_found",
 }
 
