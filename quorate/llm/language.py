@@ -1,8 +1,9 @@
 """Language identification by Bayesian evidence fusion.
 
 Text likelihoods come from hashed byte trigrams, one multinomial per language, fitted on a bounded
-sample of declared rows (``SAMPLE_ROWS`` a language).  Every language that is declared has a model,
-regions folded together; the models' size grows with their number.  They are fused with the declared (markup)
+sample of declared rows (``SAMPLE_ROWS`` a language).  A language has a model, regions folded together, if
+at least a share ``SMALLEST_SHARE`` of the declared rows names it, so there are 1000 models at most; rarer
+declarations are missing evidence, and their rows are judged by text and host.  The models are fused with the declared (markup)
 language and with host priors that are smoothed hierarchically: all rows, address suffix,
 registered domain, host.  The declaration table and the priors are grouped aggregations over all
 rows.  Neighbouring trigrams depend on one another, so a text counts as ``EFFECTIVE`` trigrams at
@@ -30,6 +31,8 @@ from . import common, ngrams
 
 #: Rows per declared language that the trigram model is fitted on, about.
 SAMPLE_ROWS = 3000
+#: Share of the declared rows that a language needs for a model of its own; its inverse bounds the models.
+SMALLEST_SHARE = 0.001
 BITS = 16
 EFFECTIVE = 150
 #: Trigrams that a text needs to count for its host and its declaration.
@@ -43,16 +46,18 @@ def base_language(declared: Column) -> Column:
     return F.lower(F.trim(F.substring_index(F.translate(declared, "_", "-"), "-", 1)))
 
 
-def fit(docs: DataFrame, text_col: str, declared_col: str, key_col: str) -> tuple[list[str], np.ndarray]:
+def fit(docs: DataFrame, text_col: str, declared_col: str, key_col: str, smallest: float = SMALLEST_SHARE) -> tuple[list[str], np.ndarray]:
     """(languages, log probability of each bucket for each language, the last row for ``und``)."""
     rows = docs.select(F.col(key_col).alias("k"), F.col(text_col).alias("text"), base_language(F.col(declared_col)).alias("lang")).where("lang is not null and lang <> '' and text is not null")
-    found = rows.groupBy("lang").count().collect()
+    declared = common.materialise(rows.groupBy("lang").count(), "declarations")
+    total = declared.agg(F.sum("count")).first()[0] or 0
+    found = declared.where(F.col("count") >= smallest * total).collect()  # 1 / smallest rows at most
     names = sorted(r["lang"] for r in found)
     if not names:
         return [UNKNOWN], np.full((1, 1 << BITS), -BITS * np.log(2), dtype=np.float32)
     rates = {r["lang"]: min(1.0, SAMPLE_ROWS / r["count"]) for r in found}
     rate = F.coalesce(F.create_map(*(x for k, v in rates.items() for x in (F.lit(k), F.lit(v))))[F.col("lang")], F.lit(0.0))
-    sample = rows.where(F.pmod(F.xxhash64("k"), F.lit(1_000_000)) < rate * 1_000_000).select("text", "lang")
+    sample = rows.where(F.col("lang").isin(names)).where(F.pmod(F.xxhash64("k"), F.lit(1_000_000)) < rate * 1_000_000).select("text", "lang")
 
     @common.tidy
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -75,14 +80,14 @@ def fit(docs: DataFrame, text_col: str, declared_col: str, key_col: str) -> tupl
     return [*names, UNKNOWN], np.vstack([logs, np.full((1, 1 << BITS), -BITS * np.log(2))]).astype(np.float32)
 
 
-def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", declared_col: str | None = "lang", host_col: str | None = "source", url_col: str | None = None, threshold: float = 0.5, strength: float = 20.0) -> DataFrame:
+def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", declared_col: str | None = "lang", host_col: str | None = "source", url_col: str | None = None, threshold: float = 0.5, strength: float = 20.0, smallest: float = SMALLEST_SHARE) -> DataFrame:
     """One row per document: doc_id, language, confidence, accepted, text_language, n_grams, copy (a hash of the text)."""
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), (F.lower(F.col(declared_col)) if declared_col else F.lit(None).cast("string")).alias("declared"), (F.col(url_col) if url_col else F.lit(None).cast("string")).alias("__u"), (F.col(host_col) if host_col else F.lit(None).cast("string")).alias("__h"))
     address = F.when(F.instr("__u", "://") > 0, F.expr("substring(__u, instr(__u, '://') + 3)"))
     host = F.translate(F.coalesce(F.regexp_extract(address, "^[^/?#:]*", 0), F.col("__h")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     rows = rows.withColumn("host", host).drop("__u", "__h")
-    names, logs = fit(rows, "text", "declared", "doc_id")
+    names, logs = fit(rows, "text", "declared", "doc_id", smallest)
     book = spark.sparkContext.broadcast(logs)  # 2**BITS numbers a language
 
     @common.tidy
@@ -124,7 +129,7 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", de
     by_host = by_host.join(by_domain, F.col("d") == F.col("domain"), "left").select(F.col("host").alias("h"), smoothed(F.col("n"), F.coalesce("p_domain", overall)).alias("p_host"))
     by_host = common.materialise(by_host, "hosts")
     # P(declared | language), smoothed towards the share of that declaration
-    by_claim = seen.where("declared is not null").groupBy("declared").agg(*per_class, F.count("*").alias("rows"))
+    by_claim = seen.where(base_language(F.col("declared")).isin(names)).groupBy("declared").agg(*per_class, F.count("*").alias("rows"))
     claimed = [F.lit(max(everywhere[i], 0.0)) for i in range(size)]
     by_claim = by_claim.select(F.col("declared").alias("c"), F.array(*((F.col(f"n{i}") + strength * (F.col("rows") / max(total, 1.0))) / (claimed[i] + strength) for i in range(size))).alias("p_claim"))
     by_claim = common.materialise(by_claim, "claims")
