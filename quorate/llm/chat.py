@@ -7,10 +7,11 @@ template rewrites history.  The text's place inside its span is found by renderi
 more with a marker for its text.
 
 Every prefix is rendered whole, so time grows with the square of a conversation's turns and memory
-with its length.  A template declared ``stateless`` (an attribute that is true: what it writes for a
-turn depends on that turn alone) can't tell a window from the whole, so beyond ``window`` turns only
-the first turn and the last ``window`` - 1 are rendered for it.  Rows are sorted within partitions and streamed; no
-conversation is gathered as a group.
+with its length.  A caller who knows that what a template writes for a turn depends on that turn alone
+may pass ``window``: beyond so many turns only
+the first turn and the last ``window`` - 1 are rendered, and a template that then writes the last turn
+in another way is refused.  Rows are sorted within partitions and streamed; no conversation is
+gathered as a group.
 
 Defined results: a null text is empty, a null role the empty role; turns that tie are ordered by
 role and text; repeated rows are turns of their own; rows with a null conversation id form one
@@ -53,9 +54,6 @@ def marked_turns(turns: list[Turn]) -> str:
     return "".join(f"{OPEN}{escape(role)}\n{escape(text)}{CLOSE}" for role, text in turns)
 
 
-marked_turns.stateless = True
-
-
 def read_back(span: str) -> Turn:
     """The turn that ``marked_turns`` wrote as this span."""
     role, _, text = span[len(OPEN) : -len(CLOSE)].partition("\n")
@@ -65,8 +63,8 @@ def read_back(span: str) -> Turn:
 class Renderer:
     """Feeds one conversation's turns to a template and locates each turn's span."""
 
-    def __init__(self, template: Callable[[list[Turn]], str], window: int = 32):
-        self.template, self.window = template, window if getattr(template, "stateless", False) else None
+    def __init__(self, template: Callable[[list[Turn]], str], window: int | None = None):
+        self.template, self.window, self.last = template, window, ""
         self.turns: list[Turn] = []
         self.before = template([])
         self.at = len(self.before)
@@ -76,6 +74,8 @@ class Renderer:
         if self.window and len(self.turns) >= self.window:
             self.turns = [self.turns[0], *self.turns[2:]]
             self.before = self.template(self.turns)
+            if not self.before.endswith(self.last):
+                raise ValueError("the template looks at earlier turns: render it without a window")
         out = self.template([*self.turns, (role, text)])
         kept = len(self.before) if out.startswith(self.before) else _common(self.before, out)
         probe = self.template([*self.turns, (role, MARK)])
@@ -85,7 +85,7 @@ class Renderer:
         lo, hi = (head - kept, len(out) - kept - tail) if head >= 0 else (0, 0)
         start, rewritten = self.at - (len(self.before) - kept), kept < len(self.before)
         self.turns.append((role, text))
-        self.before, self.at = out, start + len(span)
+        self.before, self.at, self.last = out, start + len(span), span
         return span, start, lo, hi, rewritten
 
 
@@ -97,7 +97,7 @@ def _common(a: str, b: str) -> int:
     return lo
 
 
-def format_turns(conversations: DataFrame, template: Callable[[list[Turn]], str] = marked_turns, window: int = 32, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", loss_role: str = "assistant") -> DataFrame:
+def format_turns(conversations: DataFrame, template: Callable[[list[Turn]], str] = marked_turns, window: int | None = None, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", loss_role: str = "assistant") -> DataFrame:
     """One row per turn, in order within a partition that holds whole conversations.
 
     conv_id, position, role, span, start, text_start, text_end (of the text inside the span), loss

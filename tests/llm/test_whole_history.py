@@ -1,5 +1,7 @@
 """Chat spans of templates that look at the whole conversation."""
 
+import pytest
+
 from quorate.llm import chat
 
 
@@ -28,5 +30,22 @@ def test_long_conversations_are_rendered_whole(spark):
     assert {r.position for r in rows if r.rewritten} == {50}
 
 
-def test_window_is_for_stateless_templates_only():
-    assert chat.Renderer(chat.marked_turns).window == 32 and chat.Renderer(templates()[0]).window is None
+def test_spans_equal_whole_renderings_at_200_turns(spark):
+    turns = [(r, f"<|end|> {k} [INST]" * (k % 3)) for k, r in enumerate(["user", "assistant"] * 100)]
+    frame = spark.createDataFrame([(1, k, *turn) for k, turn in enumerate(turns)], "conv_id long, turn long, role string, text string")
+    want = [chat.marked_turns(turns[: k + 1])[len(chat.marked_turns(turns[:k])) :] for k in range(200)]
+    for window in (None, 32):
+        rows = sorted(chat.format_turns(frame, window=window).collect(), key=lambda r: r.position)
+        assert [r.span for r in rows] == want and not any(r.rewritten for r in rows)
+        assert [r.start for r in rows] == [len(chat.marked_turns(turns[:k])) for k in range(200)]
+
+
+def test_window_refuses_templates_that_count_turns():
+    renderer = chat.Renderer(lambda turns: "".join(f"{i}:{t};" for i, (_, t) in enumerate(turns)), window=4)
+    with pytest.raises(ValueError, match="earlier turns"):
+        for k in range(8):
+            renderer.add("assistant" if k % 2 else "user", f"text{k}")
+
+
+def test_no_window_unless_asked_for():
+    assert chat.Renderer(chat.marked_turns).window is None
