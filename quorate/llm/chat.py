@@ -49,9 +49,21 @@ def unescape(text: str) -> str:
     return _ESCAPED.sub(lambda m: m[0][1:], text)
 
 
+class Said(tuple):
+    """A (role, text) turn that can keep what a template wrote for it, for as long as its conversation."""
+
+
+def _shown(turn: Turn) -> str:
+    if not isinstance(turn, Said):
+        return f"{OPEN}{escape(turn[0])}\n{escape(turn[1])}{CLOSE}"
+    if "shown" not in vars(turn):
+        turn.shown = _shown(tuple(turn))
+    return turn.shown
+
+
 def marked_turns(turns: list[Turn]) -> str:
     """The default template: every turn opens with its role and closes with an end mark."""
-    return "".join(f"{OPEN}{escape(role)}\n{escape(text)}{CLOSE}" for role, text in turns)
+    return "".join(map(_shown, turns))
 
 
 def read_back(span: str) -> Turn:
@@ -76,7 +88,8 @@ class Renderer:
             self.before = self.template(self.turns)
             if not self.before.endswith(self.last):
                 raise ValueError("the template looks at earlier turns: render it without a window")
-        out = self.template([*self.turns, (role, text)])
+        turn = Said((role, text))
+        out = self.template([*self.turns, turn])
         kept = len(self.before) if out.startswith(self.before) else _common(self.before, out)
         probe = self.template([*self.turns, (role, MARK)])
         head = probe.find(MARK, min(kept, len(probe)))
@@ -84,7 +97,7 @@ class Renderer:
         span = out[kept:]
         lo, hi = (head - kept, len(out) - kept - tail) if head >= 0 else (0, 0)
         start, rewritten = self.at - (len(self.before) - kept), kept < len(self.before)
-        self.turns.append((role, text))
+        self.turns.append(turn)
         self.before, self.at, self.last = out, start + len(span), span
         return span, start, lo, hi, rewritten
 
