@@ -508,3 +508,4 @@ from . import more  # noqa: E402, F401  registers the queries that build on thes
 from . import fitted  # noqa: E402, F401
 from . import studies  # noqa: E402, F401
 from . import linked  # noqa: E402, F401
+from . import carried  # noqa: E402, F401

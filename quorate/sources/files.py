@@ -88,9 +88,8 @@ def json_field(column: str, field: str, kind: str = "string"):
     return F.get_json_object(column, f"$.{field}").cast(kind)
 
 
-def written(df: DataFrame) -> DataFrame:
-    """``df`` as a Parquet table in the folder that the cluster shares: cuts lineage and computes the rows once."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession, prefix: str) -> str:
+    """A new path in the folder that the cluster shares."""
     sc = spark.sparkContext
     known = sc._jsc.sc().getCheckpointDir()
     base = spark.conf.get("spark.checkpoint.dir", None) or (known.get() if known.isDefined() else None)
@@ -98,6 +97,11 @@ def written(df: DataFrame) -> DataFrame:
         local = sc.master.startswith("local") and not sc.master.startswith("local-cluster")
         base = "file://" + tempfile.mkdtemp(prefix="quorate-tables-") if local else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_tables"
         sc.setCheckpointDir(base)
-    path = f"{base.rstrip('/')}/table-{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/{prefix}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as a Parquet table in the folder that the cluster shares: cuts lineage and computes the rows once."""
+    path = shared_folder(df.sparkSession, "table")
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -40,6 +40,7 @@ COVERED = {
     "within_party_communities": "test_fitted.test_communities_of_the_blocs", "path_centralities": "test_fitted.test_path_centralities_of_a_path", "null_backbone": "test_fitted.test_null_backbone_joins_only_the_blocs",
     "alike_names": "test_linked.test_blocks_against_difflib", "matched_names": "test_linked.test_first_come_is_one_by_one", "session_quantiles": "test_linked.test_merged_summaries_keep_their_bound", "merged_quantiles": "test_linked.test_merged_summaries_keep_their_bound", "text_topics": "test_linked.test_planted_topics_are_found", "document_topics": "test_linked.test_planted_topics_are_found",
     "item_communities": "test_studies.test_planted_communities_are_found", "bridge_items": "test_studies.test_betweenness_of_all_and_of_some_sources", "tetrachoric_correlations": "test_studies.test_planted_correlations_are_found",
+    "transfer_scores": "test_carried.test_planted_blocs_carry_over", "transfer_importances": "test_carried.test_rank_comparison_by_hand",
 }
 
 
