@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import ratio
+from ..sources.files import written
 
 
 def edges(paired: DataFrame, threshold: float, measure: str = "kappa") -> DataFrame:
@@ -38,7 +39,11 @@ def local_clustering(graph: DataFrame) -> DataFrame:
 
 
 def summary(graph: DataFrame, members: DataFrame) -> DataFrame:
-    """Nodes with an edge, edges, density, mean weight, transitivity and the share of edges inside a party."""
+    """Nodes with an edge, edges, density, mean weight, transitivity and the share of edges inside a party.
+
+    The edges are read five times, so they are written once.
+    """
+    graph = written(graph)
     local = local_clustering(graph).agg(F.count("*").alias("nodes"), F.avg("clustering").alias("mean_clustering"), ratio(F.sum("triangles"), F.sum(F.col("degree") * (F.col("degree") - 1) / 2)).alias("transitivity"))
     p = members.select("voter", "party")
     tied = graph.join(p.toDF("a", "pa"), "a").join(p.toDF("b", "pb"), "b").agg(F.count("*").alias("edges"), F.avg("weight").alias("mean_weight"), F.avg((F.col("pa") == F.col("pb")).cast("int")).alias("same_party"))
