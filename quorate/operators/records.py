@@ -132,13 +132,34 @@ def by_district(candidates: DataFrame) -> DataFrame:
 
 
 def close_names(left: DataFrame, right: DataFrame, least: float = 0.85) -> DataFrame:
-    """Pairs of (id, name) that are each other's closest by edit distance, among names of one block (their first letter)."""
-    def side(df: DataFrame, k: str) -> DataFrame:
-        return df.select(F.col("id").alias(f"id{k}"), F.col("name").alias(f"name{k}"), F.substring("name", 1, 1).alias("block"))
+    """Pairs of (id, name) that are each other's closest by edit distance, of all pairs alike by ``least`` or more.
 
-    pairs = side(left, "1").join(side(right, "2"), "block")
+    A right name is cut into one part more than the edits that such a pair may have, so one part stands unchanged in
+    the left name, shifted by as many places at most: the parts are joined with the left names' pieces by equality and the distance of those met
+    is measured.  Different names are compared once; null and empty names are like nothing; equals go to the smaller id.
+    """
+    if not 0.5 < least <= 1:
+        raise ValueError("least must be over 0.5: below, a part may be empty")
+    edits = lambda size: F.floor((1 - least) * size + 1e-9)
+    # the parts of a name of length b: number, start and length, the same on both sides
+    parts = edits(F.floor(F.col("b") / least + 1e-9)) + 1
+    start = F.floor(F.col("i") * F.col("b") / F.col("k"))
+    size = F.floor((F.col("i") + 1) * F.col("b") / F.col("k")) - start
+
+    def cut(df: DataFrame) -> DataFrame:
+        return df.withColumn("k", parts).withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1))).withColumns({"p": start, "s": size})
+
+    one, two = (df.select(F.col("name").alias(f"name{n}")).where("name <> ''").distinct() for df, n in ((left, "1"), (right, "2")))
+    held = cut(two.withColumn("b", F.length("name2").cast("long"))).select("name2", "b", "i", F.expr("substring(name2, int(p) + 1, int(s))").alias("part"))
+    sized = one.withColumn("a", F.length("name1").cast("long"))
+    met = cut(sized.withColumn("b", F.explode(F.sequence(F.ceil(F.col("a") * least - 1e-9), F.floor(F.col("a") / least + 1e-9)))))
+    shift = edits(F.greatest("a", "b"))
+    met = met.withColumns({"lo": F.greatest(F.lit(0), F.col("p") - shift), "hi": F.least(F.col("a") - F.col("s"), F.col("p") + shift)}).where("lo <= hi")
+    met = met.withColumn("at", F.explode(F.sequence("lo", "hi"))).select("name1", "b", "i", F.expr("substring(name1, int(at) + 1, int(s))").alias("part"))
+    pairs = met.distinct().join(held, ["b", "i", "part"]).select("name1", "name2").distinct()
     same = 1 - F.levenshtein("name1", "name2") / F.greatest(F.length("name1"), F.length("name2"))
     pairs = pairs.withColumn("similarity", F.round(same, 9)).where(F.col("similarity") >= least)
+    pairs = pairs.join(left.select(F.col("id").alias("id1"), F.col("name").alias("name1")), "name1").join(right.select(F.col("id").alias("id2"), F.col("name").alias("name2")), "name2")
     for own, other in (("id1", "id2"), ("id2", "id1")):
         pairs = pairs.withColumn(f"at_{own}", F.row_number().over(Window.partitionBy(own).orderBy(F.desc("similarity"), other)))
     return pairs.where("at_id1 = 1 and at_id2 = 1").select("id1", "id2", "similarity")

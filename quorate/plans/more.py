@@ -242,7 +242,7 @@ register("display_names", on(lambda t: records.display_names(t.members.select("v
 register("district_matches", on(lambda t: records.by_district(t.nation.select((F.col("n_nationkey") % 7).alias("key"), (F.col("n_nationkey") % 7 + 7).alias("district"), F.col("n_name").alias("candidate"), F.col("n_nationkey").alias("candidate_district")))), """
 WITH c AS (SELECT n_nationkey % 7 AS key, n_nationkey % 7 + 7 AS d, n_name AS candidate, n_nationkey AS cd, count(*) OVER (PARTITION BY n_nationkey % 7) AS n FROM nation), k AS (SELECT *, count(*) OVER (PARTITION BY key) AS same FROM c WHERE n = 1 OR d = cd) SELECT key, candidate, n AS candidates FROM k WHERE same = 1""")
 register("close_names", on(lambda t: records.close_names(t.nation.select(F.col("n_nationkey").alias("id"), F.lower("n_name").alias("name")), t.nation.select(F.col("n_nationkey").alias("id"), F.concat(F.lower("n_name"), F.lit("x")).alias("name")))), """
-WITH p AS (SELECT x.n_nationkey AS id1, z.n_nationkey AS id2, round(1 - levenshtein(lower(x.n_name), lower(z.n_name) || 'x') / CAST(greatest(length(x.n_name), length(z.n_name) + 1) AS DOUBLE), 9) AS similarity FROM nation x JOIN nation z ON lower(x.n_name[1]) = lower(z.n_name[1])),
+WITH p AS (SELECT x.n_nationkey AS id1, z.n_nationkey AS id2, round(1 - levenshtein(lower(x.n_name), lower(z.n_name) || 'x') / CAST(greatest(length(x.n_name), length(z.n_name) + 1) AS DOUBLE), 9) AS similarity FROM nation x CROSS JOIN nation z),
 r AS (SELECT *, row_number() OVER (PARTITION BY id1 ORDER BY similarity DESC, id2) AS i, row_number() OVER (PARTITION BY id2 ORDER BY similarity DESC, id1) AS j FROM p WHERE similarity >= 0.85) SELECT id1, id2, similarity FROM r WHERE i = 1 AND j = 1""")
 TALLY = """, t AS (SELECT item, count(*) FILTER (WHERE choice = 'Yea') AS yea, count(*) FILTER (WHERE choice = 'Nay') AS nay FROM votes GROUP BY 1), r AS (SELECT item AS id, motion, chamber, day, yea, nay FROM items JOIN t USING (item))"""
 
