@@ -1,21 +1,26 @@
 """Structure of a chamber's votes: components and their checks, correspondence analysis, clusters, communities, null models.
 
-Each kernel gets one chamber (or one graph) per task as NumPy arrays: hundreds of voters by thousands
-of items, a few hundred MB at most.  These are measures of legislatures, not of hot keys.
+A kernel gets one chamber (or one graph) per task as NumPy arrays: its known cells and at most squares of its voters,
+never its table of voters by items.  Resamples and draws of noise are tasks of their own.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import replace
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.files import written
 from .latent import _matrix, with_group
-from .sparse_votes import Cells, Standard, by_chamber
+from .meetings import meetings
+from .sparse_votes import STEP, Cells, Standard, by_chamber, crossed, read
 
 
 def _filled(m: np.ndarray) -> np.ndarray:
@@ -466,42 +471,52 @@ def path_centralities(graph: DataFrame, group: str) -> DataFrame:
     return graph.groupBy(group).applyInPandas(fit, "grp string, voter string, closeness double, harmonic double, eigenvector double").withColumnRenamed("grp", group)
 
 
-def configuration_model(rows: np.ndarray, columns: np.ndarray, rounds: int = 5000) -> np.ndarray:
-    """Probabilities of links of the maximum-entropy two-sided graph whose expected degrees are those given."""
-    out = np.zeros((len(rows), len(columns)))
-    r, c = np.arange(len(rows)), np.arange(len(columns))
-    kr, kc = np.array(rows, float), np.array(columns, float)
+def degree_model(kr: np.ndarray, nr: np.ndarray, kc: np.ndarray, nc: np.ndarray, rounds: int = 5000) -> np.ndarray:
+    """Probabilities of links of the maximum-entropy two-sided graph, by degrees of rows (of which ``nr`` have each) and columns.
+
+    Nodes of equal degree have equal chances, so nothing is held for a node or a pair.
+    """
+    out = np.zeros((len(kr), len(kc)))
+    r, c = np.arange(len(kr)), np.arange(len(kc))
+    kr, kc, nr, nc = (np.array(v, float) for v in (kr, kc, nr, nc))
     while len(r) and len(c):  # rows and columns that are empty or full among what is left are certain
-        full_r, full_c = kr == len(c), kc == len(r)
+        full_r, full_c = kr == nc.sum(), kc == nr.sum()
         sure_r, sure_c = full_r | (kr == 0), full_c | (kc == 0)
         if not sure_r.any() and not sure_c.any():
             break
         if sure_r.any():
             out[np.ix_(r[full_r], c)] = 1.0
-            kc = kc - full_r.sum()
-            r, kr = r[~sure_r], kr[~sure_r]
+            kc = kc - nr[full_r].sum()
+            r, kr, nr = r[~sure_r], kr[~sure_r], nr[~sure_r]
         else:
             out[np.ix_(r, c[full_c])] = 1.0
-            kr = kr - full_c.sum()
-            c, kc = c[~sure_c], kc[~sure_c]
+            kr = kr - nc[full_c].sum()
+            c, kc, nc = c[~sure_c], kc[~sure_c], nc[~sure_c]
     if not len(r) or not len(c):
         return out
-    x, y = kr / math.sqrt(kr.sum()), kc / math.sqrt(kc.sum())
+    x, y = kr / math.sqrt(kr @ nr), kc / math.sqrt(kc @ nc)
     for _ in range(rounds):
-        x = kr / (y / (1 + np.outer(x, y))).sum(1)
-        y = kc / (x[:, None] / (1 + np.outer(x, y))).sum(0)
+        x = kr / (nc * y / (1 + np.outer(x, y))).sum(1)
+        y = kc / ((nr * x)[:, None] / (1 + np.outer(x, y))).sum(0)
         p = np.outer(x, y)
         p /= 1 + p
-        if np.abs(p.sum(1) - kr).max() < 1e-8:
+        if np.abs(p @ nc - kr).max() < 1e-8:
             break
     out[np.ix_(r, c)] = p
     return out
 
 
+def configuration_model(rows: np.ndarray, columns: np.ndarray, rounds: int = 5000) -> np.ndarray:
+    """``degree_model`` as a table of all nodes of the given degrees."""
+    (kr, r, nr), (kc, c, nc) = (np.unique(v, return_inverse=True, return_counts=True) for v in (rows, columns))
+    return degree_model(kr, nr, kc, nc, rounds)[np.ix_(r, c)]
+
+
 def _poisson_tail(k: np.ndarray, mean: np.ndarray) -> np.ndarray:
     """P(X >= k) for a Poisson X, summed from k on so that small tails keep their digits."""
     k, mean = np.asarray(k, float), np.maximum(np.asarray(mean, float), 1e-300)
-    lead = np.exp(k * np.log(mean) - mean - np.array([math.lgamma(v + 1) for v in k]))
+    values, at = np.unique(k, return_inverse=True)
+    lead = np.exp(k * np.log(mean) - mean - np.array([math.lgamma(v + 1) for v in values])[at])
     total, term, i = lead.copy(), lead.copy(), 1
     while (term > 1e-17 * total).any() and i < 100_000:
         term = term * mean / (k + i)
@@ -509,20 +524,36 @@ def _poisson_tail(k: np.ndarray, mean: np.ndarray) -> np.ndarray:
     return np.where(k <= 0, 1.0, np.minimum(total, 1.0))
 
 
-def null_backbone(coo: DataFrame, members: DataFrame, alpha: float = 0.01) -> DataFrame:
+def null_backbone(coo: DataFrame, members: DataFrame, alpha: float = 0.01, save=written) -> DataFrame:
     """(chamber, a, b, shared, expected, p): pairs of voters with more Yeas in common than the two-sided configuration model explains.
 
     Chances are Poisson tails about the model's expected count; a missing vote counts as no Yea.
+    One task holds a chamber's different degrees and their square, none its voters or items.
     """
-
-    def fit(rows: pd.DataFrame) -> pd.DataFrame:
-        m, voters, _ = _matrix(rows)
-        y = np.nan_to_num(m)
-        p = configuration_model(y.sum(1), y.sum(0))
-        i, j = np.triu_indices(len(voters), 1)
-        shared, expected = (y @ y.T)[i, j], (p @ p.T)[i, j]
-        chance = _poisson_tail(shared, expected)
-        keep = chance < alpha
-        return pd.DataFrame({"chamber": rows["chamber"].iloc[0], "a": voters[i], "b": voters[j], "shared": shared.astype(int), "expected": expected, "p": chance})[keep]
-
-    return _by_chamber(coo, members, fit, "chamber string, a string, b string, shared long, expected double, p double")
+    if not 0 < alpha <= 1:
+        raise ValueError("alpha is a chance above 0")
+
+    rows = with_group(coo, members)
+    degree = F.sum(F.coalesce("y", F.lit(0.0))).cast("long").alias("k")
+    voters, items = save(rows.groupBy("chamber", "voter").agg(degree)), rows.groupBy("chamber", "item").agg(degree)
+    counted = lambda df, side: df.groupBy("chamber", "k").agg(F.count("*").alias("n")).withColumn("side", F.lit(side))
+
+    def fit(degrees: pd.DataFrame) -> pd.DataFrame:
+        (kr, nr), (kc, nc) = (degrees[degrees["side"] == side].sort_values("k")[["k", "n"]].to_numpy().T for side in ("voter", "item"))
+        p = degree_model(kr, nr, kc, nc)
+        i, j = np.triu_indices(len(kr))
+        return pd.DataFrame({"chamber": degrees["chamber"].iloc[0], "low": kr[i], "high": kr[j], "expected": ((p * nc) @ p.T)[i, j]})
+
+    expected = counted(voters, "voter").unionByName(counted(items, "item")).groupBy("chamber").applyInPandas(fit, "chamber string, low long, high long, expected double")
+
+    @F.pandas_udf("double")
+    def tail(shared: pd.Series, mean: pd.Series) -> pd.Series:
+        return pd.Series(_poisson_tail(shared.to_numpy(), mean.to_numpy()))
+
+    # voters without a common Yea have a chance of 1
+    yea = rows.where("y = 1").select(F.struct("chamber", "item").alias("place"), F.struct("chamber", "voter").alias("key"))
+    met = meetings(yea, "place", "key", F.lit(1), 1, (), save=save).select(F.col("a.chamber").alias("chamber"), F.col("a.voter").alias("a"), F.col("b.voter").alias("b"), F.col("n").alias("shared"))
+    for end in ("a", "b"):
+        met = met.join(voters.select("chamber", F.col("voter").alias(end), F.col("k").alias(f"k{end}")), ["chamber", end])
+    met = met.withColumns({"low": F.least("ka", "kb"), "high": F.greatest("ka", "kb")}).join(expected, ["chamber", "low", "high"])
+    return met.withColumn("p", tail("shared", "expected")).where(F.col("p") < alpha).select("chamber", "a", "b", "shared", "expected", "p")
