@@ -22,6 +22,7 @@ from ..sources.files import written
 from .latent import with_group
 from .meetings import meetings
 from .sparse_votes import STEP, Cells, Standard, by_chamber, crossed, read
+from .sweeps import Block, Dealt, large
 
 
 def _filled(m: np.ndarray) -> np.ndarray:
@@ -102,7 +103,28 @@ def loadings(coo: DataFrame, members: DataFrame, k: int = 2) -> DataFrame:
         v[0] *= _sign(u[:, 0] * s[0], c.party)
         return pd.concat([pd.DataFrame({"chamber": c.chamber, "item": c.items, "component": t + 1, "loading": v[t]}) for t in range(len(v))])
 
-    return by_chamber(with_group(coo, members), fit, "chamber string, item long, component int, loading double")
+    rows, schema = with_group(coo, members), "chamber string, item long, component int, loading double"
+    if not large(rows):
+        return by_chamber(rows, fit, schema)
+    dealt = Dealt(rows)
+    found = {c: (u, s, _dealt_sign(u[:, 0] * s[0], dealt.sides[c])) for c, (u, s, _) in dealt.components(k).items()}
+
+    def tell(block: Block, fill: np.ndarray, u: np.ndarray, s: np.ndarray, sign: float) -> list[dict]:
+        v = _right(block, fill, u, s)
+        v[0] *= sign
+        return [{"item": block.items, "component": np.full(len(block.items), t + 1), "loading": v[t]} for t in range(len(v))]
+
+    return dealt.by_item(found, tell, schema)
+
+
+def _dealt_sign(score: np.ndarray, side: np.ndarray) -> float:
+    return _sign(score, np.where(side, "Republican", ""))
+
+
+def _right(block: Block, fill: np.ndarray, u: np.ndarray, s: np.ndarray) -> np.ndarray:
+    """Right vectors (components x items) of a block."""
+    off = block.y - fill[block.i]
+    return np.array([block.right(fill, off, u[:, t]) / s[t] if s[t] > 1e-9 * s[0] else np.zeros(len(block.lens)) for t in range(len(s))])
 
 
 def reconstruction(coo: DataFrame, members: DataFrame, k: int = 5, deviations: float = 2.0) -> DataFrame:
@@ -117,7 +139,27 @@ def reconstruction(coo: DataFrame, members: DataFrame, k: int = 5, deviations: f
         rmse = np.sqrt(total / z.p)
         return pd.DataFrame({"chamber": c.chamber, "voter": c.voters, "rmse": rmse, "flag": rmse > rmse.mean() + deviations * rmse.std()})
 
-    return by_chamber(with_group(coo, members), fit, "chamber string, voter string, rmse double, flag boolean")
+    rows, schema = with_group(coo, members), "chamber string, voter string, rmse double, flag boolean"
+    if not large(rows):
+        return by_chamber(rows, fit, schema)
+    dealt, found = Dealt(rows), {}
+    parts = dealt.components(k)
+
+    def add(block: Block, fill: np.ndarray, held: np.ndarray) -> np.ndarray:
+        # an error is that of a row (score, 1, -fill) times a column, less the cell's distance from the fill: its square is summed over cells, not over the table
+        u, s = held[:-1, 1:], held[-1, 1:]
+        row = np.hstack([u * s, np.ones((len(fill), 1)), -fill[:, None]])
+        off, v = block.y - fill[block.i], _right(block, fill, u, s)
+        column = np.vstack([v * block.scale, block.centre, np.ones(len(block.lens))])
+        both = sum(row[block.i, t] * column[t, block.j] for t in range(len(column)))
+        total = ((row @ (column @ column.T)) * row).sum(1) + np.bincount(block.i, off * off - 2 * off * both, len(fill))
+        return total[:, None]
+
+    total = dealt.sums(add, {c: np.vstack([np.hstack([np.zeros((len(u), 1)), u]), np.r_[0.0, s]]) for c, (u, s, _) in parts.items()}, 1)
+    for c, sums in total.items():
+        rmse = np.sqrt(np.clip(sums[:, 0], 0, None) / dealt.items[c])
+        found[c] = rmse, rmse > rmse.mean() + deviations * rmse.std()
+    return dealt.by_voter(found, lambda c, code, rmse, flag: [{"rmse": rmse[code], "flag": flag[code]}], schema)
 
 
 def _auc(y: np.ndarray, p: np.ndarray) -> float | None:
