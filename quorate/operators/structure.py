@@ -15,10 +15,11 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.files import written
+from . import ranks
 from .latent import with_group
 from .meetings import meetings
 from .sparse_votes import STEP, Cells, Standard, by_chamber, crossed, read
@@ -208,7 +209,43 @@ def component_holdout(coo: DataFrame, members: DataFrame, k: int = 5, share: flo
         guess = sum(u[i, t] * s[t] * v[t, j] for t in range(len(s))) * z.scale[j] + z.centre[j]
         return pd.DataFrame({"chamber": [c.chamber], "n": [len(i)], "accuracy": [((guess >= 0.5) == (truth == 1)).mean()], "auc": [_auc(truth, np.clip(guess, 0, 1))], "rmse": [math.sqrt(((guess - truth) ** 2).mean())], "baseline": [max(truth.mean(), 1 - truth.mean())]})
 
-    return by_chamber(with_group(coo, members), fit, "chamber string, n long, accuracy double, auc double, rmse double, baseline double")
+    rows = with_group(coo, members)
+    return _dealt_holdout(rows, k, share, seed) if large(rows) else by_chamber(rows, fit, "chamber string, n long, accuracy double, auc double, rmse double, baseline double")
+
+
+def drawn(rows: DataFrame, share: float, seed: int) -> DataFrame:
+    """(chamber, voter, party, item, y) with ``held``: true for exactly a ``share`` of each chamber's known cells, those of the smallest hashes."""
+    hashed = rows.withColumn("hash", F.xxhash64(F.lit(seed), "voter", "item")).withColumn("bucket", F.shiftrightunsigned("hash", 48))
+    known = hashed.where("y IS NOT NULL")
+    over = Window.partitionBy("chamber").orderBy("bucket")  # one row a bucket, of 65,536
+    upto = known.groupBy("chamber", "bucket").agg(F.count("*").alias("size")).withColumns({"upto": F.sum("size").over(over), "all": F.sum("size").over(Window.partitionBy("chamber"))})
+    least = upto.withColumn("wanted", F.floor(F.col("all") * share)).where("upto - size <= wanted AND wanted < upto")
+    last = F.broadcast(least.select("chamber", F.col("bucket").alias("last"), (F.col("wanted") - F.col("upto") + F.col("size")).alias("more")))
+    edge = known.join(last, "chamber").where("bucket = last").withColumn("place", F.row_number().over(Window.partitionBy("chamber").orderBy("hash", "voter", "item")))
+    edge = F.broadcast(edge.where("place <= more").select("chamber", "voter", "item", F.lit(True).alias("picked")))  # of one bucket
+    out = hashed.join(last, "chamber", "left").join(edge, ["chamber", "voter", "item"], "left")
+    held = F.col("y").isNotNull() & ((F.col("bucket") < F.coalesce("last", F.lit(1 << 17))) | F.coalesce("picked", F.lit(False)))
+    return out.select(*rows.columns, held.alias("held"))
+
+
+def _dealt_holdout(rows: DataFrame, k: int, share: float, seed: int) -> DataFrame:
+    cells = written(drawn(rows, share, seed))
+    dealt = Dealt(cells.withColumn("y", F.when(~F.col("held"), F.col("y"))).drop("held"))
+    parts = dealt.components(k)
+
+    def tell(block: Block, fill: np.ndarray, u: np.ndarray, s: np.ndarray) -> list[dict]:
+        return [{"item": block.items, "column": list((_right(block, fill, u, s) * block.scale).T), "centre": block.centre}]
+
+    columns = dealt.by_item({c: (u, s) for c, (u, s, _) in parts.items()}, tell, "chamber string, item long, column array<double>, centre double")
+    scores = dealt.by_voter({c: (u * s,) for c, (u, s, _) in parts.items()}, lambda c, code, score: [{"score": list(score[code])}], "chamber string, voter string, score array<double>")
+    guess = F.aggregate(F.zip_with("score", "column", lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b) + F.col("centre")
+    told = written(cells.where("held").join(columns, ["chamber", "item"]).join(scores, ["chamber", "voter"]).select("chamber", "y", guess.alias("guess")))
+    ranked = ranks.with_ranks(told.withColumn("p", F.least(F.greatest("guess", F.lit(0.0)), F.lit(1.0))), {"rank": "p"}, ["chamber"])
+    yea = (F.col("y") == 1).cast("double")
+    out = ranked.groupBy("chamber").agg(F.count("*").alias("n"), F.avg(((F.col("guess") >= 0.5) == (F.col("y") == 1)).cast("double")).alias("accuracy"), F.sum(F.col("rank") * yea).alias("won"), F.sum(yea).alias("one"), F.sqrt(F.avg((F.col("guess") - F.col("y")) ** 2)).alias("rmse"), F.avg("y").alias("mean"))
+    auc = F.try_divide(F.col("won") - F.col("one") * (F.col("one") + 1) / 2, F.col("one") * (F.col("n") - F.col("one")))
+    out = dealt.voters.select("chamber").distinct().join(out, "chamber", "left")
+    return out.select("chamber", F.coalesce("n", F.lit(0)).alias("n"), "accuracy", auc.alias("auc"), "rmse", F.greatest("mean", 1 - F.col("mean")).alias("baseline"))
 
 
 def second_component(scores: DataFrame) -> DataFrame:

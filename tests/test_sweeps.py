@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from quorate.operators import latent, structure, sweeps
 
@@ -46,6 +47,34 @@ def test_dealt_chambers_match_chambers_in_one_task(monkeypatch, votes, name):
             assert (got[c] == want[c]).all(), c
 
 
+def test_cells_are_held_out_over_tasks(monkeypatch, spark, votes):
+    coo, members = votes
+    known = {r["chamber"]: r["n"] for r in coo.where("y is not null").join(members, "voter").groupBy("chamber").agg(F.count("*").alias("n")).collect()}
+    want = {r["chamber"]: r for r in structure.component_holdout(coo, members, 3).collect()}
+    monkeypatch.setattr(sweeps, "DIRECT", 0)
+    held = {r["chamber"]: r for r in structure.component_holdout(coo, members, 3).collect()}
+    assert set(held) == set(known) == {"House", "Senate"}
+    cells = structure.drawn(latent.with_group(coo, members), 0.2, 42).toPandas()
+    for c, r in held.items():
+        assert r["n"] == want[c]["n"] == int(known[c] * 0.2) and type(r["n"]) is int
+        # the same masked cells by hand
+        mine = cells[cells["chamber"] == c]
+        voters, items = sorted(set(mine["voter"])), sorted(set(mine["item"]))
+        x, test = np.full((len(voters), len(items)), np.nan), []
+        for cell in mine.itertuples():
+            at = voters.index(cell.voter), items.index(cell.item)
+            if cell.held:
+                test.append((*at, cell.y))
+            else:
+                x[at] = cell.y
+        z, centre, scale = structure._standard(structure._filled(x))
+        u, s, v = np.linalg.svd(z, full_matrices=False)
+        guess = np.array([(u[i, :3] * s[:3]) @ v[:3, j] * scale[j] + centre[j] for i, j, _ in test])
+        truth = np.array([y for *_, y in test])
+        told = ((guess >= 0.5) == (truth == 1)).mean(), structure._auc(truth, np.clip(guess, 0, 1)), np.sqrt(((guess - truth) ** 2).mean()), max(truth.mean(), 1 - truth.mean())
+        assert np.allclose([r["accuracy"], r["auc"], r["rmse"], r["baseline"]], told)
+
+
 def test_the_solver_restarts_and_takes_equal_eigenvalues(monkeypatch):
     monkeypatch.setattr(sweeps, "MOST", 24)
     rng = np.random.default_rng(1)
